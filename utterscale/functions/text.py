@@ -78,6 +78,15 @@ def numbers_to_words(text: Column) -> Column:
         clean.rlike("[0-9]"), F.array_join(F.transform(words(clean), spell), " ")).otherwise(clean))
 
 
+def as_preprocessor(fn: Callable[[str], str]) -> Callable[[Column], Column]:
+    """Wrap a plain ``str -> str`` as an Arrow-batched Column function."""
+    @F.pandas_udf("string")
+    def apply(series: pd.Series) -> pd.Series:
+        return series.map(fn, na_action="ignore")
+
+    return lambda column: apply(column)
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -94,7 +94,10 @@ def with_steps(pairs: DataFrame, hyp_tokens: str = "hyp_tokens", ref_tokens: str
         return pd.Series(trace_steps(hyp.tolist(), ref.tolist()), dtype=object)
 
     coded = pairs.withColumn("_c", encode_together([hyp_tokens, ref_tokens]))
-    return coded.withColumn("steps", trace(f"_c.{hyp_tokens}", f"_c.{ref_tokens}")).drop("_c")
+    # marked nondeterministic so that filters inferred from a later explode do not
+    # copy the call: the backtrace runs once per pair
+    once = trace.asNondeterministic()
+    return coded.withColumn("steps", once(f"_c.{hyp_tokens}", f"_c.{ref_tokens}")).drop("_c")
 
 
 def _count(step: str) -> Column:

@@ -61,8 +61,7 @@ def expand(rows: DataFrame, column: str = "config") -> DataFrame:
     def value(key: str, kind: str, default: Any) -> Column:
         found = F.col(f"_c.{key}")
         if key == flag:
-            found = (F.when(found == "true", 1).when(found == "false", 0).otherwise(F.try_to_number(found, F.lit("9")))
-                     .cast("bigint"))
+            found = F.when(found == "true", 1).when(found == "false", 0).otherwise(found.try_cast("bigint"))
         return F.when(F.array_contains("_keys", key), found).otherwise(_literal(kind, default)).alias(key)
 
     known = F.array(*[F.lit(k) for k in KEYS])
