@@ -36,17 +36,13 @@ def build(freq: DataFrame, min_freq: int = 1, compat: bool = True) -> DataFrame:
     kept entries, which may collide. Otherwise ids are dense and ``[UNK]``, ``[PAD]``
     follow. The window holds one row per code point of Unicode at most.
     """
-    by_first = Window.orderBy("first_row", "first_pos")
-    number = F.row_number().over(by_first).cast("bigint")
-    kept = F.col("freq") > min_freq
-    numbered = (freq.withColumn("id", number).where(kept) if compat
-                else freq.where(kept).withColumn("id", number))
-    token = F.when(F.col("ch") == " ", DELIMITER).otherwise(F.col("ch"))
-    # a real "|" is replaced when the blank takes its name
-    has_blank = F.max(F.when(F.col("ch") == " ", 1).otherwise(0)).over(Window.partitionBy())
-    entries = (numbered.withColumn("_blank", has_blank)
-               .where((F.col("ch") != DELIMITER) | (F.col("_blank") == 0))
-               .select(token.alias("token"), "id", "freq"))
+    number = F.row_number().over(Window.orderBy("first_row", "first_pos")).cast("bigint")
+    # the blank takes the delimiter's name, so a real delimiter gives way to it
+    has_blank = F.max((F.col("ch") == " ") & (F.col("freq") > min_freq)).over(Window.partitionBy())
+    named = freq.withColumn("_gives_way", has_blank & (F.col("ch") == DELIMITER))
+    kept = (F.col("freq") > min_freq) & ~F.col("_gives_way")
+    numbered = named.withColumn("id", number).where(kept) if compat else named.where(kept).withColumn("id", number)
+    entries = numbered.select(F.when(F.col("ch") == " ", DELIMITER).otherwise(F.col("ch")).alias("token"), "id", "freq")
     last = F.coalesce(F.max("id"), F.lit(0))
     unk = F.count("*") if compat else last + 1
     special = [(UNK, unk)] if compat else [(UNK, unk), (PAD, last + 2)]

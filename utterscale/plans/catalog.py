@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from utterscale.plans import scoring  # noqa: F401  (registers)
+from utterscale.plans import corpus, logs, scoring, texts  # noqa: F401  (registers)
 from utterscale.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -27,10 +27,13 @@ def _utterances(rows: DataFrame, id_of_row: Column) -> DataFrame:
             .select((id_of_row * SEGMENT_SPAN + F.col("seg")).alias("utt_id"), *keep, "tokens"))
 
 
+def utterances_of(docs: DataFrame) -> DataFrame:
+    """``utt_id, doc_id, lang, source, tokens`` of documents, as a batch or a stream."""
+    return _utterances(docs.select("doc_id", "lang", "source", "text"), F.col("doc_id"))
+
+
 def utterances(spark: SparkSession, folder: str) -> DataFrame:
-    """``utt_id, doc_id, lang, source, tokens`` over all of ``documents``."""
-    docs = spread(table(spark, folder, "documents", "doc_id", "lang", "source", "text"), "doc_id")
-    return _utterances(docs, F.col("doc_id"))
+    return utterances_of(spread(table(spark, folder, "documents", "doc_id", "lang", "source", "text"), "doc_id"))
 
 
 def benchmark_utterances(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,16 +55,19 @@ def _noise_b(tokens: Column) -> Column:
     return F.array_join(F.flatten(doubled), " ")
 
 
-def pairs(spark: SparkSession, folder: str) -> DataFrame:
+def pairs_of(spoken: DataFrame) -> DataFrame:
     """``system, utt_id, doc_id, lang, source, ref, hyp``, two systems per utterance."""
     both = F.array(F.struct(F.lit("A").alias("system"), _noise_a(F.col("tokens")).alias("hyp")),
                    F.struct(F.lit("B").alias("system"), _noise_b(F.col("tokens")).alias("hyp")))
-    return (utterances(spark, folder)
-            .select("utt_id", "doc_id", "lang", "source", F.array_join("tokens", " ").alias("ref"),
+    return (spoken.select("utt_id", "doc_id", "lang", "source", F.array_join("tokens", " ").alias("ref"),
                     F.inline(both).alias("system", "hyp"))
             .select("system", "utt_id", "doc_id", "lang", "source", "ref", "hyp"))
 
 
+def pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs_of(utterances(spark, folder))
+
+
 def refs(spark: SparkSession, folder: str) -> DataFrame:
     return utterances(spark, folder).select("utt_id", "lang", F.array_join("tokens", " ").alias("ref"))
 
