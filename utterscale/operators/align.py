@@ -115,8 +115,8 @@ def align_words(pairs: DataFrame, keys: Sequence[str], keep: Sequence[str] = ())
     """One row per step: ``step, op, ref_pos, hyp_pos, ref_word, hyp_word``."""
     ops = F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])
     steps = (with_steps(pairs)
-             .withColumn("_s", F.filter(F.split("steps", ""), lambda s: s != ""))
-             .select(*keys, *keep, "hyp_tokens", "ref_tokens", "steps", F.posexplode("_s").alias("step", "_op")))
+             .select(*keys, *keep, "hyp_tokens", "ref_tokens", "steps",
+                     F.posexplode(F.filter(F.split("steps", ""), lambda s: s != "")).alias("step", "_op")))
     done = F.substring("steps", F.lit(1), F.col("step") + 1)
 
     def position(skipped: str) -> Column:

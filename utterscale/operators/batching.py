@@ -32,10 +32,9 @@ def length_batches(rows: DataFrame, row_id: str, length: str, batch_size: int, s
     inside = Window.partitionBy("_mega").orderBy(F.desc(length), "_ordinal")
     placed = shuffled.withColumn("_rank", F.row_number().over(inside) - 1).withColumn(
         "position", (F.col("_mega") * size + F.col("_rank")).cast("bigint"))
-    leaders = placed.where(F.col("_rank") == 0)
-    # the first leader of greatest length trades places with the first row of all
-    longest = leaders.agg(F.max(F.struct(F.col(length), -F.col("position")))).scalar()
-    front = -longest.getField("col2")
+    # the first megabatch with a row of greatest length gives its first row away
+    longest = shuffled.agg(F.max(F.struct(F.col(length).alias("len"), (-F.col("_mega")).alias("mega")))).scalar()
+    front = (-longest["mega"] * size).cast("bigint")
     position = (F.when(F.col("position") == 0, front).when(F.col("position") == front, F.lit(0))
                 .otherwise(F.col("position")).cast("bigint"))
     return placed.select(row_id, length, position.alias("position")).withColumn(

@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from utterscale.operators.ordering import running
+from utterscale.operators.ordering import range_buckets, running
 
 START = 1.0  # fixed value: a word error rate must be below this to count as best
 
 
-def best_so_far(evals: DataFrame, order: Sequence[str], bucket: Column, run: str = "run",
-                score: str = "wer") -> DataFrame:
-    """Adds ``eval_nr`` from 1, ``best_before`` and ``saved`` (strictly better)."""
-    tracked = running(evals, [run], order, bucket, ordinal="eval_nr", minimum=(score, "_earlier"))
+def best_so_far(evals: DataFrame, order: Sequence[str], run: str = "run", score: str = "wer") -> DataFrame:
+    """Adds ``eval_nr`` from 1, ``best_before`` and ``saved`` (strictly better).
+
+    ``order`` must be unique. The history is cut into even ranges, so one run that
+    holds most of it is tracked by many tasks.
+    """
+    ranged = range_buckets(evals, order)
+    tracked = running(ranged, [run], order, F.col("_range"), ordinal="eval_nr",
+                      minimum=(score, "_earlier")).drop("_range")
     best = F.least(F.lit(START), F.coalesce("_earlier", F.lit(START)))
     return tracked.withColumn("best_before", best).drop("_earlier").withColumn(
         "saved", F.col(score) < F.col("best_before"))

@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SYMBOLS = 4_000_000  # symbols counted at once by one task
+
+
 def _flatten(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     return points, np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
 
 
-def count_clipped(hyp: list[str], refs: list[list[str]], order: int) -> np.ndarray:
-    """``(rows, order)`` matches: per n-gram the hypothesis count, at most the highest
-    count in one reference. An n-gram is numbered from its (n-1)-gram and its last
-    symbol, so numbers are exact, not hashes."""
+def _count_slice(hyp: list[str], refs: list[list[str]], order: int) -> np.ndarray:
+    """An n-gram is numbered from its (n-1)-gram and its last symbol, so numbers are
+    exact, not hashes."""
     rows, sides = len(hyp), 1 + len(refs)
     parts = [_flatten(side) for side in [hyp, *refs]]
     symbols = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)[1]
@@ -47,6 +49,15 @@ def count_clipped(hyp: list[str], refs: list[list[str]], order: int) -> np.ndarr
     return matches
 
 
+def count_clipped(hyp: list[str], refs: list[list[str]], order: int) -> np.ndarray:
+    """``(rows, order)`` matches: per n-gram the hypothesis count, at most the highest
+    count in one reference. Long texts are taken a few rows at a time."""
+    size = np.cumsum([sum(map(len, texts)) for texts in zip(hyp, *refs)] or [0])
+    cuts = np.unique(size // SYMBOLS, return_index=True)[1].tolist() + [len(hyp)]
+    return np.concatenate([_count_slice(hyp[a:b], [r[a:b] for r in refs], order) for a, b in zip(cuts, cuts[1:])]
+                          or [np.zeros((0, order), dtype=np.int64)])
+
+
 def clipped_matches(hyp: Column, refs: Sequence[Column], order: int) -> Column:
     """``ARRAY<BIGINT>`` of clipped matches for n = 1..order; symbols are code points."""
     @F.pandas_udf("array<bigint>")
@@ -69,8 +80,11 @@ def _ngrams(tokens: Column, order: int) -> Column:
 def ngram_table(pairs: DataFrame, keys: Sequence[str], order: int = 4) -> DataFrame:
     """``keys, n, gram, hyp_count, ref_count`` from token arrays ``hyp_tokens, ref_tokens``.
 
-    ``keys`` identify the pair, so a group holds one n-gram of one utterance.
+    ``keys`` identify the pair, so a group holds one n-gram of one utterance. The token
+    arrays are placed by pair first: n-grams are then counted where they are made, and
+    only the compact rows were shuffled.
     """
+    pairs = pairs.select(*keys, "hyp_tokens", "ref_tokens").repartition(*keys)
     sides = F.array(F.struct(F.lit(1).alias("is_hyp"), F.col("hyp_tokens").alias("tokens")),
                     F.struct(F.lit(0).alias("is_hyp"), F.col("ref_tokens").alias("tokens")))
     grams = (pairs.select(*keys, F.inline(sides).alias("is_hyp", "tokens"))

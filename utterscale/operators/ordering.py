@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from utterscale.sources.shared import shared_folder
 
-HASH_DIGITS = 3  # hex digits of the shuffle key that name its bucket: 4,096 buckets
+HASH_DIGITS = 4  # hex digits of the shuffle key that name its bucket: 65,536 even buckets
 SMALL_SAMPLE = 100_000  # largest sample taken by a top-n merge
 
 
@@ -25,16 +25,17 @@ def shuffle_key(seed: int, row_id: Column) -> Column:
 
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column,
-            ordinal: str | None = None, minimum: tuple[str, str] | None = None) -> DataFrame:
+            ordinal: str | None = None, minimum: tuple[str, str] | None = None,
+            first: int | None = None) -> DataFrame:
     """Running row number and running minimum of the rows before, per group.
 
-    ``bucket`` must not decrease along ``order``. One window task holds one bucket of
-    one group, never a whole group. ``minimum`` is ``(source column, new column)``.
+    ``bucket`` must not decrease along ``order`` and should be even; one window task
+    holds one bucket of one group, never a whole group. ``minimum`` is ``(source column,
+    new column)``. With ``first`` only that many rows per group are kept, and buckets
+    that lie behind them are dropped before anything is sorted.
     """
     keys = [*by, "_bucket"]
     rows = rows.withColumn("_bucket", bucket)
-    local = Window.partitionBy(*keys).orderBy(*order)
-    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
     source = minimum[0] if minimum else None
     totals = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
@@ -45,19 +46,23 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Co
         *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.min("_min").over(before).alias("_before"))
+    if first is not None:
+        offsets = offsets.where(F.col("_offset") < first)
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    local_rows = rows.withColumn("_local", F.row_number().over(local))
-    if source:
-        local_rows = local_rows.withColumn("_local_min", F.min(source).over(earlier))
-    out = local_rows.join(offsets, match)
-    if ordinal:
-        out = out.withColumn(ordinal, (F.col("_offset") + F.col("_local")).cast("bigint"))
+    local = Window.partitionBy(*keys).orderBy(*order)
+    out = rows.join(offsets, match)
+    if ordinal or first is not None:
+        number = ordinal or "_number"
+        out = out.withColumn(number, (F.col("_offset") + F.row_number().over(local)).cast("bigint"))
+        if first is not None:
+            out = out.where(F.col(number) <= first)
     if source:
-        out = out.withColumn(minimum[1], F.least("_local_min", "_before"))
-    drop = ["_bucket", "_local", "_local_min", "_offset", "_before", *[f"_o_{k}" for k in keys]]
-    return out.drop(*drop)
+        earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(minimum[1], F.least(F.min(source).over(earlier), F.col("_before")))
+    helpers = ["_bucket", "_offset", "_before", *[f"_o_{k}" for k in keys]]
+    return out.drop(*helpers, *([] if ordinal else ["_number"]))
 
 
 def seeded_shuffle(rows: DataFrame, row_id: str, seed: int, position: str = "position") -> DataFrame:
@@ -69,30 +74,18 @@ def seeded_shuffle(rows: DataFrame, row_id: str, seed: int, position: str = "pos
 
 def seeded_sample(rows: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """The first ``n`` rows of the seeded order; all rows if ``n`` is not positive."""
-    if n <= 0:
-        return rows
-    if n <= SMALL_SAMPLE:
+    if 0 < n <= SMALL_SAMPLE:
         return rows.orderBy(shuffle_key(seed, F.col(row_id)), row_id).limit(n)
-    return seeded_shuffle(rows, row_id, seed, "_position").where(F.col("_position") < n).drop("_position")
-
-
-def first_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,
-                    spread_on: str, salts: int = 64) -> DataFrame:
-    """First ``n`` rows of every group in two steps, so a hot group is cut down by
-    many tasks before one task ranks what is left (at most ``n * salts`` rows)."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)))
-    first = Window.partitionBy(*by, "_salt").orderBy(*order)
-    final = Window.partitionBy(*by).orderBy(*order)
-    return (salted.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n)
-            .withColumn("_rank", F.row_number().over(final)).where(F.col("_rank") <= n)
-            .drop("_salt", "_rank"))
+    return seeded_sample_per_group(rows, [], row_id, n, seed)
 
 
 def seeded_sample_per_group(rows: DataFrame, by: Sequence[str], row_id: str, n: int, seed: int) -> DataFrame:
+    """The first ``n`` rows of every group. The counts per key bucket tell which buckets
+    can hold them, so a hot group is neither sorted nor shuffled as a whole."""
     if n <= 0:
         return rows
     keyed = rows.withColumn("_key", shuffle_key(seed, F.col(row_id)))
-    return first_per_group(keyed, by, [F.col("_key"), F.col(row_id)], n, row_id).drop("_key")
+    return running(keyed, by, ["_key", row_id], F.substring("_key", 1, HASH_DIGITS), first=n).drop("_key")
 
 
 def range_buckets(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def coverage(hyps: DataFrame, refs: DataFrame, on: str = "utt_id", system: str =
     by_system = (per_utt.select("has_ref", F.explode("systems").alias(system))
                  .groupBy(system).agg(F.sum("has_ref").alias("paired"),
                                       F.sum(1 - F.col("has_ref")).alias("hyps_without_ref")))
-    total = per_utt.agg(F.sum("has_ref").alias("n")).scalar()
+    total = refs.agg(F.count("*")).scalar()
     return by_system.withColumn("refs_without_hyp", total - F.col("paired"))
 
 

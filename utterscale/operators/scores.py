@@ -35,38 +35,44 @@ def metric_words(value: Column) -> Column:
 
 
 def word_errors(pairs: DataFrame, preprocessor: Preprocessor | None = None) -> DataFrame:
-    """Adds ``edits`` and ``ref_words`` to every pair with a reference."""
-    ready = prepare(pairs, preprocessor, drop_empty_refs=True)
+    """Adds ``edits`` and ``ref_words``, null for a pair without a reference.
+
+    Such pairs stay as nulls, which sums skip: a filter on the preprocessed reference
+    would run the preprocessor a second time below the projection.
+    """
+    ready = prepare(pairs, preprocessor)
     split = ready.withColumns({"_r": metric_words(F.col("ref")), "_h": metric_words(F.col("hyp"))})
-    return split.withColumns({"edits": token_distance(F.col("_r"), F.col("_h")),
-                              "ref_words": F.size("_r").cast("bigint")}).drop("_r", "_h")
+    scored = F.col("ref") != ""
+    return split.withColumns({"edits": F.when(scored, token_distance(F.col("_r"), F.col("_h"))),
+                              "ref_words": F.when(scored, F.size("_r").cast("bigint"))}).drop("_r", "_h")
+
+
+def _error_rate(errors: DataFrame, by: Sequence[str], length: str, name: str) -> DataFrame:
+    total = errors.groupBy(*by).agg(F.count(length).alias("n_pairs"), F.sum("edits").alias("edits"),
+                                    F.sum(length).alias(length))
+    return total.where(F.col("n_pairs") > 0).withColumn(name, _ratio(F.col("edits"), F.col(length)))
 
 
 def wer(pairs: DataFrame, by: Sequence[str] = (), preprocessor: Preprocessor | None = None) -> DataFrame:
     """Word error rate, summed over the corpus before dividing."""
-    return (word_errors(pairs, preprocessor).groupBy(*by)
-            .agg(F.count("*").alias("n_pairs"), F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"))
-            .withColumn("wer", _ratio(F.col("edits"), F.col("ref_words"))))
+    return _error_rate(word_errors(pairs, preprocessor), by, "ref_words", "wer")
 
 
 def cer(pairs: DataFrame, by: Sequence[str] = (), preprocessor: Preprocessor | None = None) -> DataFrame:
     """Character error rate; blanks count as characters."""
-    ready = prepare(pairs, preprocessor, drop_empty_refs=True)
-    text_of = ready.withColumns({"_r": metric_text(F.col("ref")), "_h": metric_text(F.col("hyp"))})
-    return (text_of.withColumns({"edits": char_distance(F.col("_r"), F.col("_h")),
-                                 "ref_chars": F.length("_r").cast("bigint")})
-            .groupBy(*by).agg(F.count("*").alias("n_pairs"), F.sum("edits").alias("edits"),
-                              F.sum("ref_chars").alias("ref_chars"))
-            .withColumn("cer", _ratio(F.col("edits"), F.col("ref_chars"))))
+    ready = prepare(pairs, preprocessor)
+    texts = ready.withColumns({"_r": metric_text(F.col("ref")), "_h": metric_text(F.col("hyp"))})
+    scored = F.col("ref") != ""
+    errors = texts.withColumns({"edits": F.when(scored, char_distance(F.col("_r"), F.col("_h"))),
+                                "ref_chars": F.when(scored, F.length("_r").cast("bigint"))})
+    return _error_rate(errors, by, "ref_chars", "cer")
 
 
 def ter(pairs: DataFrame, by: Sequence[str] = (), preprocessor: Preprocessor | None = None) -> DataFrame:
     """Translation edit rate with block shifts, case-insensitive, on the scale 0..1."""
     ready = prepare(pairs, preprocessor, drop_empty_refs=True)
-    return (ready.withColumn("_t", shift_edits(F.lower("hyp"), F.lower("ref")))
-            .groupBy(*by).agg(F.count("*").alias("n_pairs"), F.sum("_t.edits").alias("edits"),
-                              F.sum("_t.ref_words").alias("ref_words"))
-            .withColumn("ter", _ratio(F.col("edits"), F.col("ref_words"))))
+    errors = ready.withColumn("_t", shift_edits(F.lower("hyp"), F.lower("ref"))).select(*by, "_t.edits", "_t.ref_words")
+    return _error_rate(errors, by, "ref_words", "ter")
 
 
 def _closest(hyp_len: Column, ref_lens: Sequence[Column]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,15 @@ PRODUCTION_FOLDS = {
 KFOLDS = [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10]]
 
 
+def _local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A parameter table whose size the optimizer knows, so it may choose to broadcast it."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows), schema)
+
+
 def fold_table(spark: SparkSession, folds: Mapping[str, Sequence[str]]) -> DataFrame:
     """``group_id, split``; a group named in two splits has two rows."""
-    rows = [(g, s) for s, groups in folds.items() for g in groups]
-    return spark.createDataFrame(rows, "group_id string, split string")
+    rows = [{"group_id": g, "split": s} for s, groups in folds.items() for g in groups]
+    return _local(spark, rows, "group_id string, split string")
 
 
 def assign_split(rows: DataFrame, folds: DataFrame, group: str = "group_id") -> DataFrame:
@@ -47,6 +53,7 @@ def kfold_roles(rows: DataFrame, group: Column, folds: Sequence[Sequence[int]] =
 
 def kfold_train_groups(spark: SparkSession, groups: DataFrame, folds: Sequence[Sequence[int]] = KFOLDS) -> DataFrame:
     """Training groups of every fold: all groups without those of the fold."""
-    members = spark.createDataFrame([(k, g) for k, f in enumerate(folds) for g in f], "fold int, group_id bigint")
+    members = _local(spark, [{"fold": k, "group_id": g} for k, fold in enumerate(folds) for g in fold],
+                     "fold int, group_id bigint")
     everything = groups.select("group_id", F.explode(F.array(*[F.lit(k) for k in range(len(folds))])).alias("fold"))
     return everything.join(members, ["fold", "group_id"], "left_anti")

@@ -19,8 +19,8 @@ MAX_RUN, MAX_DISTANCE, MAX_CANDIDATES = 10, 50, 1000
 
 def _errors_and_places(hyp: np.ndarray, ref: np.ndarray, table: np.ndarray):
     """From the cheapest path (match / substitute, then hypothesis-only, then
-    reference-only): wrong hypothesis words, wrong reference words, and for every
-    reference word the hypothesis place it belongs to."""
+    reference-only): counts of wrong hypothesis and reference words before each place,
+    and for every reference word the hypothesis place it belongs to."""
     i, j = len(hyp), len(ref)
     hyp_wrong, ref_wrong, place = np.zeros(i, bool), np.zeros(j, bool), np.zeros(j, int)
     while i or j:
@@ -35,19 +35,25 @@ def _errors_and_places(hyp: np.ndarray, ref: np.ndarray, table: np.ndarray):
             j -= 1
             ref_wrong[j] = True
             place[j] = i - 1
-    return hyp_wrong, ref_wrong, place
+    return _sums(hyp_wrong), _sums(ref_wrong), place.tolist()
+
+
+def _sums(wrong: np.ndarray) -> list[int]:
+    """Prefix counts: a run has an error when its two ends differ."""
+    return [0, *np.cumsum(wrong).tolist()]
 
 
 def _runs(hyp: np.ndarray, ref: np.ndarray):
     """Equal runs (start in hypothesis, start in reference, length), shorter ones first."""
-    equal = hyp[:, None] == ref[None, :]
-    for h, r in np.argwhere(equal):
+    words, target = hyp.tolist(), ref.tolist()
+    for h, r in np.argwhere(hyp[:, None] == ref[None, :]).tolist():
         if abs(h - r) > MAX_DISTANCE:
             continue
+        longest = min(MAX_RUN, len(words) - h, len(target) - r)
         length = 0
-        while length < MAX_RUN and h + length < len(hyp) and r + length < len(ref) and equal[h + length, r + length]:
+        while length < longest and words[h + length] == target[r + length]:
             length += 1
-            yield int(h), int(r), length
+            yield h, r, length
 
 
 def _moved(hyp: np.ndarray, start: int, length: int, target: int) -> np.ndarray:
@@ -73,13 +79,13 @@ def edits_with_shifts(hyp: np.ndarray, ref: np.ndarray) -> int:
         hyp_wrong, ref_wrong, place = _errors_and_places(hyp, ref, table)
         moves = []
         for h, r, length in _runs(hyp, ref):
-            if not hyp_wrong[h:h + length].any() or not ref_wrong[r:r + length].any():
+            if hyp_wrong[h] == hyp_wrong[h + length] or ref_wrong[r] == ref_wrong[r + length]:
                 continue
             if h <= place[r] < h + length:
                 continue
             seen = -1
             for at in range(r - 1, r + length):
-                target = 0 if at < 0 else int(place[at]) + 1
+                target = 0 if at < 0 else place[at] + 1
                 if target != seen:
                     moves.append((length, -h, -target))
                     seen = target

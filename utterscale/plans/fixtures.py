@@ -22,9 +22,10 @@ def _tokens(text: Column) -> Column:
 
 def _utterances(rows: DataFrame, id_of_row: Column) -> DataFrame:
     keep = [c for c in rows.columns if c != "text"]
-    pieces = rows.withColumn("pieces", arrays.cut(_tokens(F.col("text")), UTTERANCE_WORDS))
-    return (pieces.select(*keep, F.posexplode("pieces").alias("seg", "tokens"))
-            .select((id_of_row * SEGMENT_SPAN + F.col("seg")).alias("utt_id"), *keep, "tokens"))
+    pieces = arrays.cut(_tokens(F.col("text")), UTTERANCE_WORDS)
+    # outer: an inner explode would first filter on the size, cutting every text twice
+    return rows.select(*keep, F.posexplode_outer(pieces).alias("seg", "tokens")).select(
+        (id_of_row * SEGMENT_SPAN + F.col("seg")).alias("utt_id"), *keep, "tokens")
 
 
 def utterances_of(docs: DataFrame) -> DataFrame:

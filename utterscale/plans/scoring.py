@@ -165,7 +165,7 @@ FROM we GROUP BY GROUPING SETS ((system, lang), (system))""")
 def eval_by_system(spark: SparkSession, folder: str) -> DataFrame:
     """Systems compared per language and in total."""
     errors = scores.word_errors(fixtures.pairs(spark, folder))
-    rolled = (errors.groupBy("system", "lang").agg(F.count("*").alias("n_pairs"), F.sum("edits").alias("edits"),
+    rolled = (errors.groupBy("system", "lang").agg(F.count("ref_words").alias("n_pairs"), F.sum("edits").alias("edits"),
                                                    F.sum("ref_words").alias("ref_words"))
               .rollup("system", "lang").agg(*[F.sum(c).alias(c) for c in ("n_pairs", "edits", "ref_words")]))
     return rolled.where(F.col("system").isNotNull()).select(
