@@ -39,6 +39,6 @@ def read_lines(spark: SparkSession, folder: str, formats: Sequence[str] = ("txt"
 def read_texts(spark: SparkSession, folder: str, formats: Sequence[str] = ("txt",)) -> DataFrame:
     """``path, text``: one row per file."""
     texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _glob(formats))
-             .option("wholetext", True).text(folder))
+             .text(folder, wholetext=True))
     return texts.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
                         F.col("value").alias("text"))
