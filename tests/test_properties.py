@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from utterscale.functions import arrays, text
 from utterscale.functions.distance import token_distance
 from utterscale.operators import align, ngrams, ordering, pairing, scores, splits
-from utterscale.operators.ter import edits_with_shifts
+from utterscale.operators.ter import edits_with_shifts, shift_counts
 from utterscale.plans import fixtures
 
 import numpy as np
@@ -105,6 +105,7 @@ def test_shift_edits_lie_between_the_best_and_plain_edits(h, r):
     code = lambda t: np.array([ord(c) for c in t])
     found = edits_with_shifts(code(h), code(r))
     assert best_with_shifts(h, r) <= found <= table_of(h, r)[-1][-1]
+    assert shift_counts(["".join(h), "a"], ["".join(r), "a"]) == [found, 0]
 
 
 @pytest.fixture(scope="module")

@@ -16,13 +16,17 @@ from utterscale.functions.arrays import let
 
 def encode_tokens(tokens: Column, alphabet: Column) -> Column:
     """A string with one code point per token: the token's place in ``alphabet``."""
-    def code(token: Column) -> Column:
+    def place(token: Column) -> Column:
+        return F.array_position(alphabet, token).cast("int")
+
+    def wide(token: Column) -> Column:
         # step over the surrogates and the rest of the plane (byte-order marks);
         # more tokens than code points fail in decode
-        return let(F.array_position(alphabet, token).cast("int"), lambda p: F.lpad(
-            F.hex(F.when(p < 0xD000, p).otherwise(p + 0x3000)), 8, "0"))
+        return let(place(token), lambda p: F.lpad(F.hex(F.when(p < 0xD000, p).otherwise(p + 0x3000)), 8, "0"))
 
-    return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32")
+    # ``char`` reaches 255 code points, which is enough for an utterance
+    return (F.when(F.size(alphabet) < 256, F.array_join(F.transform(tokens, lambda t: F.char(place(t))), ""))
+            .otherwise(F.decode(F.unhex(F.array_join(F.transform(tokens, wide), "")), "UTF-32")))
 
 
 def encode_together(columns: Sequence[str]) -> Column:

@@ -14,22 +14,27 @@ from utterscale.functions.numbers_de import cardinal, spell_number
 # Letters folded one to one, and the characters that become a blank.
 FOLD_FROM = "çáàâéèêíìîóòôúùû" + "-–­/"
 FOLD_TO = "caaaeeeiiiooouuu" + "    "
-# Fixed value: what may remain in a normalised transcript.
+# Fixed value: what may not remain in a normalised transcript.
 NOT_ALLOWED = "[^a-zäöü0-9 ]"
+# Most of what NOT_ALLOWED removes; ``translate`` drops it while it folds, so that the
+# regular expression rarely finds anything left.
+FREQUENT = "\n.,;:!?'\"()’“”„…&%$#*+=<>@[]_|"
 # Fixed value: dashes that tie a number to a word.
 DASHES = "-–­"
 
 
 def collapse_blanks(text: Column) -> Column:
     """Runs of blanks and tabs become one blank; newlines are not touched."""
-    return F.regexp_replace(text, "[ \t]+", " ")
+    # a lone blank is no match, so only real runs are rewritten
+    return F.regexp_replace(text, "[ \t]{2,}|\t", " ")
 
 
 def normalize(text: Column) -> Column:
     """Lower-case, fold accents, open dashes and slashes, keep a-z äöü 0-9 and blanks."""
-    folded = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), FOLD_FROM, FOLD_TO)
-    kept = F.regexp_replace(collapse_blanks(folded), NOT_ALLOWED, "")
-    return F.trim(collapse_blanks(kept))
+    folded = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")),
+                         FOLD_FROM + "\t" + FREQUENT, FOLD_TO + " ")
+    kept = F.regexp_replace(folded, NOT_ALLOWED + "+", "")
+    return F.trim(F.regexp_replace(kept, " {2,}", " "))
 
 
 def words(text: Column) -> Column:

@@ -7,7 +7,7 @@ native expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,9 @@ def distance_tables(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return table
 
 
-def _codes(texts: Sequence[str], width: int, fill: int) -> np.ndarray:
+def code_rows(texts: Sequence[str], fill: int) -> np.ndarray:
+    """Code points, one row per text, filled up to the longest."""
+    width = max(map(len, texts))
     out = np.full((len(texts), width), fill, dtype=np.int64)
     for k, t in enumerate(texts):
         out[k, :len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
@@ -46,7 +48,7 @@ def _codes(texts: Sequence[str], width: int, fill: int) -> np.ndarray:
 
 
 def _trace(hyp: Sequence[str], ref: Sequence[str]) -> list[str]:
-    h, r = _codes(hyp, max(map(len, hyp)), -1), _codes(ref, max(map(len, ref)), -2)
+    h, r = code_rows(hyp, -1), code_rows(ref, -2)
     table = distance_tables(h, r)
     k = np.arange(len(h))
     i = np.array([len(t) for t in hyp])
@@ -68,22 +70,27 @@ def _trace(hyp: Sequence[str], ref: Sequence[str]) -> list[str]:
     return ["".join(row) for row in np.array(steps[::-1]).T]
 
 
+def size_chunks(hyp: Sequence[str], ref: Sequence[str]) -> Iterator[list[int]]:
+    """Indexes of pairs of similar size whose tables fit into ``CELLS`` together; a
+    larger pair comes alone."""
+    chunk: list[int] = []
+    n = m = 0
+    for k in sorted(range(len(hyp)), key=lambda k: (len(hyp[k]), len(ref[k]))):
+        n, m = max(n, len(hyp[k])), max(m, len(ref[k]))
+        if chunk and (len(chunk) + 1) * (n + 1) * (m + 1) > CELLS:
+            yield chunk
+            chunk, n, m = [], len(hyp[k]), len(ref[k])
+        chunk.append(k)
+    if chunk:
+        yield chunk
+
+
 def trace_steps(hyp: Sequence[str], ref: Sequence[str]) -> list[str]:
     """Steps per pair; among cheapest ones match / substitute > delete > insert, from the end."""
-    order = sorted(range(len(hyp)), key=lambda k: (len(hyp[k]), len(ref[k])))
     out: list[str] = [""] * len(hyp)
-    start = 0
-    while start < len(order):
-        stop, n, m = start, 0, 0
-        while stop < len(order):
-            n, m = max(n, len(hyp[order[stop]])), max(m, len(ref[order[stop]]))
-            if stop > start and (stop + 1 - start) * (n + 1) * (m + 1) > CELLS:
-                break
-            stop += 1
-        chunk = order[start:stop]
+    for chunk in size_chunks(hyp, ref):
         for k, steps in zip(chunk, _trace([hyp[k] for k in chunk], [ref[k] for k in chunk])):
             out[k] = steps
-        start = stop
     return out
 
 

@@ -6,12 +6,14 @@ taken greedily while they lower the edit distance; each costs one edit.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from utterscale.operators.align import distance_tables
+from utterscale.operators.align import code_rows, distance_tables, size_chunks
 
 # Fixed values of the metric: longest run moved, furthest distance, candidates per pair.
 MAX_RUN, MAX_DISTANCE, MAX_CANDIDATES = 10, 50, 1000
@@ -43,11 +45,14 @@ def _sums(wrong: np.ndarray) -> list[int]:
     return [0, *np.cumsum(wrong).tolist()]
 
 
-def _runs(hyp: np.ndarray, ref: np.ndarray):
-    """Equal runs (start in hypothesis, start in reference, length), shorter ones first."""
+def _runs(hyp: np.ndarray, ref: np.ndarray, place: list[int]):
+    """Equal runs (start in hypothesis, start in reference, length), shorter ones first.
+
+    Words that already stand where they belong start no run.
+    """
     words, target = hyp.tolist(), ref.tolist()
     for h, r in np.argwhere(hyp[:, None] == ref[None, :]).tolist():
-        if abs(h - r) > MAX_DISTANCE:
+        if place[r] == h or abs(h - r) > MAX_DISTANCE:
             continue
         longest = min(MAX_RUN, len(words) - h, len(target) - r)
         length = 0
@@ -66,19 +71,20 @@ def _moved(hyp: np.ndarray, start: int, length: int, target: int) -> np.ndarray:
     return np.concatenate([rest[:target], run, rest[target:]])
 
 
-def edits_with_shifts(hyp: np.ndarray, ref: np.ndarray) -> int:
-    """Shifts plus remaining word edits."""
+def edits_with_shifts(hyp: np.ndarray, ref: np.ndarray, table: np.ndarray | None = None) -> int:
+    """Shifts plus remaining word edits; ``table`` holds the distances of the unshifted pair."""
     if not len(ref) or not len(hyp):
         return max(len(hyp), len(ref))
     shifts = tried = 0
     while True:
-        table = distance_tables(hyp[None], ref[None])[0]
+        if table is None:
+            table = distance_tables(hyp[None], ref[None])[0]
         before = int(table[-1, -1])
         if not before:
             return shifts
         hyp_wrong, ref_wrong, place = _errors_and_places(hyp, ref, table)
         moves = []
-        for h, r, length in _runs(hyp, ref):
+        for h, r, length in _runs(hyp, ref, place):
             if hyp_wrong[h] == hyp_wrong[h + length] or ref_wrong[r] == ref_wrong[r + length]:
                 continue
             if h <= place[r] < h + length:
@@ -99,19 +105,25 @@ def edits_with_shifts(hyp: np.ndarray, ref: np.ndarray) -> int:
         gain, move, best = max((before - int(a), move, k) for k, (a, move) in enumerate(zip(after, moves)))
         if gain <= 0:
             return shifts + before
-        shifts, hyp = shifts + 1, changed[best]
-
-
-def shift_edits(hyp: Column, ref: Column) -> Column:
-    """``STRUCT<edits, ref_words>`` of two texts, words separated by white space."""
-    @F.pandas_udf("edits bigint, ref_words bigint")
-    def count(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, r in zip(hyps, refs):
-            numbers: dict[str, int] = {}
-            hyp_codes, ref_codes = (np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], dtype=np.int64)
-                                    for t in (h, r))
-            out.append((edits_with_shifts(hyp_codes, ref_codes), len(ref_codes)))
-        return pd.DataFrame(out, columns=["edits", "ref_words"], dtype="int64")
-
-    return count(hyp, ref)
+        shifts, hyp, table = shifts + 1, changed[best], None
+
+
+def shift_counts(hyps: Sequence[str], refs: Sequence[str]) -> list[int]:
+    """Edits per pair of coded texts; the first table of all pairs comes in batches."""
+    out = [0] * len(hyps)
+    for chunk in size_chunks(hyps, refs):
+        h, r = code_rows([hyps[k] for k in chunk], -1), code_rows([refs[k] for k in chunk], -2)
+        tables = distance_tables(h, r)
+        for i, k in enumerate(chunk):
+            n, m = len(hyps[k]), len(refs[k])
+            out[k] = edits_with_shifts(h[i, :n], r[i, :m], tables[i, :n + 1, :m + 1])
+    return out
+
+
+def shift_edits(hyp_code: Column, ref_code: Column) -> Column:
+    """Edits of two texts with one code point per word."""
+    @F.pandas_udf("bigint")
+    def count(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series(shift_counts(hyps.tolist(), refs.tolist()), dtype="int64")
+
+    return count(hyp_code, ref_code)

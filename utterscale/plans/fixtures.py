@@ -17,7 +17,7 @@ SEGMENT_SPAN = 1_000_000  # utt_id = doc_id * SEGMENT_SPAN + segment
 
 
 def _tokens(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, "[ \t\n]+", " ")), " ")
+    return F.split(F.trim(F.regexp_replace(text, "[ \t\n]{2,}|[\t\n]", " ")), " ")
 
 
 def _utterances(rows: DataFrame, id_of_row: Column) -> DataFrame:
