@@ -14,11 +14,12 @@ from utterscale.functions.numbers_de import cardinal, spell_number
 # Letters folded one to one, and the characters that become a blank.
 FOLD_FROM = "çáàâéèêíìîóòôúùû" + "-–­/"
 FOLD_TO = "caaaeeeiiiooouuu" + "    "
-# Fixed value: what may not remain in a normalised transcript.
-NOT_ALLOWED = "[^a-zäöü0-9 ]"
-# Most of what NOT_ALLOWED removes; ``translate`` drops it while it folds, so that the
-# regular expression rarely finds anything left.
-FREQUENT = "\n.,;:!?'\"()’“”„…&%$#*+=<>@[]_|"
+# Fixed value: what may remain in a normalised transcript.
+ALLOWED = "abcdefghijklmnopqrstuvwxyz" + "äöü" + "0123456789" + " "
+# ``translate`` drops the rest of ASCII while it folds letters. What is then left to a
+# regular expression is one small class, several times faster than the whole rule.
+ASCII_DROPPED = "".join(c for c in map(chr, range(128)) if c not in ALLOWED + FOLD_FROM + "\t")
+NOT_ASCII_ALLOWED = "[^ -~äöü]+"
 # Fixed value: dashes that tie a number to a word.
 DASHES = "-–­"
 
@@ -32,8 +33,8 @@ def collapse_blanks(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Lower-case, fold accents, open dashes and slashes, keep a-z äöü 0-9 and blanks."""
     folded = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")),
-                         FOLD_FROM + "\t" + FREQUENT, FOLD_TO + " ")
-    kept = F.regexp_replace(folded, NOT_ALLOWED + "+", "")
+                         FOLD_FROM + "\t" + ASCII_DROPPED, FOLD_TO + " ")
+    kept = F.regexp_replace(folded, NOT_ASCII_ALLOWED, "")
     return F.trim(F.regexp_replace(kept, " {2,}", " "))
 
 
