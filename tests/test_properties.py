@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from utterscale.functions import arrays, text
 from utterscale.functions.distance import token_distance
-from utterscale.operators import align, ngrams, ordering, pairing, scores, splits
-from utterscale.operators.ter import edits_with_shifts, shift_counts
+from utterscale.operators import align, ngrams, ordering, pairing, scores, splits, ter
+from utterscale.operators.ter import shift_counts
 from utterscale.plans import fixtures
 
-import numpy as np
-
 WORDS = st.lists(st.sampled_from("abcd"), max_size=7)
 
 
@@ -102,10 +100,19 @@ def best_with_shifts(h, r):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=5), st.lists(st.sampled_from("abcd"), min_size=1, max_size=5))
 def test_shift_edits_lie_between_the_best_and_plain_edits(h, r):
-    code = lambda t: np.array([ord(c) for c in t])
-    found = edits_with_shifts(code(h), code(r))
-    assert best_with_shifts(h, r) <= found <= table_of(h, r)[-1][-1]
-    assert shift_counts(["".join(h), "a"], ["".join(r), "a"]) == [found, 0]
+    found = shift_counts(["".join(h), "a", ""], ["".join(r), "a", "ab"])
+    assert found[1:] == [0, 2]
+    assert best_with_shifts(h, r) <= found[0] <= table_of(h, r)[-1][-1]
+
+
+def test_shift_edits_do_not_depend_on_the_batch(monkeypatch):
+    rng = random.Random(11)
+    hyps, refs = (["".join(rng.choice("abcdef") for _ in range(rng.randrange(15))) for _ in range(80)] for _ in "hr")
+    alone = [shift_counts([h], [r])[0] for h, r in zip(hyps, refs)]
+    assert shift_counts(hyps, refs) == alone
+    monkeypatch.setattr(ter, "BATCH", 3)
+    monkeypatch.setattr(align, "CELLS", 500)
+    assert shift_counts(hyps, refs) == alone
 
 
 @pytest.fixture(scope="module")

@@ -20,30 +20,39 @@ CELLS = 8_000_000  # distance-table cells held at once by one task
 STEPS = {"=": "match", "S": "substitute", "D": "delete", "I": "insert"}
 
 
-def distance_tables(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    """``(rows, n + 1, m + 1)`` edit distances between all prefixes, for a batch of
-    equally wide code rows. One array step per hypothesis position."""
-    rows, n, m = len(hyp), hyp.shape[1], ref.shape[1]
-    columns = np.arange(m + 1, dtype=np.int32)
-    table = np.empty((rows, n + 1, m + 1), dtype=np.int32)
-    table[:, 0] = columns
-    for i in range(1, n + 1):
-        above = table[:, i - 1]
-        row = table[:, i]
-        row[:, 0] = i
-        np.minimum(above[:, :-1] + (hyp[:, i - 1, None] != ref), above[:, 1:] + 1, out=row[:, 1:])
+def distance_rows(hyp: np.ndarray, ref: np.ndarray) -> Iterator[np.ndarray]:
+    """Edit distances between growing hypothesis prefixes and all reference prefixes, for
+    a batch of equally wide code rows: one ``(rows, m + 1)`` array per prefix."""
+    columns = np.arange(ref.shape[1] + 1, dtype=np.int32)
+    row = np.repeat(columns[None], len(hyp), axis=0)
+    yield row
+    for i in range(hyp.shape[1]):
+        above, row = row, np.empty_like(row)
+        row[:, 0] = i + 1
+        np.minimum(above[:, :-1] + (hyp[:, i, None] != ref), above[:, 1:] + 1, out=row[:, 1:])
         # a chain of insertions along the row is a running minimum of (value - column)
         np.minimum.accumulate(row - columns, axis=1, out=row)
         row += columns
+        yield row
+
+
+def distance_tables(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """``(rows, n + 1, m + 1)`` edit distances between all prefixes."""
+    table = np.empty((len(hyp), hyp.shape[1] + 1, ref.shape[1] + 1), dtype=np.int32)
+    for i, row in enumerate(distance_rows(hyp, ref)):
+        table[:, i] = row
     return table
 
 
 def code_rows(texts: Sequence[str], fill: int) -> np.ndarray:
     """Code points, one row per text, filled up to the longest."""
-    width = max(map(len, texts))
-    out = np.full((len(texts), width), fill, dtype=np.int64)
-    for k, t in enumerate(texts):
-        out[k, :len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+    return fill_rows([np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts], fill)
+
+
+def fill_rows(codes: Sequence[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(codes), max(map(len, codes))), fill, dtype=np.int64)
+    for k, row in enumerate(codes):
+        out[k, :len(row)] = row
     return out
 
 

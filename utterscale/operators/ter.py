@@ -6,18 +6,21 @@ taken greedily while they lower the edit distance; each costs one edit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from utterscale.operators.align import code_rows, distance_tables, size_chunks
+from utterscale.operators.align import CELLS, distance_rows, distance_tables, fill_rows, size_chunks
 
 # Fixed values of the metric: longest run moved, furthest distance, candidates per pair.
 MAX_RUN, MAX_DISTANCE, MAX_CANDIDATES = 10, 50, 1000
 
+BATCH = 2048  # shifted hypotheses compared at once, fewer when they are long
+
 
 def _errors_and_places(hyp: np.ndarray, ref: np.ndarray, table: np.ndarray):
     """From the cheapest path (match / substitute, then hypothesis-only, then
@@ -71,52 +74,75 @@ def _moved(hyp: np.ndarray, start: int, length: int, target: int) -> np.ndarray:
     return np.concatenate([rest[:target], run, rest[target:]])
 
 
-def edits_with_shifts(hyp: np.ndarray, ref: np.ndarray, table: np.ndarray | None = None) -> int:
-    """Shifts plus remaining word edits; ``table`` holds the distances of the unshifted pair."""
-    if not len(ref) or not len(hyp):
-        return max(len(hyp), len(ref))
-    shifts = tried = 0
-    while True:
-        if table is None:
-            table = distance_tables(hyp[None], ref[None])[0]
-        before = int(table[-1, -1])
-        if not before:
-            return shifts
-        hyp_wrong, ref_wrong, place = _errors_and_places(hyp, ref, table)
-        moves = []
-        for h, r, length in _runs(hyp, ref, place):
-            if hyp_wrong[h] == hyp_wrong[h + length] or ref_wrong[r] == ref_wrong[r + length]:
-                continue
-            if h <= place[r] < h + length:
-                continue
-            seen = -1
-            for at in range(r - 1, r + length):
-                target = 0 if at < 0 else place[at] + 1
-                if target != seen:
-                    moves.append((length, -h, -target))
-                    seen = target
-            if tried + len(moves) >= MAX_CANDIDATES:
-                break
-        tried += len(moves)
-        if not moves or tried >= MAX_CANDIDATES:
-            return shifts + before
-        changed = np.stack([_moved(hyp, -h, length, -target) for length, h, target in moves])
-        after = distance_tables(changed, np.broadcast_to(ref, (len(moves), len(ref))))[:, -1, -1]
-        gain, move, best = max((before - int(a), move, k) for k, (a, move) in enumerate(zip(after, moves)))
-        if gain <= 0:
-            return shifts + before
-        shifts, hyp, table = shifts + 1, changed[best], None
+def _moves(hyp: np.ndarray, ref: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shifts worth trying, as (length, -start, -target) so that the larger is preferred."""
+    hyp_wrong, ref_wrong, place = _errors_and_places(hyp, ref, table)
+    for h, r, length in _runs(hyp, ref, place):
+        if hyp_wrong[h] == hyp_wrong[h + length] or ref_wrong[r] == ref_wrong[r + length]:
+            continue
+        if h <= place[r] < h + length:
+            continue
+        seen = -1
+        for at in range(r - 1, r + length):
+            target = 0 if at < 0 else place[at] + 1
+            if target != seen:
+                yield length, -h, -target
+                seen = target
+
+
+def _distances(hyps: list[np.ndarray], refs: list[np.ndarray]) -> list[int]:
+    """Edit distances of a batch of pairs; only one table row is held per pair."""
+    out: list[int] = []
+    step = max(1, min(BATCH, CELLS // (1 + max(map(len, refs), default=0))))
+    for start in range(0, len(hyps), step):
+        h, r = hyps[start:start + step], refs[start:start + step]
+        ends, widths = np.array([len(x) for x in h]), np.array([len(x) for x in r])
+        found = np.zeros(len(h), dtype=np.int64)
+        for i, row in enumerate(distance_rows(fill_rows(h, -1), fill_rows(r, -2))):
+            done = np.flatnonzero(ends == i)
+            found[done] = row[done, widths[done]]
+        out += found.tolist()
+    return out
+
+
+def _chunk_edits(hyps: list[np.ndarray], refs: list[np.ndarray]) -> list[int]:
+    """Shifts plus remaining edits per pair. Every round tries the shifts of all pairs
+    that still gain, in one batch."""
+    out = [max(len(h), len(r)) for h, r in zip(hyps, refs)]
+    tried, shifts = [0] * len(hyps), [0] * len(hyps)
+    active = [k for k in range(len(hyps)) if len(hyps[k]) and len(refs[k])]
+    hyps = list(hyps)
+    while active:
+        tables = distance_tables(fill_rows([hyps[k] for k in active], -1), fill_rows([refs[k] for k in active], -2))
+        options = []
+        for i, k in enumerate(active):
+            n, m = len(hyps[k]), len(refs[k])
+            out[k] = shifts[k] + int(tables[i, n, m])
+            if tables[i, n, m]:
+                room = MAX_CANDIDATES - tried[k]
+                moves = list(islice(_moves(hyps[k], refs[k], tables[i, :n + 1, :m + 1]), room))
+                tried[k] += len(moves)
+                if len(moves) < room:
+                    options += [(k, move, _moved(hyps[k], -move[1], move[0], -move[2])) for move in moves]
+        after = _distances([h for _, _, h in options], [refs[k] for k, _, _ in options])
+        best: dict[int, tuple] = {}
+        for at, (distance, (k, move, _)) in enumerate(zip(after, options)):
+            gain = out[k] - shifts[k] - distance
+            if gain > 0:
+                best[k] = max(best.get(k, (0,)), (gain, move, at))
+        for k, (_, _, at) in best.items():
+            shifts[k], hyps[k] = shifts[k] + 1, options[at][2]
+        active = list(best)
+    return out
 
 
 def shift_counts(hyps: Sequence[str], refs: Sequence[str]) -> list[int]:
-    """Edits per pair of coded texts; the first table of all pairs comes in batches."""
+    """Edits per pair of coded texts."""
     out = [0] * len(hyps)
     for chunk in size_chunks(hyps, refs):
-        h, r = code_rows([hyps[k] for k in chunk], -1), code_rows([refs[k] for k in chunk], -2)
-        tables = distance_tables(h, r)
-        for i, k in enumerate(chunk):
-            n, m = len(hyps[k]), len(refs[k])
-            out[k] = edits_with_shifts(h[i, :n], r[i, :m], tables[i, :n + 1, :m + 1])
+        sides = [[np.frombuffer(side[k].encode("utf-32-le"), dtype=np.uint32) for k in chunk] for side in (hyps, refs)]
+        for k, edits in zip(chunk, _chunk_edits(*sides)):
+            out[k] = edits
     return out
 
 
