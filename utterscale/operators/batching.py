@@ -6,6 +6,8 @@ one join brings them to their batch, and then padding is row-local.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,23 +23,23 @@ def megabatch_size(rows: Column, batch_size: int) -> Column:
     return F.greatest(F.least(F.floor(rows / F.lit(batch_size * 4)), F.lit(MEGABATCHES)), F.lit(1)) * batch_size
 
 
-def length_batches(rows: DataFrame, row_id: str, length: str, batch_size: int, seed: int) -> DataFrame:
-    """``row_id, length, position, batch_id``: shuffle, cut into megabatches, sort each by
-    length descending, swap the longest row to the front, cut into batches."""
-    narrow = rows.select(row_id, length)
-    size = megabatch_size(narrow.agg(F.count("*")).scalar(), batch_size)
-    shuffled = seeded_shuffle(narrow, row_id, seed, "_ordinal").withColumn(
-        "_mega", F.floor(F.col("_ordinal") / size))
-    # a megabatch is bounded by its size, whatever the data
-    inside = Window.partitionBy("_mega").orderBy(F.desc(length), "_ordinal")
-    placed = shuffled.withColumn("_rank", F.row_number().over(inside) - 1).withColumn(
-        "position", (F.col("_mega") * size + F.col("_rank")).cast("bigint"))
+def length_batches(rows: DataFrame, row_id: str, length: str, batch_size: int, seed: int,
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """``row_id, length, carry, position, batch_id``: shuffle, cut into megabatches, sort
+    each by length descending, swap the longest row to the front, cut into batches."""
+    narrow = rows.select(row_id, length, *carry)
+    shuffled = seeded_shuffle(narrow, row_id, seed, "_ordinal", "_total").withColumn(
+        "_size", megabatch_size(F.col("_total"), batch_size)).withColumn(
+        "_mega", F.floor(F.col("_ordinal") / F.col("_size")))
     # the first megabatch with a row of greatest length gives its first row away
     longest = shuffled.agg(F.max(F.struct(F.col(length).alias("len"), (-F.col("_mega")).alias("mega")))).scalar()
-    front = (-longest["mega"] * size).cast("bigint")
-    position = (F.when(F.col("position") == 0, front).when(F.col("position") == front, F.lit(0))
-                .otherwise(F.col("position")).cast("bigint"))
-    return placed.select(row_id, length, position.alias("position")).withColumn(
+    # a megabatch is bounded by its size, whatever the data
+    inside = Window.partitionBy("_mega").orderBy(F.desc(length), "_ordinal")
+    placed = (F.col("_mega") * F.col("_size") + F.row_number().over(inside) - 1).cast("bigint")
+    front = (-longest["mega"] * F.col("_size")).cast("bigint")
+    swapped = (F.when(F.col("_place") == 0, front).when(F.col("_place") == front, F.lit(0))
+               .otherwise(F.col("_place")).cast("bigint"))
+    return shuffled.withColumn("_place", placed).select(row_id, length, *carry, swapped.alias("position")).withColumn(
         "batch_id", F.floor(F.col("position") / batch_size).cast("bigint"))
 
 

@@ -26,13 +26,14 @@ def shuffle_key(seed: int, row_id: Column) -> Column:
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column,
             ordinal: str | None = None, minimum: tuple[str, str] | None = None,
-            first: int | None = None) -> DataFrame:
+            first: int | None = None, total: str | None = None) -> DataFrame:
     """Running row number and running minimum of the rows before, per group.
 
     ``bucket`` must not decrease along ``order`` and should be even; one window task
     holds one bucket of one group, never a whole group. ``minimum`` is ``(source column,
     new column)``. With ``first`` only that many rows per group are kept, and buckets
-    that lie behind them are dropped before anything is sorted.
+    that lie behind them are dropped before anything is sorted. ``total`` names a column
+    for the row count of the group.
     """
     keys = [*by, "_bucket"]
     rows = rows.withColumn("_bucket", bucket)
@@ -45,7 +46,8 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Co
     offsets = totals.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.min("_min").over(before).alias("_before"))
+        F.min("_min").over(before).alias("_before"),
+        *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []))
     if first is not None:
         offsets = offsets.where(F.col("_offset") < first)
     match = F.lit(True)
@@ -65,10 +67,11 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Co
     return out.drop(*helpers, *([] if ordinal else ["_number"]))
 
 
-def seeded_shuffle(rows: DataFrame, row_id: str, seed: int, position: str = "position") -> DataFrame:
-    """0-based position of every row in the seeded order."""
+def seeded_shuffle(rows: DataFrame, row_id: str, seed: int, position: str = "position",
+                   total: str | None = None) -> DataFrame:
+    """0-based position of every row in the seeded order, optionally with the row count."""
     keyed = rows.withColumn("_key", shuffle_key(seed, F.col(row_id)))
-    ranked = running(keyed, [], ["_key", row_id], F.substring("_key", 1, HASH_DIGITS), ordinal="_rank")
+    ranked = running(keyed, [], ["_key", row_id], F.substring("_key", 1, HASH_DIGITS), ordinal="_rank", total=total)
     return ranked.withColumn(position, F.col("_rank") - 1).drop("_rank", "_key")
 
 

@@ -220,10 +220,8 @@ PLAN = (sql.SIGNALS, _batches("sig", "utt_id", "len(input_values)"))
 def _plan(spark: SparkSession, folder: str) -> DataFrame:
     lengths = fixtures.signals(spark, folder).select(
         "utt_id", F.size("input_values").alias("input_length"), F.size("labels").alias("label_length"))
-    batches = batching.length_batches(lengths, "utt_id", "input_length", BATCH, SEED).select(
-        "utt_id", "position", "batch_id")
-    return batching.with_longest(lengths.join(batches, "utt_id"),
-                                 {"input_length": "longest_input", "label_length": "longest_label"}).drop(
+    batches = batching.length_batches(lengths, "utt_id", "input_length", BATCH, SEED, carry=["label_length"])
+    return batching.with_longest(batches, {"input_length": "longest_input", "label_length": "longest_label"}).drop(
         "input_length", "label_length")
 
 
