@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from utterscale.functions import arrays, text
 from utterscale.functions.distance import token_distance
-from utterscale.operators import align, ngrams, ordering, pairing, scores, splits, ter
+from utterscale.operators import align, evaluations, ngrams, ordering, pairing, scores, splits, ter
 from utterscale.operators.ter import shift_counts
 from utterscale.plans import fixtures
 
@@ -189,6 +189,14 @@ def test_running_values_with_one_hot_group(spark):
     assert sum(map(len, groups.values())) == 3000
 
 
+def test_retention_takes_the_same_rows_in_ranges(spark, monkeypatch):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("g"), "id")
+    few = evaluations.retain_last(rows, ["g"], [F.desc("id")], 20)
+    monkeypatch.setattr(evaluations, "GROUP_LIMIT", 5)
+    ranged = evaluations.retain_last(rows, ["g"], [F.desc("id")], 20)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, ranged.collect()))
+
+
 def test_unpadding_returns_the_input(spark):
     rows = spark.createDataFrame([([1.0, 2.0],), ([],)], "x array<float>")
     padded = rows.select("x", arrays.pad_right(F.col("x"), F.lit(5), F.lit(0.0).cast("float")).alias("p"),

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from utterscale.operators.ordering import range_buckets, running
 
+GROUP_LIMIT = 1000  # Spark's own limit for ranking before a shuffle
 START = 1.0  # fixed value: a word error rate must be below this to count as best
 
 
@@ -28,8 +29,13 @@ def best_so_far(evals: DataFrame, order: Sequence[str], run: str = "run", score:
 
 
 def retain_last(rows: DataFrame, by: Sequence[str], newest_first: Sequence[Column], k: int = 2) -> DataFrame:
-    """The last ``k`` rows per group. Spark cuts every group to ``k`` rows before the
-    shuffle, so no task sees a whole group."""
+    """The last ``k`` rows per group; ``newest_first`` must be unique.
+
+    For a small ``k`` Spark cuts every group to ``k`` rows before the shuffle. Beyond
+    that the rows are cut into ranges, so that no task sees a whole group.
+    """
+    if k > GROUP_LIMIT:
+        return running(range_buckets(rows, newest_first), by, newest_first, F.col("_range"), first=k).drop("_range")
     newest = Window.partitionBy(*by).orderBy(*newest_first)
     return rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= k).drop("_rank")
 

@@ -24,7 +24,7 @@ def shuffle_key(seed: int, row_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
 
 
-def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column,
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], bucket: Column,
             ordinal: str | None = None, minimum: tuple[str, str] | None = None,
             first: int | None = None, total: str | None = None) -> DataFrame:
     """Running row number and running minimum of the rows before, per group.
@@ -91,7 +91,7 @@ def seeded_sample_per_group(rows: DataFrame, by: Sequence[str], row_id: str, n:
     return running(keyed, by, ["_key", row_id], F.substring("_key", 1, HASH_DIGITS), first=n).drop("_key")
 
 
-def range_buckets(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+def range_buckets(rows: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
     """Materialise ``rows`` range-partitioned on ``order`` with the range as ``_range``.
 
     Spark samples the boundaries, so they must be fixed before two branches of a plan

@@ -91,14 +91,14 @@ def ter_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return scores.ter(fixtures.pairs(spark, folder), ["system", "lang"]).withColumn("ter", F.round("ter", 6))
 
 
-@query(sql.with_(*BASE, "src AS (SELECT row_number() OVER () AS k, system, lang, hyp, ref FROM pairs)",
+@query(sql.with_(*BASE, "src AS (SELECT utt_id * 2 + (system = 'B')::BIGINT AS k, system, lang, hyp, ref FROM pairs)",
                  sql.ngram_sums("src", "system, lang", "hyp", ["ref"]), sql.bleu_totals("system, lang"))
        + f"SELECT * EXCLUDE (bleu), round(bleu, 6) AS bleu FROM (SELECT *, {sql.bleu_value()} AS bleu FROM tot)")
 def bleu_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return scores.bleu(fixtures.pairs(spark, folder), ["system", "lang"]).withColumn("bleu", F.round("bleu", 6))
 
 
-TWO_REFS = (*BASE, "keyed AS (SELECT row_number() OVER () AS k, system, lang, doc_id, hyp, ref FROM pairs)",
+TWO_REFS = (*BASE, "keyed AS (SELECT utt_id * 2 + (system = 'B')::BIGINT AS k, system, lang, doc_id, hyp, ref FROM pairs)",
             sql.number_words("keyed", "k", "ref"),
             f"""src AS (SELECT k, system, lang, doc_id, {sql.normalize('hyp')} AS hyp, {sql.normalize('ref')} AS ref,
                         {sql.normalize('spelled')} AS ref2 FROM keyed JOIN nw ON nw.k0 = k)""")
@@ -113,7 +113,7 @@ def bleu_two_refs(spark: SparkSession, folder: str) -> DataFrame:
         "bleu", F.round("bleu", 6))
 
 
-@query(sql.with_(*BASE, "src AS (SELECT row_number() OVER () AS k, system, utt_id, hyp, ref FROM pairs)",
+@query(sql.with_(*BASE, "src AS (SELECT utt_id * 2 + (system = 'B')::BIGINT AS k, system, utt_id, hyp, ref FROM pairs)",
                  sql.ngram_sums("src", "system, utt_id", "hyp", ["ref"], char=True))
        + f"SELECT system, utt_id, round({sql.bleu_value(0.1)}, 6) AS bleu FROM wide")
 def bleu_sentence_char(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _chrf_terms() -> str:
     return "(" + " + ".join(term(n) for n in range(1, 7)) + ") / 6"
 
 
-@query(sql.with_(*BASE, r"""src AS (SELECT row_number() OVER () AS k, system, lang,
+@query(sql.with_(*BASE, r"""src AS (SELECT utt_id * 2 + (system = 'B')::BIGINT AS k, system, lang,
                  regexp_replace(hyp, '\s+', '', 'g') AS hyp, regexp_replace(ref, '\s+', '', 'g') AS ref FROM pairs)""",
                  sql.ngram_sums("src", "system, lang", "hyp", ["ref"], order=6, char=True))
        + f"SELECT system, lang, count(*) AS n_pairs, round(avg({_chrf_terms()}), 6) AS chrf FROM wide GROUP BY system, lang")
@@ -174,9 +174,9 @@ def eval_by_system(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(sql.with_(*BASE, sql.BENCHMARK_UTTERANCES, sql.HYPS_REFS,
-                 """pp AS (SELECT system, source, hyps.hyp, refs.ref FROM hyps JOIN refs USING (utt_id)
+                 """pp AS (SELECT system, utt_id, source, hyps.hyp, refs.ref FROM hyps JOIN refs USING (utt_id)
                           JOIN utt USING (utt_id))""",
-                 "src AS (SELECT row_number() OVER () AS k, * FROM pp)", sql.word_errors("src", "system, source"),
+                 "src AS (SELECT utt_id * 2 + (system = 'B')::BIGINT AS k, * FROM pp)", sql.word_errors("src", "system, source"),
                  sql.ngram_sums("src", "system, source", "hyp", ["ref"]), sql.bleu_totals("system, source"),
                  "err AS (SELECT system, source, sum(edits) / sum(ref_words) AS wer FROM we GROUP BY system, source)",
                  """want AS (SELECT s.system, d.source FROM (SELECT DISTINCT system FROM hyps) s,
