@@ -29,30 +29,30 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], b
             first: int | None = None, total: str | None = None) -> DataFrame:
     """Running row number and running minimum of the rows before, per group.
 
-    ``bucket`` must not decrease along ``order`` and should be even; one window task
+    ``bucket`` must not be null nor decrease along ``order``, and should be even; one task
     holds one bucket of one group, never a whole group. ``minimum`` is ``(source column,
     new column)``. With ``first`` only that many rows per group are kept, and buckets
     that lie behind them are dropped before anything is sorted. ``total`` names a column
     for the row count of the group.
     """
-    keys = [*by, "_bucket"]
-    rows = rows.withColumn("_bucket", bucket)
+    # a struct is never null itself, so null groups meet their offsets by plain equality,
+    # and the join and the window below share one exchange
+    keys = ["_group", "_bucket"]
+    rows = rows.withColumns({"_group": F.struct(*by) if by else F.lit(0), "_bucket": bucket})
     source = minimum[0] if minimum else None
     totals = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         (F.min(source) if source else F.lit(None).cast("double")).alias("_min"))
     # bucket totals only: one row per group and bucket
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.min("_min").over(before).alias("_before"),
-        *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []))
+        *([F.sum("_n").over(Window.partitionBy("_group")).alias(total)] if total else []))
     if first is not None:
         offsets = offsets.where(F.col("_offset") < first)
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    match = (F.col("_group") == F.col("_o__group")) & (F.col("_bucket") == F.col("_o__bucket"))
     local = Window.partitionBy(*keys).orderBy(*order)
     out = rows.join(offsets, match)
     if ordinal or first is not None:
@@ -63,7 +63,7 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], b
     if source:
         earlier = local.rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn(minimum[1], F.least(F.min(source).over(earlier), F.col("_before")))
-    helpers = ["_bucket", "_offset", "_before", *[f"_o_{k}" for k in keys]]
+    helpers = [*keys, "_offset", "_before", *[f"_o_{k}" for k in keys]]
     return out.drop(*helpers, *([] if ordinal else ["_number"]))
 
 
