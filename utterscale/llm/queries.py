@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscale.llm import (chat_format, code_words, line_frequency, piece_transducer, posting_lists, soft_mixing,
-                            warc_chain)
+from utterscale.llm import (chat_format, code_words, line_frequency, piece_transducer, posting_lists, set_relations,
+                            soft_mixing, warc_chain)
 from utterscale.sources.scan import table
 from utterscale.sources.shared import shared_folder
 
@@ -134,3 +134,8 @@ def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
     docs = table(spark, folder, "documents", "doc_id", "text")
     return piece_transducer.round_trip(docs, MODEL)
+
+
+@query()
+def op9_set_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return set_relations.joined(table(spark, folder, "documents", "doc_id", "text"), 3, 90, 100)
