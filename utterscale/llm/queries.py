@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscale.llm import (chat_format, code_words, line_frequency, line_join, piece_transducer, posting_lists, set_relations,
+from utterscale.llm import (bwt_repeats, chat_format, code_words, line_frequency, line_join, piece_transducer, posting_lists, set_relations,
                             soft_mixing, warc_chain)
 from utterscale.sources.scan import table
 from utterscale.sources.shared import shared_folder
@@ -145,3 +145,8 @@ def op9_set_relations(spark: SparkSession, folder: str) -> DataFrame:
 def op8_line_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_join.removed_lines(table(spark, folder, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
+@query()
+def op1_bwt_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return bwt_repeats.removed(table(spark, folder, "documents", "doc_id", "text")).drop("kept")

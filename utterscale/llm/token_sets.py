@@ -117,12 +117,13 @@ def frequencies(counts: DataFrame) -> np.ndarray:
     return table
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of the keys present, folded to 2^24: false positives only. At most 512 rows reach the driver."""
-    slot = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
+def key_filter(keys: DataFrame, column: str, size: int = BITMAP_BITS) -> np.ndarray:
+    """Bits of the keys present, folded to 2^size: false positives only. The driver receives at
+    most 2^size bits, in rows of 4 kB."""
+    slot = F.pmod(F.col(column), F.lit(1 << size))
     rows = (keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect())
-    bits = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
+    bits = np.zeros(1 << size >> 3, np.uint8)
     # slot 0 is in a bucket of its own (number 0), slot s >= 1 in number (s - 1) / 32768 + 1
     for r in rows:
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -135,7 +136,7 @@ def key_filter(keys: DataFrame, column: str) -> np.ndarray:
 
 def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be present."""
-    slot = np.mod(keys, 1 << BITMAP_BITS).astype(np.int64) - 1  # Spark's positions start at 1
+    slot = np.mod(keys, len(bits) << 3).astype(np.int64) - 1  # Spark's positions start at 1
     found = (bits[np.maximum(slot, 0) >> 3] >> (np.maximum(slot, 0) & 7).astype(np.uint8)) & 1
     return (slot < 0) | (found == 1)
 
