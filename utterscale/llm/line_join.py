@@ -177,7 +177,7 @@ def _linked(rows: pa.Table, num: int, den: int):
 
 
 def _removed(rows: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
-    """``key`` of the sets that match a set with an earlier first line; ``clusters``: ``key, cluster, doc_id, line``."""
+    """``key`` of the sets that match a set with an earlier first line; ``clusters``: ``key, n, cluster, doc_id, line``."""
     bits = rows.sparkSession.sparkContext.broadcast(key_filter(clusters, "key"))
 
     def wanted(batches):
@@ -192,9 +192,9 @@ def _removed(rows: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFr
                     pick.append(i)
             flat = h[ranges(at[:-1][pick], n[pick])] if pick else h[:0]
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[pick]), pa.array(n[pick]),
+                pa.array(keys[pick]),
                 pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[pick])].astype(np.int32)), pa.array(flat.view(np.int64)))],
-                names=["key", "n", "tokens"])
+                names=["key", "tokens"])
 
     def decided(batches):
         for tile in groups(batches, "tile"):
@@ -211,8 +211,8 @@ def _removed(rows: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFr
             if gone:
                 yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["key"])
 
-    found = rows.select("text").mapInArrow(wanted, "key long, n long, tokens array<long>")
-    placed = tiles(found.join(clusters, "key"), num, den)
+    found = rows.select("text").mapInArrow(wanted, "key long, tokens array<long>")
+    placed = found.join(tiles(clusters, num, den), "key")
     return (placed.select("tile", "key", "doc_id", "line", "tokens").repartition("tile").sortWithinPartitions("tile")
             .mapInArrow(decided, "key long").distinct())
 
@@ -223,7 +223,7 @@ def removed_lines(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     rows = _rows(docs)
     documents, first, frequency = _sets(rows)
     clusters = components(_links(rows, frequency, num, den)).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
-    gone = _removed(rows, written(clusters.join(first.drop("n", "text_key"), "key"), "line_clusters"), num, den)
+    gone = _removed(rows, written(clusters.join(first.drop("text_key"), "key"), "line_clusters"), num, den)
     kept = first.join(gone, "key", "left_anti").groupBy(*ID).agg(F.collect_list("line").alias("kept"))
     return (documents.distinct().join(kept, ID, "left")
             .select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "text_key",

@@ -4,7 +4,7 @@ Sets are word shingles, equal sets are one. Tokens are ordered by rarity; the fi
 every set go to index lists, one per token. A list is sorted by size and blocked by position:
 only entries near enough to the front can be the smaller side of a match, the blocks of the
 others are skipped, and an entry is linked to one such entry of a compatible size before it.
-These links, linear in the lists, span candidate clusters. In a cluster a set's matches are
+These links, linear in the lists, span candidate clusters, which sketches part further. In a cluster a set's matches are
 counted once for a pivot, and derived from it for the sets that resemble the pivot.
 
 Counts, candidates and answers cover all documents. Sets are named by 64-bit hashes.
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterscale.llm.common import flat_bytes, ranges, slices, written
+from utterscale.llm.common import flat_bytes, slices, written
 from utterscale.llm.components import components
-from utterscale.llm.set_tiles import answers, tiles
+from utterscale.llm.set_tiles import SKETCHED, alike, answers, sketch, tiles
 from utterscale.llm.token_sets import (buckets, ceil_div, frequencies, groups, key_filter, maybe, ranked, row_sets,
                                        set_keys, BUCKET_BITS)
 
@@ -119,23 +119,58 @@ def _linked(rows: pa.Table, num: int, den: int):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _refined(docs: DataFrame, clusters: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``a, b``: links between sets of a cluster whose sketches allow a match.
+
+    An index list links sets by one common token. Sketches, some hundredth of a set's size,
+    part those that have little else in common before whole sets are moved.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(clusters, "key"))
+
+    def sketched(batches):
+        for key, h in _wanted(batches, bits.value, width):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([sketch(x).tobytes() for x in h], pa.binary())],
+                                             names=["key", "sketch"])
+
+    def linked(batches):
+        for tile in groups(batches, "tile"):
+            key, one = np.unique(tile["key"].to_numpy(), return_index=True)
+            found = tile["sketch"].combine_chunks().take(pa.array(one)).to_pylist()
+            pairs = alike(key, tile["n"].to_numpy()[one], [np.frombuffer(x, np.uint8) for x in found], num, den)
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    found = docs.select("text").mapInArrow(sketched, "key long, sketch binary")
+    placed = found.join(tiles(clusters, num, den, SKETCHED), "key")
+    return placed.select("tile", "key", "n", "sketch").repartition("tile").sortWithinPartitions("tile").mapInArrow(linked, "a long, b long")
+
+
+def _wanted(batches, bits: np.ndarray, width: int):
+    """Keys and token arrays of the sets that the filter lets pass, each once per task."""
+    seen: set[int] = set()
+    for batch in slices(batches, "text", PIECE):
+        data, offsets = flat_bytes(batch.column("text"))
+        h, at = row_sets(data, offsets, width)
+        keys, n = set_keys(h, at), np.diff(at)
+        pick = []
+        for i in np.flatnonzero((n > 0) & maybe(bits, keys)).tolist():
+            if keys[i] not in seen:
+                seen.add(keys[i])
+                pick.append(i)
+        yield keys[pick], [h[at[i]:at[i + 1]] for i in pick]
+
+
 def _matches(docs: DataFrame, clusters: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``a, b``: keys of matching sets, enough of them to connect all that match."""
+    """``a, b``: keys of matching sets, enough of them to connect all that match; ``clusters``: ``key, n, cluster``."""
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(clusters, "key"))
 
     def wanted(batches):
-        seen: set[int] = set()
-        for batch in slices(batches, "text", PIECE):
-            data, offsets = flat_bytes(batch.column("text"))
-            h, at = row_sets(data, offsets, width)
-            keys, n = set_keys(h, at), np.diff(at)
-            pick = [i for i in np.flatnonzero((n > 0) & maybe(bits.value, keys)).tolist() if keys[i] not in seen]
-            pick = [i for k, i in enumerate(pick) if keys[i] not in seen and not seen.add(keys[i])]
-            flat = h[ranges(at[:-1][pick], n[pick])] if pick else h[:0]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys[pick]), pa.array(n[pick]),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[pick])].astype(np.int32)), pa.array(flat.view(np.int64)))],
-                names=["key", "n", "tokens"])
+        for key, h in _wanted(batches, bits.value, width):
+            ends = np.r_[0, np.cumsum([len(x) for x in h])].astype(np.int32)
+            flat = np.concatenate(h) if h else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["key", "tokens"])
 
     def decided(batches):
         for tile in groups(batches, "tile"):
@@ -155,8 +190,8 @@ def _matches(docs: DataFrame, clusters: DataFrame, width: int, num: int, den: in
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    found = docs.select("text").mapInArrow(wanted, "key long, n long, tokens array<long>")
-    placed = tiles(found.join(clusters, "key"), num, den)
+    found = docs.select("text").mapInArrow(wanted, "key long, tokens array<long>")
+    placed = found.join(tiles(clusters, num, den), "key")
     return placed.select("tile", "key", "tokens").repartition("tile").sortWithinPartitions("tile").mapInArrow(decided, "a long, b long")
 
 
@@ -168,10 +203,15 @@ def joined(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> Data
     """
     sets, frequency = _sets(docs, width)
     links = _links(docs, frequency, width, num, den)
-    clusters = written(components(links).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters")
+    names = written(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "names")
+
+    def clustered(pairs: DataFrame) -> DataFrame:
+        found = components(pairs).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+        return written(found.join(names.select("key", "n"), "key"), "clusters")
+
+    clusters = clustered(_refined(docs, clustered(links), width, num, den))
     matched = written(components(_matches(docs, clusters, width, num, den))
                       .select(F.col("node").alias("key"), "component"), "matched")
-    names = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     both = names.join(matched, "key", "left")
     low = both.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("low"))
     named = both.join(low, "component", "left").select("key", F.coalesce("low", "rep").alias("component_id"))

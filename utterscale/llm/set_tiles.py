@@ -9,21 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TILE = 1 << 20  # tokens of a block; a tile holds two blocks at most
+SKETCHED = 1 << 22  # the same where sets come as sketches
 
 
-def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+def tiles(members: DataFrame, num: int, den: int, limit: int = TILE) -> DataFrame:
     """``tile, key, n`` and the other columns of ``cluster, key, n, ...``.
 
     Two sets of a cluster that can reach the similarity share a tile. A cluster of up to
-    ``TILE`` tokens is one tile. A larger one is cut by size class first (sets more than one
+    ``limit`` tokens is one tile. A larger one is cut by size class first (sets more than one
     class apart can't match), a class by key into blocks, and every two blocks that can
     match meet in a tile.
     """
     total = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     base = log(den / num) * 1.001
     rows = members.join(total, "cluster").withColumn(
-        "cls", F.when(F.col("total") <= TILE, 0).otherwise(1 + F.floor(F.log(F.col("n").cast("double")) / base)).cast("int"))
-    blocks = rows.groupBy("cluster", "cls").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("nb"))
+        "cls", F.when(F.col("total") <= limit, 0).otherwise(1 + F.floor(F.log(F.col("n").cast("double")) / base)).cast("int"))
+    blocks = rows.groupBy("cluster", "cls").agg(F.ceil(F.sum("n") / limit).cast("int").alias("nb"))
     above = blocks.select("cluster", (F.col("cls") - 1).alias("cls"), F.col("nb").alias("up"))
     below = blocks.select("cluster", (F.col("cls") + 1).alias("cls"), F.col("nb").alias("down"))
     plan = (blocks.join(above, ["cluster", "cls"], "left").join(below, ["cluster", "cls"], "left")
@@ -94,3 +95,50 @@ def answers(flat: np.ndarray, offsets: np.ndarray, num: int, den: int):
             less = np.setdiff1d(own, other, assume_unique=True)
             done[x] = True
             yield x, linked(x, overlap + counted(more) - counted(less))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Token counts in 2^k ranges of the hash, 8 to 16 tokens to a range, cut off at 255.
+
+    The summed differences of two sketches are never more than the symmetric difference.
+    Neighbouring ranges added give the next coarser sketch.
+    """
+    bits = max(4, int(np.ceil(np.log2(max(len(h), 1) / 16))))
+    found = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(found, 255).astype(np.uint8)
+
+
+def alike(key: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of keys whose sketches allow a match, enough of them to connect all such pairs."""
+    order = np.argsort(size, kind="stable")
+    key, size = key[order], size[order]
+    levels = np.array([len(sketches[i]) for i in order])
+    at = {m: np.flatnonzero(levels == m) for m in np.unique(levels)}
+    stacks = {m: np.stack([sketches[order[i]] for i in at[m]]).astype(np.int16) for m in at}
+    place = np.empty(len(key), np.int64)
+    for m in at:
+        place[at[m]] = np.arange(len(at[m]))
+    label, out = np.arange(len(key)), []
+    for i in range(len(key) - 1):
+        end = int(np.searchsorted(size, size[i] * den // num, side="right"))
+        mine = stacks[levels[i]][place[i]]
+        for m in (levels[i], 2 * levels[i]):
+            if m not in at:
+                continue
+            a, b = np.searchsorted(at[m], [i + 1, end])
+            other = at[m][a:b]
+            pick = np.flatnonzero(label[other] != label[i])
+            if not len(pick):
+                continue
+            rows = stacks[m][a:b][pick]
+            if m > levels[i]:
+                rows = np.minimum(rows[:, ::2] + rows[:, 1::2], 255)
+            other = other[pick]
+            both = size[i] + size[other]
+            room = both - 2 * -(-num * both // (num + den))
+            near = other[np.abs(rows - mine).sum(1, dtype=np.int64) <= room]
+            new, one = np.unique(label[near], return_index=True)
+            if len(new):
+                out += [(key[i], key[j]) for j in near[one]]
+                label[np.isin(label, new)] = label[i]
+    return out
