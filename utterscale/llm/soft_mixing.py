@@ -50,7 +50,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_domain: int = 4000) -> tuple[l
         for r in words.groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect():
             counts[domains.index(r["domain"]), r["b"]] = r["n"]
     prior = np.log(np.array([sizes[d] for d in domains], float)) if domains else np.zeros(0)
-    return domains, prior, np.log((counts + 1) / (counts + 1).sum(1, keepdims=True))
+    return domains, prior, np.log(counts + 1) - np.log((counts + 1).sum(1, keepdims=True))
 
 
 def posteriors(docs: DataFrame, domains: Sequence[str], prior: np.ndarray, likelihood: np.ndarray) -> DataFrame:
@@ -62,7 +62,7 @@ def posteriors(docs: DataFrame, domains: Sequence[str], prior: np.ndarray, likel
     """
     spark = docs.sparkSession
     names = [f"l{k}" for k in range(len(domains))]
-    relative = likelihood - likelihood.mean(0, keepdims=True)
+    relative = likelihood - likelihood.mean(0, keepdims=True) if len(domains) else likelihood
     table = spark.createDataFrame([(b, *map(float, relative[:, b])) for b in range(BUCKETS)],
                                   "b int" + "".join(f", {n} double" for n in names))
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
@@ -94,13 +94,15 @@ def fit_rates(members: DataFrame, weights: Sequence[float], whole: Sequence[int]
     step length 1 (inverse of the tokens-weighted Gram matrix).
     """
     k = len(weights)
+    if not k:
+        return members.withColumn("rate", F.lit(1.0))
     p = [F.col("posterior")[i] for i in range(k)]
     mass = F.col("tokens") * F.col("n_rows")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = members.agg(*[F.sum(mass * p[i]) for i in range(k)], *[F.sum(mass * p[i] * p[j]) for i, j in pairs]).first()
     now = np.array([first[i] or 0.0 for i in range(k)])
     rate = F.lit(1.0)
-    if not k or not now.sum():
+    if not now.sum():
         return members.withColumn("rate", rate)
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, first[k:]):
