@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterscale.llm.common import flat_bytes, slices, written
-from utterscale.llm.token_sets import groups, key_filter, maybe, mix
+from utterscale.llm.token_sets import key_filter, maybe, mix
 
 GRAM = 64
 NARROW = 8
 CROWD = 4096  # segments of an anchor from which on it is cut further
 ANCHOR_BITS = 26  # size of the filter of repeated anchors, 8 MB; a fuller one only lets more pass
 PIECE = 1 << 20
-SHARD, POOL = 1 << 18, 1 << 20  # bytes of a transform, and of the collection merged at a time
+SHARD, POOL = 1 << 16, 1 << 18  # bytes of a transform, and of the collection merged at a time
 STEP = 8
 ID = ["doc_id", "text_key"]
 
@@ -92,8 +92,8 @@ def _rows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.empty(n, np.uint64)
     for k in range(STEP):
         word[k::STEP] = flat[k:k + n].view(">u8") if k == 0 else flat[k:k + n].copy().view(">u8")
-    symbol = np.unique(word, return_inverse=True)[1].astype(np.int64) + 1
-    before = np.arange(n) - STEP
+    symbol = np.unique(word, return_inverse=True)[1].astype(np.int32) + 1
+    before = np.arange(n, dtype=np.int32) - STEP
     ends = (starts + widths - STEP)[:, None] + np.arange(STEP)
     before[(starts[:, None] + np.arange(STEP)).ravel()] = ends.ravel()
     symbol[ends.ravel()] = 0
@@ -102,7 +102,7 @@ def _rows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def transform(symbol: np.ndarray, before: np.ndarray, rounds: int) -> np.ndarray:
     """Slots of one shard ordered by their first ``rounds`` symbols."""
-    order = np.arange(len(symbol))
+    order = np.arange(len(symbol), dtype=np.int32)
     for _ in range(rounds):
         order = before[order[_radix(symbol[order])]]
     return order
@@ -116,14 +116,14 @@ def merged(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nd
     interval = np.zeros(len(shard), np.int64)
     common = np.full(len(shard), rounds)
     for depth in range(rounds):
-        here = np.empty(len(shard), np.int64)
+        here = np.empty(len(shard), np.int32)
         here[np.argsort(shard, kind="stable")] = symbols  # every shard's rows in their own order
         order = _radix(here)
         here, above = here[order], interval[order]
         shard = shard[order]
         part = np.r_[False, (here[1:] != here[:-1]) | (above[1:] != above[:-1])]
         common[part & (common == rounds)] = depth
-        interval = np.cumsum(part)
+        interval = np.cumsum(part, dtype=np.int32)
     return shard, interval, common
 
 
@@ -237,6 +237,22 @@ def _meeting(segments: DataFrame, length: int) -> DataFrame:
 
 def _found(meeting: DataFrame, length: int) -> DataFrame:
     """``anchor, seg, a, b``: the covered runs of every segment that has any, relative to its start."""
+    def met(batches):
+        """Per group its texts, each with its count and the segments it stands for."""
+        last, texts = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("meet", "bytes", "n", "anchor", "seg", "skip")]
+            for meet, text, n, h, seg, skip in zip(*columns):
+                if meet != last and texts:
+                    yield texts
+                    texts = {}
+                last = meet
+                entry = texts.setdefault(text, [0, set()])
+                entry[0] += n
+                entry[1].add((h, seg, skip))
+        if texts:
+            yield texts
+
     def run(batches):
         pool, size = [], 0  # (text, count, [(anchor, seg, skip)]) of groups with several texts
 
@@ -253,22 +269,22 @@ def _found(meeting: DataFrame, length: int) -> DataFrame:
             windows = repeated([p[0] for p in pool], [p[1] for p in pool], length)
             return rows([(p[2], *_spans(w, length)) for p, w in zip(pool, windows)])
 
-        for group in groups(batches, "meet"):
-            texts: dict[bytes, list] = {}
-            for text, n, h, seg, skip in zip(*[group[c].to_pylist() for c in ("bytes", "n", "anchor", "seg", "skip")]):
-                entry = texts.setdefault(text, [0, set()])
-                entry[0] += n
-                entry[1].add((h, seg, skip))
+        alone: list[tuple] = []  # of groups with one text that occurs several times
+        for texts in met(batches):
             if len(texts) == 1:
                 (text, (n, names)), = texts.items()
                 if n > 1:
-                    yield from rows([(names, np.array([0]), np.array([len(text)]))])
+                    alone.append((names, np.array([0]), np.array([len(text)])))
+                if len(alone) >= 10_000:
+                    yield from rows(alone)
+                    alone = []
                 continue
             pool += [(text, min(n, 2), names) for text, (n, names) in texts.items()]
             size += sum(map(len, texts))
             if size >= POOL:
                 yield from decided()
                 pool, size = [], 0
+        yield from rows(alone)
         if pool:
             yield from decided()
 
@@ -279,8 +295,11 @@ def _found(meeting: DataFrame, length: int) -> DataFrame:
 def removed(docs: DataFrame, length: int = 200) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``: one row per row of ``doc_id, text``.
 
-    ``kept`` is the remaining bytes. Document ids are integers. Runs jobs when called.
+    ``kept`` is the remaining bytes. Document ids are integers; ``length`` is at least
+    ``GRAM``. Runs jobs when called.
     """
+    if length < GRAM:
+        raise ValueError(f"length below {GRAM}")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
                        F.xxhash64("text").alias("text_key"), text.alias("text"))
