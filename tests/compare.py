@@ -16,6 +16,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+def list_pairs(spark, hyps, refs):
+    """A pair table of two lists, or of one hypothesis and one reference."""
+    lists = [x if isinstance(x, list) else [x] for x in (hyps, refs)]
+    return spark.createDataFrame([("A", i, h, r) for i, (h, r) in enumerate(zip(*lists))],
+                                 "system string, utt_id bigint, hyp string, ref string")
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import list_pairs
 from utterscale.functions import annotation, arrays, text
 from utterscale.operators import align, batching, evaluations, pairing, scores, splits, vocabulary
 
@@ -14,7 +15,7 @@ def one(spark, value, fn, kind="string"):
 
 
 def scored(spark, fn, hyp, ref, column):
-    return fn(pairing.lists_to_pairs(spark, hyp, ref)).first()[column]
+    return fn(list_pairs(spark, hyp, ref)).first()[column]
 
 
 @pytest.mark.parametrize("given, want", [
@@ -36,13 +37,13 @@ def test_normalize(spark, given, want):
     ("a b c", "a", 2, 1),
 ])
 def test_wer(spark, hyp, ref, edits, length):
-    row = scores.wer(pairing.lists_to_pairs(spark, hyp, ref)).first()
+    row = scores.wer(list_pairs(spark, hyp, ref)).first()
     assert (row["edits"], row["ref_words"]) == (edits, length)
 
 
 @pytest.mark.parametrize("hyp, ref, edits, length", [("", "a b c", 5, 5), ("a b c", "a", 4, 1), ("äö", "ao", 2, 2)])
 def test_cer(spark, hyp, ref, edits, length):
-    row = scores.cer(pairing.lists_to_pairs(spark, hyp, ref)).first()
+    row = scores.cer(list_pairs(spark, hyp, ref)).first()
     assert (row["edits"], row["ref_chars"]) == (edits, length)
 
 
@@ -198,15 +199,15 @@ def test_annotated_error_rate(spark):
     ("c d e a b", "a b c d e", 1), ("x y", "a b", 2),
 ])
 def test_ter(spark, hyp, ref, edits):
-    row = scores.ter(pairing.lists_to_pairs(spark, hyp, ref)).first()
+    row = scores.ter(list_pairs(spark, hyp, ref)).first()
     assert (row["edits"], row["ref_words"]) == (edits, len(ref.split()))
 
 
 def test_empty_references_are_left_out(spark):
-    pairs = pairing.lists_to_pairs(spark, ["a", "b"], ["a", "&"])
+    pairs = list_pairs(spark, ["a", "b"], ["a", "&"])
     assert scores.wer(pairs, preprocessor=text.normalize).first()["n_pairs"] == 1
     assert pairing.prepare(pairs, text.normalize, drop_empty_refs=True).count() == 1
-    assert scores.wer(pairing.lists_to_pairs(spark, ["a"], [""])).count() == 0
+    assert scores.wer(list_pairs(spark, ["a"], [""])).count() == 0
 
 
 def test_guards(spark):
@@ -235,3 +236,15 @@ def test_recording_id(spark):
     row = one(spark, "8032_6_B", text.recording_id_parts)
     assert tuple(row) == ("8032", 6, "B")
     assert tuple(one(spark, "8404_5", text.recording_id_parts)) == ("8404", 5, None)
+
+
+def test_null_references_are_left_out(spark):
+    pairs = list_pairs(spark, ["a b", "c", None], ["a b", None, "d"])
+    assert scores.wer(pairs).first()["n_pairs"] == 2
+    assert 0 <= scores.bleu(pairs).first()["bleu"] <= 1
+    assert scores.chrf(pairs).first() is not None
+
+
+def test_marks_with_punctuation_are_no_words(spark):
+    got = one(spark, "a @!. b (...), - c", lambda x: annotation.clean_text(annotation.parse_annotations(x)))
+    assert got == "a b c"

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.compare import list_pairs
 from utterscale.functions import arrays, text
 from utterscale.functions.distance import token_distance
 from utterscale.operators import align, evaluations, ngrams, ordering, pairing, scores, splits, ter
@@ -212,5 +213,5 @@ def test_fold_maps_are_disjoint():
 
 
 def test_python_preprocessor(spark):
-    pairs = pairing.lists_to_pairs(spark, ["A b"], ["a B"])
+    pairs = list_pairs(spark, ["A b"], ["a B"])
     assert scores.wer(pairs, preprocessor=text.as_preprocessor(str.lower)).first()["edits"] == 0

@@ -129,3 +129,20 @@ def test_stream_over_several_batches_equals_batch(spark, small, tmp_path):
     assert kept.count() == events.select("user_id").distinct().count()
     joined = kept.join(events.groupBy("user_id").agg(F.min("value").alias("m")), "user_id")
     assert joined.where(F.col("best") != F.least(F.lit(1.0), "m")).count() == 0
+
+
+def test_streams_read_folders_in_any_order(spark, small, tmp_path, monkeypatch):
+    from functools import partial
+
+    from utterscale.plans import catalog
+
+    events = spark.read.parquet(f"{small}/events.parquet").orderBy("ts").collect()
+    schema = spark.read.parquet(f"{small}/events.parquet").schema
+    step = len(events) // 4 + 1
+    for part in range(3, -1, -1):  # the newest rows come first, one file per batch
+        rows = spark.createDataFrame(events[part * step:(part + 1) * step], schema)
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(jobs, "read_table_stream", partial(jobs.read_table_stream, files_per_batch=1))
+    for name in ("stream_event_counts", "stream_best"):
+        query = catalog.queries()[name]
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, small).collect()))

@@ -13,9 +13,12 @@ TAG_NAMES = {"g": "l1", "?": "guess", "!": "error"}
 MARKS = {"@!": "missing", "-": "repetition", "--": "reformulation", "(...)": "pause", "(…)": "pause"}
 
 
+MARK = r"^(@!|--?|\(\.\.\.\)|\(…\))[.,;:!?…]*$"
+
+
 def _mark(token: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
-    return F.try_element_at(table, token)
+    return F.try_element_at(table, F.regexp_extract(token, MARK, 1))
 
 
 def tokens(text: Column) -> Column:

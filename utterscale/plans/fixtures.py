@@ -149,11 +149,14 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
     return turns(spark, folder).select("utt_id", F.transform("tokens", timed).alias("words"))
 
 
+def evals_of(events: DataFrame) -> DataFrame:
+    """Evaluations ``run, ts, event_id, wer``: every event, a run per type and fifth of the users."""
+    run = F.concat("event_type", F.lit(":"), F.col("user_id") % 5)
+    return events.select(run.alias("run"), "ts", "event_id", (F.col("value") / 50).alias("wer"))
+
+
 def evals(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluations read from the event log: ``run, ts, event_id, wer``."""
-    rows = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
-    return rows.where(F.col("event_type") == "view").select(
-        (F.col("user_id") % 5).alias("run"), "ts", "event_id", (F.col("value") / 50).alias("wer"))
+    return evals_of(table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value"))
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,7 +166,7 @@ DAY = "yyyy-MM-dd"
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events per day and type, counted by a stream over the table's files."""
-    stream = jobs.with_event_time(jobs.read_table_stream(spark, folder, "events"), "ts", "1 hour")
+    stream = jobs.with_event_time(jobs.read_table_stream(spark, folder, "events"), "ts")
     counts = jobs.windowed_counts(stream, ["event_type"])
     return jobs.current(counts, "event-counts", ["window_start", "event_type"]).select(
         F.date_format("window_start", DAY).alias("day"), "event_type", "n")
@@ -181,7 +181,7 @@ def stream_wer(spark: SparkSession, folder: str) -> DataFrame:
     docs = jobs.read_table_stream(spark, folder, "documents")
     pairs = fixtures.pairs_of(fixtures.utterances_of(docs))
     timed = pairs.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 3600))
-    errors = scores.word_errors(jobs.with_event_time(timed, "ts", "1 hour"))
+    errors = scores.word_errors(jobs.with_event_time(timed, "ts"))
     sums = jobs.windowed_sums(errors, ["system"], {"edits": F.col("edits"), "ref_words": F.col("ref_words")})
     return jobs.current(sums, "wer", ["window_start", "system"]).select(
         F.date_format("window_start", DAY).alias("day"), "system", "edits", "ref_words",
@@ -193,7 +193,6 @@ SELECT run, round(least(1.0, wer), 6) AS best, event_id FROM ranked
 QUALIFY row_number() OVER (PARTITION BY run ORDER BY wer, ts, event_id) = 1""")
 def stream_best(spark: SparkSession, folder: str) -> DataFrame:
     """Best evaluation per run, kept by a stream."""
-    views = jobs.read_table_stream(spark, folder, "events").where(F.col("event_type") == "view").select(
-        (F.col("user_id") % 5).alias("run"), "ts", "event_id", (F.col("value") / 50).alias("wer"))
-    best = jobs.running_best(views, "run", "wer", ["ts", "event_id"], evaluations.START)
+    evals = fixtures.evals_of(jobs.read_table_stream(spark, folder, "events"))
+    best = jobs.running_best(evals, "run", "wer", ["ts", "event_id"], evaluations.START)
     return jobs.current(best, "best", ["run"]).select("run", F.round("best", 6).alias("best"), "event_id")

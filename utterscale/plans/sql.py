@@ -102,7 +102,7 @@ par AS (SELECT utt_id, conv_id, role, pos,
 """
 
 EVALS = """
-evals AS (SELECT user_id % 5 AS run, ts, event_id, value / 50 AS wer FROM events WHERE event_type = 'view'),
+evals AS (SELECT event_type || ':' || (user_id % 5) AS run, ts, event_id, value / 50 AS wer FROM events),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS eval_nr FROM evals)
 """
 

@@ -25,7 +25,8 @@ def prediction_sheet(pairs: DataFrame, scores: DataFrame, evaluation: str = "sys
     """``evaluation, idx, line``: a score header (idx -1), then ``idx, hyp, ref`` lines."""
     numbers = number_rows(pairs.select(evaluation, "utt_id"), [evaluation], ["utt_id"])
     numbered = pairs.join(numbers, [evaluation, "utt_id"]).withColumn("idx", F.col("idx") - 1)
-    body = numbered.select(evaluation, "idx", F.concat_ws("\t", F.col("idx").cast("string"), "hyp", "ref").alias("line"))
+    body = numbered.select(evaluation, "idx", F.concat_ws(
+        "\t", F.col("idx").cast("string"), F.coalesce("hyp", F.lit("")), F.coalesce("ref", F.lit(""))).alias("line"))
     head = scores.select(evaluation, F.lit(-1).cast("bigint").alias("idx"),
                          F.format_string("WER: %.6f\t BLEU:%.6f", "wer", "bleu").alias("line"))
     return head.unionByName(body)

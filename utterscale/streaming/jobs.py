@@ -16,15 +16,18 @@ from utterscale.sources.shared import shared_folder
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """Stream one table's parquet file(s); the schema comes from the files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
-
-
-def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
-    """Event time as a zoned timestamp (a watermark needs one) with its watermark."""
-    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+    """Stream one table, a file or a folder of part files; the schema comes from the files."""
+    path = f"{folder}/{name}.parquet"
+    return (spark.readStream.schema(spark.read.parquet(path).schema)
+            # as a pattern, since a plain path would have to be a folder
+            .option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]"))
+
+
+def with_event_time(stream: DataFrame, column: str, delay: str | None = None) -> DataFrame:
+    """Event time as a zoned timestamp. A watermark is set only where the longest ``delay`` of
+    a row is known: later rows would be dropped, and a backlog comes in any order."""
+    timed = stream.withColumn(column, F.col(column).cast("timestamp"))
+    return timed.withWatermark(column, delay) if delay else timed
 
 
 def windowed_counts(stream: DataFrame, by: Sequence[str], time: str = "ts", width: str = "1 day") -> DataFrame:
