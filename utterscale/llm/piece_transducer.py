@@ -15,6 +15,7 @@ alike; texts of any length are encoded whole; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -50,6 +51,9 @@ class Transducer:
         found = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.bytes = [found.get(b, self.unknown) for b in range(256)] if found else None
         self.longest = max(map(len, self.score), default=1)
+        self.reach: dict[str, int] = {}  # longest piece per first two characters
+        for piece in self.score:
+            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
         # a piece that holds a mark behind another character would cross units
         self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
@@ -57,7 +61,7 @@ class Transducer:
         self.text = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6
                      else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.follows: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, list[int]] = {}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -86,20 +90,46 @@ class Transducer:
             self.follows[key] = self._merged([*last, *piece]) == ([last, piece] if last else [piece])
         return self.follows[key]
 
-    def _path(self, unit: str) -> list[str]:
-        """Pieces on the shortest path through the lattice of one unit."""
+    def _free_path(self, unit: str) -> list[str]:
+        """Pieces of the one path without cost through a merge model's lattice.
+
+        Walked depth first, longest arc first. At most one free path ends at a position, so a
+        position from which the end cannot be reached is never entered again.
+        """
+        n, i, path, dead = len(unit), 0, [], set()
+        score, follows, reach = self.score, self.follows, self.reach
+        size = min(reach.get(unit[:2], 1), n)
+        while i < n:
+            last = path[-1] if path else ""
+            while size:
+                piece = unit[i:i + size]
+                if (size == 1 or piece in score) and i + size not in dead:
+                    free = follows.get((last, piece))
+                    if self._may_follow(last, piece) if free is None else free:
+                        break
+                size -= 1
+            if size:
+                path.append(piece)
+                i += size
+                size = min(reach.get(unit[i:i + 2], 1), n - i)
+            else:
+                dead.add(i)
+                size = len(path.pop())
+                i -= size
+                size -= 1
+        return path
+
+    def _cheapest_path(self, unit: str) -> list[str]:
+        """Pieces on the cheapest path through a unigram model's lattice."""
         n = len(unit)
         cost = [0.0] + [np.inf] * n
         back: list[str] = [""] * (n + 1)
         for j in range(1, n + 1):
             for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
                 piece = unit[i:j]
-                if cost[i] == np.inf or not (piece in self.score or i == j - 1):
+                if not (piece in self.score or i == j - 1):
                     continue
-                if self.merges:
-                    arc = 0.0 if self._may_follow(back[i], piece) else np.inf
-                else:
-                    arc = -self.score[piece] if piece in self.score else self.unknown_cost
+                arc = -self.score[piece] if piece in self.score else self.unknown_cost
                 if cost[i] + arc < cost[j]:
                     cost[j], back[j] = cost[i] + arc, piece
         out = []
@@ -108,18 +138,18 @@ class Transducer:
             n -= len(back[n])
         return out[::-1]
 
-    def unit_ids(self, unit: str) -> np.ndarray:
+    def unit_ids(self, unit: str) -> list[int]:
         found = self.memo.get(unit)
         if found is None:
             ids: list[int] = []
-            for piece in self._path(unit):
+            for piece in self._free_path(unit) if self.merges else self._cheapest_path(unit):
                 if piece in self.ids:
                     ids.append(self.ids[piece])
                 elif self.bytes:
                     ids += [self.bytes[b] for b in piece.encode()]
                 elif not ids or ids[-1] != self.unknown:  # a run of unknown characters is one piece
                     ids.append(self.unknown)
-            found = np.array(ids, np.int32)
+            found = ids
             if len(unit) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -127,8 +157,7 @@ class Transducer:
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        parts = [self.unit_ids(u) for u in self.unit.findall(self.normalise(text))]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
@@ -137,7 +166,7 @@ class Transducer:
         flat = np.fromiter((number.setdefault(u, len(number)) for us in units for u in us), np.int64)
         coded = [self.unit_ids(u) for u in number]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        pool = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+        pool = np.fromiter(itertools.chain.from_iterable(coded), np.int32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
         ids = pool[ranges(starts[flat], lengths[flat])]
         ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
