@@ -21,14 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
+    """Null for an empty array."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")), F.size(values))
 
 
 def znorm(values: Column) -> Column:
-    """Zero mean, unit population variance, in double precision."""
+    """Zero mean, unit population variance, in double precision; an empty array stays empty."""
     def spread(v: Column, mean: Column) -> Column:
-        return F.aggregate(v, F.lit(0.0),
-                           lambda a, x: a + (x.cast("double") - mean) * (x.cast("double") - mean)) / F.size(v)
+        squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") - mean) * (x.cast("double") - mean))
+        return F.try_divide(squares, F.size(v))
 
     return let(values, lambda v: let(mean_of(v), lambda mean: let(
         F.sqrt(spread(v, mean) + F.lit(1e-7)),

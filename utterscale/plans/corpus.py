@@ -10,7 +10,7 @@ from utterscale.operators import batching, ordering, splits, vocabulary
 from utterscale.plans import fixtures, sql, texts
 from utterscale.plans.registry import query
 from utterscale.sources import corpora, files, sheets
-from utterscale.sources.scan import spread, table
+from utterscale.sources.scan import table
 from utterscale.sources.shared import shared_folder
 
 SEED = 123  # fixed value: configured seed
@@ -169,27 +169,21 @@ def znorm_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("utt_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 6).alias("value"))
 
 
-@query(sql.with_(sql.UTTERANCES, sql.LABELS, texts.FREQ, texts.VOCAB, sql.SIGNALS, ZNORM, """
+@query(sql.with_(sql.SIGNALS, sql.LABELS, texts.FREQ, texts.VOCAB, ZNORM, """
 vm AS (SELECT map(list(CASE WHEN token = '|' THEN ' ' ELSE token END), list(id)) AS m,
               max(id) FILTER (token = '|') AS bar FROM voc WHERE token <> '[UNK]')""") + """
-SELECT zn.utt_id, len(vs)::BIGINT AS input_length, round(list_max(vs) - mu, 6) AS peak, round(sd, 6) AS scale,
-       array_to_string(list_transform(string_split(lower(d.text), ''),
+SELECT utt_id, len(vs)::BIGINT AS input_length, round((vs[1] - mu) / sd, 6) AS first, round((list_max(vs) - mu) / sd, 6) AS peak,
+       array_to_string(list_transform(string_split(clear_text, ''),
          lambda c: coalesce(m[c], CASE WHEN c = '|' THEN bar END, unk)), ' ') AS labels
-FROM zn JOIN documents d ON d.doc_id = zn.utt_id, vm, (SELECT id AS unk FROM voc WHERE token = '[UNK]')""")
+FROM zn JOIN lab USING (utt_id), vm, (SELECT id AS unk FROM voc WHERE token = '[UNK]')""")
 def prepare_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Corpus rows (signal and text) mapped to length, normalised signal and labels."""
+    """Every corpus row (signal and text) mapped to length, normalised signal and labels."""
     ids = vocabulary.lookup(texts._vocabulary(spark, folder))
-    audio = fixtures.signals(spark, folder).select("utt_id", F.col("input_values").alias("audio"))
-    labels = spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id").select(
-        F.col("doc_id").alias("utt_id"), F.lower("text").alias("clear_text"))
-    rows = audio.join(labels, "utt_id").select(
-        "utt_id", F.size("audio").alias("input_length"), arrays.znorm(F.col("audio")).alias("input_values"),
-        F.array_max("audio").cast("double").alias("top"), arrays.mean_of(F.col("audio")).alias("mean"),
-        vocabulary.encode(F.col("clear_text"), ids).alias("labels"))
-    peak = F.col("top") - F.col("mean")
-    return rows.select("utt_id", F.col("input_length").cast("bigint").alias("input_length"),
-                       F.round(peak, 6).alias("peak"),
-                       F.round(peak / F.array_max("input_values"), 6).alias("scale"),
+    rows = fixtures.signals(spark, folder).select(
+        "utt_id", F.size("input_values").cast("bigint").alias("input_length"),
+        arrays.znorm(F.col("input_values")).alias("input_values"), vocabulary.encode(F.col("clear_text"), ids).alias("labels"))
+    return rows.select("utt_id", "input_length", F.round(F.get("input_values", 0), 6).alias("first"),
+                       F.round(F.array_max("input_values"), 6).alias("peak"),
                        F.array_join(F.col("labels").cast("array<string>"), " ").alias("labels"))
 
 
@@ -267,10 +261,10 @@ def pad_multiple(spark: SparkSession, folder: str) -> DataFrame:
     return _input_rows(_padded(spark, folder, multiple_of=16, multiple_of_labels=4))
 
 
-@query(sql.with_(*PLAN) + _input_sql("greatest(40, len(input_values))"))
+@query(sql.with_(*PLAN) + _input_sql("greatest(160, len(input_values))"))
 def pad_max_length(spark: SparkSession, folder: str) -> DataFrame:
     """Padding to a fixed length does not cut what is longer."""
-    return _input_rows(_padded(spark, folder, padding="max_length", max_length=40, max_length_labels=12))
+    return _input_rows(_padded(spark, folder, padding="max_length", max_length=160, max_length_labels=16))
 
 
 @query(sql.with_(_batches("documents", "doc_id", "n_chars"), f"""

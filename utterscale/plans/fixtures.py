@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscale.functions import arrays
+from utterscale.functions import arrays, text
 from utterscale.sources.scan import spread, table
 
 UTTERANCE_WORDS = 24
@@ -89,12 +89,11 @@ def label_utterances(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
-    """Arrays of different length standing in for audio."""
-    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
-    return rows.select(F.col("vec_id").alias("utt_id"),
-                       F.slice("embedding", 1, (8 + F.col("vec_id") % 57).cast("int")).alias("input_values"),
-                       F.transform(F.slice("embedding", 1, (3 + F.col("vec_id") % 11).cast("int")),
-                                   lambda x: F.floor(x * 16).cast("int") + 20).alias("labels"))
+    """The code points of every utterance standing in for audio, the lengths of its words for labels."""
+    rows = utterances(spark, folder).select("utt_id", "tokens", F.array_join("tokens", " ").alias("spoken"))
+    return rows.select("utt_id", F.lower("spoken").alias("clear_text"),
+                       F.transform(text.chars(F.col("spoken")), lambda c: F.ascii(c).cast("float")).alias("input_values"),
+                       F.transform("tokens", F.length).alias("labels"))
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:

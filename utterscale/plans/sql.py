@@ -53,10 +53,12 @@ LABELS = """
 lab AS (SELECT utt_id, doc_id, lower(array_to_string(tokens, ' ')) AS clear_text FROM utt)
 """
 
-SIGNALS = """
-sig AS (SELECT vec_id AS utt_id, embedding[1 : 8 + vec_id % 57] AS input_values,
-               list_transform(embedding[1 : 3 + vec_id % 11], lambda x: floor(x * 16)::INT + 20) AS labels
-        FROM embeddings)
+SIGNALS = f"""
+{UTTERANCES.strip()},
+sig AS (SELECT utt_id, list_transform(string_split(array_to_string(tokens, ' '), ''), lambda c: unicode(c)::FLOAT) AS input_values,
+               list_transform(tokens, lambda t: length(t)::INT) AS labels
+        FROM utt WHERE array_to_string(tokens, ' ') <> ''
+        UNION ALL SELECT utt_id, [], [0] FROM utt WHERE array_to_string(tokens, ' ') = '')
 """
 
 FRAMES = """
