@@ -78,27 +78,30 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CONFIGS = """
-cfg AS (SELECT event_id, CASE event_type
+raw AS (SELECT event_id, CASE event_type
     WHEN 'view' THEN '{"seed":' || user_id || ',"optim":"view"}'
     WHEN 'click' THEN '{"n_steps":' || (event_id % 250) || ',"train_corpora":[["click","train"]],"old_key":1}'
     WHEN 'error' THEN '{"learning_rate":' || value || ',"optim":null}'
     WHEN 'purchase' THEN '{"fp16":false,"gradient_checkpointing":false,"dataset_kwargs":{"lowercase":true}}'
-    ELSE '{}' END AS config FROM events)
+    ELSE CASE event_id % 3 WHEN 0 THEN '{"seed":1' WHEN 1 THEN '{"seed":"abc","fp16":false}' ELSE '{}' END END AS config FROM events),
+whole AS (SELECT event_id, CASE WHEN json_valid(config) THEN config END AS config FROM raw),
+cfg AS (SELECT *, CASE WHEN config IS NULL THEN 'json'
+    WHEN (config ->> '$.seed') IS NOT NULL AND TRY_CAST(config ->> '$.seed' AS BIGINT) IS NULL THEN 'type: seed' END AS error FROM whole)
 """
 
 
 def _config_value(key: str, default: str, kind: str) -> str:
-    return (f"CASE WHEN list_contains(json_keys(config), '{key}') THEN (config ->> '$.{key}')::{kind} "
-            f"ELSE {default} END AS {key}")
+    return (f"CASE WHEN list_contains(json_keys(config), '{key}') THEN TRY_CAST(config ->> '$.{key}' AS {kind}) "
+            f"WHEN error IS NULL THEN {default} END AS {key}")
 
 
 @query(sql.with_(CONFIGS) + f"""
 SELECT event_id, {_config_value('seed', '123', 'BIGINT')}, {_config_value('n_steps', '30', 'BIGINT')},
        {_config_value('optim', "'adamw_hf'", 'VARCHAR')}, {_config_value('learning_rate', '3e-5', 'DOUBLE')},
        {_config_value('fp16', 'true', 'BOOLEAN')}, {_config_value('dataset_kwargs', "'{}'", 'VARCHAR')},
-       CASE WHEN list_contains(json_keys(config), 'gradient_checkpointing') THEN 0 ELSE 1 END::BIGINT AS gradient_checkpointing,
-       coalesce(config ->> '$.train_corpora[0][0]', 'corpus') AS corpus,
-       CASE WHEN list_contains(json_keys(config), 'old_key') THEN 'old_key' ELSE '' END AS unknown_keys FROM cfg""")
+       CASE WHEN list_contains(json_keys(config), 'gradient_checkpointing') THEN 0 WHEN error IS NULL THEN 1 END::BIGINT AS gradient_checkpointing,
+       coalesce(config ->> '$.train_corpora[0][0]', CASE WHEN error IS NULL THEN 'corpus' END) AS corpus,
+       CASE WHEN list_contains(json_keys(config), 'old_key') THEN 'old_key' WHEN config IS NOT NULL THEN '' END AS unknown_keys, error FROM cfg""")
 def runs_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Run configurations (one JSON object per event) with defaults filled in."""
     e, j = F.col("event_type"), F.concat
@@ -107,13 +110,14 @@ def runs_manifest(spark: SparkSession, folder: str) -> DataFrame:
                                     F.lit(',"train_corpora":[["click","train"]],"old_key":1}')))
               .when(e == "error", j(F.lit('{"learning_rate":'), "value", F.lit(',"optim":null}')))
               .when(e == "purchase", '{"fp16":false,"gradient_checkpointing":false,"dataset_kwargs":{"lowercase":true}}')
-              .otherwise("{}"))
+              .otherwise(F.when(F.col("event_id") % 3 == 0, '{"seed":1')
+                         .when(F.col("event_id") % 3 == 1, '{"seed":"abc","fp16":false}').otherwise("{}")))
     rows = table(spark, folder, "events", "event_id", "user_id", "event_type", "value").select(
         "event_id", config.alias("config"))
     return runconfig.expand(rows).select(
         "event_id", "seed", "n_steps", "optim", "learning_rate", "fp16", "dataset_kwargs", "gradient_checkpointing",
         F.get(F.get("train_corpora", F.lit(0)), F.lit(0)).alias("corpus"),
-        F.array_join("unknown_keys", ",").alias("unknown_keys"))
+        F.array_join("unknown_keys", ",").alias("unknown_keys"), "error")
 
 
 RULES = {

@@ -49,24 +49,35 @@ def _literal(kind: str, value: Any) -> Column:
 
 
 def expand(rows: DataFrame, column: str = "config") -> DataFrame:
-    """One column per known key, defaults where the key is absent, plus ``unknown_keys``.
+    """One column per known key, defaults where the key is absent, plus ``unknown_keys`` and ``error``.
 
-    An explicit ``null`` stays null, as a key that is present is never defaulted.
+    An explicit ``null`` stays null, as a key that is present is never defaulted. ``error`` is
+    ``json`` for a text that is no JSON object, or ``type: `` and the keys whose value has the
+    wrong type; such a row takes no defaults.
     """
     # a JSON flag may be written 0/1 where the key is a number, so numbers read flags too
     flag = "gradient_checkpointing"
     schema = ", ".join(f"{k} {'string' if k == flag else kind}" for k, (kind, _) in KEYS.items())
-    parsed = rows.withColumns({"_c": F.from_json(column, schema), "_keys": F.json_object_keys(column)})
+    parsed = rows.withColumns({"_c": F.from_json(column, schema), "_keys": F.json_object_keys(column),
+                               "_v": F.try_parse_json(column)})
 
-    def value(key: str, kind: str, default: Any) -> Column:
+    def given(key: str) -> Column:
         found = F.col(f"_c.{key}")
         if key == flag:
             found = F.when(found == "true", 1).when(found == "false", 0).otherwise(found.try_cast("bigint"))
-        return F.when(F.array_contains("_keys", key), found).otherwise(_literal(kind, default)).alias(key)
+        return found
+
+    def value(key: str, kind: str, default: Any) -> Column:
+        return (F.when(F.array_contains("_keys", key), given(key))
+                .when(F.col("error").isNull(), _literal(kind, default)).alias(key))
+
+    wrong = F.array(*[F.when(F.try_variant_get("_v", f"$.{k}", "string").isNotNull() & given(k).isNull(), k) for k in KEYS])
+    parsed = parsed.withColumn("_wrong", F.array_join(wrong, ", ")).withColumn("error", F.when(
+        F.col("_v").isNull() | F.col("_keys").isNull(), "json").when(F.col("_wrong") != "", F.concat(F.lit("type: "), "_wrong")))
 
     known = F.array(*[F.lit(k) for k in KEYS])
     return parsed.select(*rows.columns, *[value(k, kind, d) for k, (kind, d) in KEYS.items()],
-                         F.array_except("_keys", known).alias("unknown_keys"))
+                         F.array_except("_keys", known).alias("unknown_keys"), "error")
 
 
 @dataclass(frozen=True)
