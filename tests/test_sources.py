@@ -146,3 +146,19 @@ def test_streams_read_folders_in_any_order(spark, small, tmp_path, monkeypatch):
     for name in ("stream_event_counts", "stream_best"):
         query = catalog.queries()[name]
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, small).collect()))
+
+
+def test_broken_configurations_take_no_defaults(spark):
+    given = ['{"seed":1', '{"seed":"abc"}', "[1]", None, '{"seed":null}', '{"fp16":3,"n_steps":7}', "{}"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "i int, config string")
+    found = {r["i"]: (r["error"], r["seed"], r["n_steps"]) for r in runconfig.expand(rows).select("i", "error", "seed", "n_steps").collect()}
+    assert found == {0: ("json", None, None), 1: ("type: seed", None, None), 2: ("json", None, None), 3: ("json", None, None),
+                     4: (None, None, 30), 5: ("type: fp16", None, 7), 6: (None, 123, 30)}
+
+
+def test_integers_beyond_64_bits(spark):
+    given = ['{"a":12345678901234567890}', '{"a":1.0}', '{"a":5}', '{"a":12345678901234567890.5}']
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "i int, j string")
+    for kind, wanted in {"int": [0, 2], "real": [1, 3], "float": [0, 1, 2, 3]}.items():
+        kept = validation.validate(rows, "j", {"a": validation.Rule(kind)}).where("size(violations) = 0")
+        assert sorted(r["i"] for r in kept.collect()) == wanted

@@ -12,7 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INTEGER, REAL = "^BIGINT$", r"^(DOUBLE|FLOAT|DECIMAL\(.*\))$"
+# integers beyond 64 bits are decimals of 19 to 38 digits without a fraction; 1.0 is a shorter one
+LONG = r"DECIMAL\((19|[23]\d),0\)"
+INTEGER, REAL = rf"^(BIGINT|{LONG})$", rf"^(?!{LONG}$)(DOUBLE|FLOAT|DECIMAL\(.*\))$"
 NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$"
 KINDS = {"int": INTEGER, "float": NUMBER, "real": REAL, "str": "^STRING$", "bool": "^BOOLEAN$",
          "list": "^ARRAY<", "dict": "^OBJECT<"}
