@@ -18,18 +18,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterscale.llm.common import WHITE, written
+from utterscale.llm.common import written
 
 BUCKETS = 4096
 STEPS = 25
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE + "+"), "")
+    """The lower-cased pieces between single separators; some are empty and no words."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for other in "\t\n\x0B\f\r":
+        plain = F.replace(plain, F.lit(other), F.lit(" "))
+    return F.split(plain, " ")
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_domain: int = 4000) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -46,7 +50,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_domain: int = 4000) -> tuple[l
         rates = F.create_map(*[F.lit(x) for d in domains for x in (d, min(1.0, per_domain / sizes[d]))])
         unit = F.pmod(F.xxhash64(F.lit(23), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
         sample = known.where(unit < F.element_at(rates, F.col("domain")))
-        words = docs.select("doc_id", "text").join(sample, "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w"))
+        words = docs.select("doc_id", "text").join(sample, "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
         for r in words.groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect():
             counts[domains.index(r["domain"]), r["b"]] = r["n"]
     prior = np.log(np.array([sizes[d] for d in domains], float)) if domains else np.zeros(0)
@@ -57,25 +61,25 @@ def posteriors(docs: DataFrame, domains: Sequence[str], prior: np.ndarray, likel
     """``doc_id, text_hash, n_rows, tokens, posterior`` (array in the order of ``domains``).
 
     Words are exploded and summed inside the task before the shuffle, which carries one row
-    per document. The broadcast table has ``BUCKETS`` rows. The log likelihood counts with
-    the root of the length, so that long texts do not saturate.
+    per document. The likelihoods, relative to the first domain, are one constant array of
+    ``BUCKETS`` numbers per further domain. The log likelihood counts with the root of the
+    length, so that long texts do not saturate.
     """
-    spark = docs.sparkSession
-    names = [f"l{k}" for k in range(len(domains))]
-    relative = likelihood - likelihood.mean(0, keepdims=True) if len(domains) else likelihood
-    table = spark.createDataFrame([(b, *map(float, relative[:, b])) for b in range(BUCKETS)],
-                                  "b int" + "".join(f", {n} double" for n in names))
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                        F.posexplode_outer(_words(F.col("text"))).alias("pos", "w"))
-    scored = words.withColumn("b", _bucket(F.col("w"))).join(F.broadcast(table), "b", "left")
-    # the hash of a null bucket is no word
-    has = F.col("w").isNotNull()
+    names = [f"l{k}" for k in range(1, len(domains))]
+    constant = [_constant(row - likelihood[0]) for row in likelihood[1:]]
+    # the hash is taken below the explode, once per text
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
+    words = texts.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "w"))
+    is_word = F.col("w") != ""
+    bucket = F.when(is_word, _bucket(F.col("w")))
+    scored = words.select("doc_id", "text_hash", (F.col("pos") == 0).cast("long").alias("first"), bucket.alias("b"))
     sums = scored.groupBy("doc_id", "text_hash").agg(
-        F.sum(F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1)).alias("n_rows"), F.count("w").alias("tokens"),
-        *[F.sum(F.when(has, F.col(n)).otherwise(0.0)).alias(n) for n in names])
+        F.sum("first").alias("n_rows"), F.count("b").alias("tokens"),
+        *[F.coalesce(F.sum(F.get(c, F.col("b"))), F.lit(0.0)).alias(n) for n, c in zip(names, constant)])
     tokens = (F.col("tokens") / F.col("n_rows")).cast("long")
-    scores = F.array(*[F.lit(float(prior[k])) + F.col(n) / F.col("n_rows") / F.sqrt(F.greatest(tokens, F.lit(1)))
-                       for k, n in enumerate(names)]).cast("array<double>")
+    relative = [F.lit(0.0), *map(F.col, names)][:len(domains)]
+    scores = F.array(*[F.lit(float(prior[k])) + x / F.col("n_rows") / F.sqrt(F.greatest(tokens, F.lit(1)))
+                       for k, x in enumerate(relative)]).cast("array<double>")
     rows = sums.select("doc_id", "text_hash", "n_rows", tokens.alias("tokens"), scores.alias("s"))
     rows = rows.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
@@ -83,6 +87,21 @@ def posteriors(docs: DataFrame, domains: Sequence[str], prior: np.ndarray, likel
                                               F.transform("e", lambda x: x / F.col("z")).alias("posterior"))
 
 
+def _constant(values: Sequence[float]) -> Column:
+    """An array column of fixed numbers that the optimizer folds to one value."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+
+
+def _rate(moves: Sequence[np.ndarray]) -> Column:
+    """The rate after all moves, each cut off at zero. The expression keeps its shape, so that
+    its compiled code serves every step."""
+    if not moves:
+        return F.lit(1.0)
+    parts = [_constant(x) for x in np.array(moves).T]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(moves) - 1)), F.lit(1.0), lambda rate, t: F.greatest(
+        rate - sum(F.col("posterior")[i] * F.get(x, t) for i, x in enumerate(parts)), F.lit(0.0)))
+
+
 def fit_rates(members: DataFrame, weights: Sequence[float], whole: Sequence[int], steps: int = STEPS,
               tolerance: float = 1e-6) -> DataFrame:
     """Adds ``rate`` to rows of ``n_rows, tokens, posterior``.
@@ -101,9 +120,8 @@ def fit_rates(members: DataFrame, weights: Sequence[float], whole: Sequence[int]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = members.agg(*[F.sum(mass * p[i]) for i in range(k)], *[F.sum(mass * p[i] * p[j]) for i, j in pairs]).first()
     now = np.array([first[i] or 0.0 for i in range(k)])
-    rate = F.lit(1.0)
     if not now.sum():
-        return members.withColumn("rate", rate)
+        return members.withColumn("rate", F.lit(1.0))
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, first[k:]):
         gram[i, j] = gram[j, i] = x
@@ -111,14 +129,12 @@ def fit_rates(members: DataFrame, weights: Sequence[float], whole: Sequence[int]
     total = max([now[i] / share[i] for i in whole if share[i] > 0], default=now.sum())
     target = share * total
     inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    for _ in range(steps):
-        if np.abs(now - target).max() <= tolerance * target.sum():
-            break
-        move = inverse @ (now - target)
-        rate = F.greatest(rate - sum(p[i] * float(move[i]) for i in range(k)), F.lit(0.0))
-        found = members.withColumn("rate", rate).agg(*[F.sum(mass * p[i] * F.col("rate")) for i in range(k)]).first()
+    moves: list[np.ndarray] = []
+    while len(moves) < steps and np.abs(now - target).max() > tolerance * target.sum():
+        moves.append(inverse @ (now - target))
+        found = members.withColumn("rate", _rate(moves)).agg(*[F.sum(mass * p[i] * F.col("rate")) for i in range(k)]).first()
         now = np.array([x or 0.0 for x in found])
-    return members.withColumn("rate", rate)
+    return members.withColumn("rate", _rate(moves))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], whole: Sequence[str],
