@@ -50,7 +50,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_domain: int = 4000) -> tuple[l
         rates = F.create_map(*[F.lit(x) for d in domains for x in (d, min(1.0, per_domain / sizes[d]))])
         unit = F.pmod(F.xxhash64(F.lit(23), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
         sample = known.where(unit < F.element_at(rates, F.col("domain")))
-        words = docs.select("doc_id", "text").join(sample, "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
+        # the sample's size is bounded by per_domain, so it goes to the texts
+        words = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w")).where("w <> ''")
         for r in words.groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect():
             counts[domains.index(r["domain"]), r["b"]] = r["n"]
     prior = np.log(np.array([sizes[d] for d in domains], float)) if domains else np.zeros(0)
