@@ -30,6 +30,9 @@ from utterscale.llm.token_sets import (BUCKET_BITS, buckets, ceil_div, frequenci
 PIECE = 1 << 20
 NEWLINE = 10
 ID = ["doc_id", "text_key"]
+ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("place", "<i4"), ("p", "<u8"), ("q", "<u8")])
+SHELF = 1 << 16  # about so many index entries share a shelf; their number grows with the input
+LOAD = 1 << 19  # entries a task holds before it hands them out, 20 MB
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -88,11 +91,27 @@ def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
 
 
 def _links(rows: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFrame:
-    """``a, b``: keys of lines that pass all filters, enough of them to connect all that do."""
+    """``a, b``: keys of lines that pass all filters, enough of them to connect all that do.
+
+    Index entries travel packed, one row per task and shelf; a shelf holds the whole lists of
+    its tokens.
+    """
+    shelves = 1 + int(frequency.sum()) // (4 * SHELF)
     table = rows.sparkSession.sparkContext.broadcast(frequency)
 
+    def packed(held):
+        entries = np.concatenate(held)
+        shelf = (entries["token"] % np.uint64(shelves)).astype(np.int64)
+        order = np.argsort(shelf, kind="stable")
+        entries, shelf = entries[order], shelf[order]
+        cuts = np.flatnonzero(np.r_[True, shelf[1:] != shelf[:-1], True])
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [
+            None, pa.py_buffer((cuts * ENTRY.itemsize).astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(shelf[cuts[:-1]]), data], names=["shelf", "entries"])
+
     def prefixes(batches):
         seen: set[int] = set()
+        held: list[np.ndarray] = []
         for batch in slices(batches, "text", PIECE):
             h, at, _, _ = line_sets(batch.column("text"))
             keys, n = set_keys(h, at), np.diff(at)
@@ -111,39 +130,36 @@ def _links(rows: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFr
                     parity[full, k] = np.bitwise_xor.reduceat(np.where(mine, bit, np.uint64(0)), at[:-1][full])
             use = fresh[row] & (place <= n[row] - ceil_div(num * n[row], den))
             of = row[use]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[use].view(np.int64)), pa.array(keys[of]), pa.array(n[of].astype(np.int32)),
-                 pa.array(place[use].astype(np.int32)), pa.array(parity[of, 0].view(np.int64)),
-                 pa.array(parity[of, 1].view(np.int64))], names=["token", "key", "n", "place", "p", "q"])
+            entries = np.empty(len(of), ENTRY)
+            for name, values in zip(ENTRY.names, (token[use], keys[of], n[of], place[use], parity[of, 0], parity[of, 1])):
+                entries[name] = values
+            if len(entries):
+                held.append(entries)
+            if sum(map(len, held)) >= LOAD:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     def lists(batches):
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            rest.append(batch)
-            token = batch.column("token").to_numpy()
-            if not len(token) or token[0] == token[-1] and len(rest) > 1 and rest[0].column("token")[0].as_py() == token[-1]:
-                continue
-            whole = pa.Table.from_batches(rest).combine_chunks()
-            token = whole["token"].to_numpy()
-            end = int(np.searchsorted(token, token[-1]))
-            yield from _linked(whole.slice(0, end), num, den)
-            rest = whole.slice(end).to_batches()
-        if rest:
-            yield from _linked(pa.Table.from_batches(rest), num, den)
-
-    index = (rows.select("text").mapInArrow(prefixes, "token long, key long, n int, place int, p long, q long")
-             .repartition("token").sortWithinPartitions("token", "n", "key"))
+        for shelf in groups(batches, "shelf"):
+            entries = np.concatenate([flat_bytes(chunk)[0].view(ENTRY) for chunk in shelf["entries"].chunks])
+            order = np.lexsort((entries["key"], entries["n"], entries["token"]))
+            yield from _linked(entries[order], num, den)
+
+    index = (rows.select("text").mapInArrow(prefixes, "shelf long, entries binary")
+             .repartition("shelf").sortWithinPartitions("shelf"))
     return index.mapInArrow(lists, "a long, b long").distinct()
 
 
-def _linked(rows: pa.Table, num: int, den: int):
-    """Pairs of a list's entries, by distance in the list, that pass the filters and are not
-    yet connected through pairs given before."""
-    token, key = rows["token"].to_numpy(), rows["key"].to_numpy()
+def _linked(rows: np.ndarray, num: int, den: int):
+    """Pairs of a list's entries (sorted by token, size and key), by distance in the list, that
+    pass the filters and are not yet connected through pairs given before."""
+    token, key = rows["token"].copy(), rows["key"].copy()
     if len(token) < 2:
         return
-    n, place = rows["n"].to_numpy().astype(np.int64), rows["place"].to_numpy().astype(np.int64)
-    bits = np.stack([rows["p"].to_numpy().view(np.uint64), rows["q"].to_numpy().view(np.uint64)])
+    n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+    bits = np.stack([rows["p"], rows["q"]])
     names, who = np.unique(key, return_inverse=True)
     label = np.arange(len(names))
     front = place <= n - ceil_div(2 * num * n, num + den)  # the shorter prefix of a match's smaller side
