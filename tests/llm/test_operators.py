@@ -183,6 +183,32 @@ def test_rates_match_targets(spark):
     assert all(r["rate"] >= 0 for r in found)
 
 
+def test_rates_are_fitted_to_the_end(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([1, 1, 1], 200)
+    rows = [(i, 1, int(rng.integers(1, 90)), x.tolist()) for i, x in enumerate(p)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_rows long, tokens long, posterior array<double>")
+
+    def missed(found, weights, whole):
+        now, share = sum(r["tokens"] * np.array(r["posterior"]) for r in found), np.array(weights)
+        target = share * max(now[i] / share[i] for i in whole)
+        gap = sum(r["rate"] * r["tokens"] * np.array(r["posterior"]) for r in found) - target
+        assert np.allclose([r["missed"] for r in found], gap, atol=1e-6 * target.sum())
+        return np.abs(gap) / target.sum()
+
+    # a corner of what the members reach: most rates are 0
+    found = soft_mixing.fit_rates(frame, [0.9, 0.05, 0.05], [0, 1, 2]).collect()
+    assert missed(found, [0.9, 0.05, 0.05], [0, 1, 2]).max() <= 1e-6
+    # members that all hold some of an unwanted domain stay, and the domains with a weight are met
+    found = soft_mixing.fit_rates(frame, [0.5, 0.5, 0.0], [0, 1]).collect()
+    gap = missed(found, [0.5, 0.5, 0.0], [0, 1])
+    assert gap[:2].max() <= 1e-6 and gap[2] > 0.01
+    assert all(r["rate"] > 0.5 for r in found if r["posterior"][2] < 0.2)
+    # out of reach: no member is that pure; ends, and says what is missed
+    found = soft_mixing.fit_rates(frame, [0.9999, 0.00005, 0.00005], [0, 1, 2]).collect()
+    assert missed(found, [0.9999, 0.00005, 0.00005], [0, 1, 2]).max() > 1e-6
+
+
 def test_mixing_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(i, f"d{i % 2}") for i in range(20)] + [(None, "d0"), (3, None)], "doc_id long, domain string")
     _, rows = soft_mixing.mixed(docs, labels, {"d0": 0.5, "d1": 0.5}, ["d0", "d1"])

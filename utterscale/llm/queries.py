@@ -126,7 +126,7 @@ def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     labels = domains(table(spark, folder, "labels", "doc_id", "quality", "toxic"))
     _, rows = soft_mixing.mixed(docs, labels, MIX, list(MIX))
-    return rows.select("doc_id", "n_rows", "tokens", "posterior", "rate", "copies")
+    return rows.select("doc_id", "n_rows", "tokens", "posterior", "rate", "missed", "copies")
 
 
 @query()

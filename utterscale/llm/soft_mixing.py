@@ -1,13 +1,13 @@
 """Mixing documents to target domain weights with soft membership, in DataFrame functions only.
 
 A naive Bayes classifier learned from a labelled table gives every document a posterior per
-domain. Projected-gradient least squares then fits nonnegative document rates r so that the
-expected domain token totals sum(r * tokens * posterior) match the targets.
+domain. Least squares by projected Newton steps then fits nonnegative document rates r so that
+the expected domain token totals sum(r * tokens * posterior) match the targets.
 
 Defined cases: a null text has no words, its posterior is the prior and its tokens are 0;
 documents with the same id and text are one row with ``n_rows`` of them, each counting; a
 domain without a weight has weight 0; without labels, or with no tokens at all, every rate
-is 1; an empty table gives no rows; extra columns are ignored.
+is 1 and nothing is missed; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from utterscale.llm.common import written
 
 BUCKETS = 4096
-STEPS = 25
+RIDGE = 1e-9
 
 
 def _words(text: Column) -> Column:
@@ -93,54 +93,86 @@ def _constant(values: Sequence[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
 
 
-def _rate(moves: Sequence[np.ndarray]) -> Column:
-    """The rate after all moves, each cut off at zero. The expression keeps its shape, so that
-    its compiled code serves every step."""
-    if not moves:
-        return F.lit(1.0)
-    parts = [_constant(x) for x in np.array(moves).T]
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(moves) - 1)), F.lit(1.0), lambda rate, t: F.greatest(
-        rate - sum(F.col("posterior")[i] * F.get(x, t) for i, x in enumerate(parts)), F.lit(0.0)))
+def _rate(factors: Sequence[float]) -> Column:
+    """The posterior weighed by the domains' factors, cut off at zero. The expression keeps its
+    shape, so that its compiled code serves every step."""
+    parts = F.zip_with("posterior", _constant(factors), lambda p, x: p * x)
+    return F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
 
 
-def fit_rates(members: DataFrame, weights: Sequence[float], whole: Sequence[int], steps: int = STEPS,
-              tolerance: float = 1e-6) -> DataFrame:
-    """Adds ``rate`` to rows of ``n_rows, tokens, posterior``.
+def fit_rates(members: DataFrame, weights: Sequence[float], whole: Sequence[int], tolerance: float = 1e-6) -> DataFrame:
+    """Adds ``rate`` and ``missed`` to rows of ``n_rows, tokens, posterior``.
 
     The targets are ``weights`` times the smallest total for which no domain listed in
-    ``whole`` has to shrink. Each step is one aggregate of as many sums as there are domains;
-    the driver turns the residual into one coefficient per domain, and the next rate is a
-    row-local expression, cut off at zero. Residuals are measured in the norm that makes the
-    step length 1 (inverse of the tokens-weighted Gram matrix).
+    ``whole`` has to shrink. Of all nonnegative rates that meet the targets of the domains with
+    a weight, those of the smallest tokens-weighted sum of squares are found: they are the
+    posterior times one factor per domain, cut off at zero. A domain of weight 0 has the
+    factor 0: nothing of it is asked for, but what the other domains' documents hold of it
+    comes along. ``missed`` has, per domain, the expected tokens minus the target, the same
+    in all rows.
+
+    Newton steps over the documents with a positive rate (an active set) go on until the
+    targets are met within ``tolerance`` of their sum, or until no step comes closer, where
+    nonnegative rates can't meet them: the result is then the least-squares one. A step is one
+    aggregate of the Gram matrix of these documents, which gives the totals as well.
     """
     k = len(weights)
+    nothing = F.array_repeat(F.lit(0.0), k)
     if not k:
-        return members.withColumn("rate", F.lit(1.0))
+        return members.withColumn("rate", F.lit(1.0)).withColumn("missed", nothing)
     p = [F.col("posterior")[i] for i in range(k)]
     mass = F.col("tokens") * F.col("n_rows")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = members.agg(*[F.sum(mass * p[i]) for i in range(k)], *[F.sum(mass * p[i] * p[j]) for i, j in pairs]).first()
-    now = np.array([first[i] or 0.0 for i in range(k)])
+
+    def gram(rows: DataFrame) -> np.ndarray:
+        found, out = rows.agg(*[F.sum(mass * p[i] * p[j]) for i, j in pairs]).first(), np.zeros((k, k))
+        for (i, j), x in zip(pairs, found):
+            out[i, j] = out[j, i] = x or 0.0
+        return out
+
+    full = gram(members)
+    now = full.sum(1)  # posteriors add up to 1
     if not now.sum():
-        return members.withColumn("rate", F.lit(1.0))
-    gram = np.zeros((k, k))
-    for (i, j), x in zip(pairs, first[k:]):
-        gram[i, j] = gram[j, i] = x
-    share = np.array(weights, float) / sum(weights)
-    total = max([now[i] / share[i] for i in whole if share[i] > 0], default=now.sum())
-    target = share * total
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-    moves: list[np.ndarray] = []
-    while len(moves) < steps and np.abs(now - target).max() > tolerance * target.sum():
-        moves.append(inverse @ (now - target))
-        found = members.withColumn("rate", _rate(moves)).agg(*[F.sum(mass * p[i] * F.col("rate")) for i in range(k)]).first()
-        now = np.array([x or 0.0 for x in found])
-    return members.withColumn("rate", _rate(moves))
+        return members.withColumn("rate", F.lit(1.0)).withColumn("missed", nothing)
+    share = np.array(weights, float) / max(sum(weights), 1e-300)
+    target = share * max([now[i] / share[i] for i in whole if share[i] > 0], default=now.sum())
+    asked = np.flatnonzero(share > 0)
+    at = np.ix_(asked, asked)
+    base = RIDGE * full[at]  # keeps the factors finite where the targets are out of reach
+
+    def placed(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        out[asked] = x
+        return out
+
+    def value(g: np.ndarray, x: np.ndarray) -> float:
+        return x @ (g[at] + base) @ x / 2 - target[asked] @ x
+
+    def held(x: np.ndarray) -> np.ndarray:
+        return gram(members.withColumn("rate", _rate(placed(x))).where("rate > 0"))
+
+    factors = np.linalg.pinv(full[at], rcond=1e-9, hermitian=True) @ target[asked]
+    active = held(factors)
+    while np.abs((active @ placed(factors) - target)[asked]).max(initial=0) > tolerance * target.sum():
+        slope = (active[at] + base) @ factors - target[asked]
+        step = -np.linalg.pinv(active[at] + base, rcond=1e-15, hermitian=True) @ slope
+        size, before = 1.0, value(active, factors)
+        if -(slope @ step) <= 1e-12 * abs(before):
+            break
+        moved = held(factors + step)
+        while size > 1e-12 and value(moved, factors + size * step) > before + 1e-4 * size * (slope @ step):
+            size /= 8
+            moved = held(factors + size * step)
+        if not value(moved, factors + size * step) < before:
+            break
+        factors, active = factors + size * step, moved
+    missed = active @ placed(factors) - target
+    return members.withColumn("rate", _rate(placed(factors))).withColumn("missed", _constant(missed))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], whole: Sequence[str],
           per_domain: int = 4000) -> tuple[list[str], DataFrame]:
-    """The domains, and ``doc_id, text_hash, n_rows, tokens, posterior, rate, copies``.
+    """The domains, and ``doc_id, text_hash, n_rows, tokens, posterior, rate, missed, copies``.
 
     ``copies`` rounds the rate up or down by a hash of the document, so that it is right in
     expectation; a document with a rate of a half or more is never lost. Runs jobs when
