@@ -115,6 +115,21 @@ def test_posting_lists(spark):
     assert posting_lists.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_posting_lists_fill_every_query(spark, monkeypatch):
+    monkeypatch.setattr(posting_lists, "LIST", 8)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 8))  # some 370 lists
+    x[:, 0] = -abs(x[:, 0])
+    x[:5] = np.eye(8)[0] * 3 + rng.normal(size=(5, 8)) * 0.1  # few, far from all others
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for k, queries_ in ((20, "vec_id < 5 OR vec_id % 30 = 0"), (700, "vec_id % 1000 = 0"), (3500, "vec_id = 7")):
+        got = collections.defaultdict(set)
+        for r in posting_lists.nearest(frame, frame.where(queries_), k).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        assert len(got) == {20: 104, 700: 3, 3500: 1}[k]
+        assert {len(found) for found in got.values()} == {min(k, 2999)}
+
+
 def test_line_frequency(docs, empty):
     rows = line_frequency.judged(docs, min_docs=1, share=0.0).collect()
     assert len(rows) == docs.count()

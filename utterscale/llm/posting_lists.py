@@ -3,7 +3,8 @@
 A bounded sample is split into balanced leaves; their means are the centroids. Every vector
 goes to its closest lists, also to those within a distance ratio of the closest (boundary
 vectors are replicated). Centroids are searched through a neighbour graph in memory; a query
-reads the lists whose centroids lie within a distance ratio of its closest one.
+reads the lists whose centroids lie within a distance ratio of its closest one, and the next
+closest until they are home to enough distinct vectors.
 
 Inner products become distances by one more component that brings all vectors to the largest
 norm. Equal vectors are one entry that carries its smallest ids, so copies cost nothing.
@@ -84,19 +85,29 @@ class Index:
             dist[rows], ids[rows] = np.take_along_axis(all_d, keep, 1), np.take_along_axis(all_i, keep, 1)
             open_[rows] = np.take_along_axis(all_o, keep, 1) & np.isfinite(dist[rows])
 
-    def within(self, x: np.ndarray, ratio: float, beam: int) -> list[np.ndarray]:
-        """All found centroids within ``ratio`` of the closest; the beam widens until it ends beyond."""
+    def within(self, x: np.ndarray, ratio: float, beam: int, held: np.ndarray, need: int) -> list[np.ndarray]:
+        """All found centroids within ``ratio`` of the closest, and the next ones until their lists
+        hold ``need`` vectors by ``held``; the beam widens until it ends beyond, at last to all lists."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(x)
-        todo = np.arange(len(x))
+        todo, k = np.arange(len(x)), len(self.centroids)
         while len(todo):
-            ids, dist = self.search(x[todo], beam)
+            ids, dist = self.search(x[todo], beam) if beam < k else self.all(x[todo])
             limit = dist[:, :1] * ratio
-            done = (dist[:, -1:] > limit)[:, 0] | (beam >= len(self.centroids))
+            sums = np.cumsum(np.where(ids >= 0, held[ids], 0), axis=1)
+            enough = np.maximum((dist <= limit).sum(1), (sums < need).sum(1) + 1)
+            done = (dist[:, -1:] > limit)[:, 0] & (sums[:, -1] >= need) | (beam >= k)
             for i in np.flatnonzero(done):
-                out[todo[i]] = ids[i][dist[i] <= limit[i]]
+                found = ids[i][:enough[i]]
+                out[todo[i]] = found[found >= 0]
             todo, beam = todo[~done], beam * 4
         return out
 
+    def all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of all centroids, the closest first."""
+        d = (x * x).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.sqrt(np.maximum(np.take_along_axis(d, ids, 1), 0))
+
 
 def _leaves(x: np.ndarray, leaf: int) -> np.ndarray:
     """Means of equal halves, split again and again along the line between two means."""
@@ -149,9 +160,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _assigned(rows: DataFrame, index: Index, query: bool) -> DataFrame:
-    """``rep, v, list`` of ``rep, v``: one row per list of a vector."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def _assigned(rows: DataFrame, index: Index, held: np.ndarray | None = None, need: int = 0) -> DataFrame:
+    """``rep, v, list, home`` of ``rep, v``: one row per list of a vector; its home is the closest.
+
+    With ``held``, the vectors at home in each list, rows are queries that ask for ``need`` vectors.
+    """
+    shared, query = rows.sparkSession.sparkContext.broadcast(index), held is not None
     kind = rows.schema["rep"].dataType.simpleString()
 
     def run(batches):
@@ -160,17 +174,17 @@ def _assigned(rows: DataFrame, index: Index, query: bool) -> DataFrame:
                 batch = whole.slice(a, 512)
                 x = shared.value.lifted(_matrix(batch.column("v")), query)
                 if query:
-                    found = shared.value.within(x, PROBE_RATIO, 128)
+                    found = shared.value.within(x, PROBE_RATIO, 128, held, need)
                 else:
                     ids, dist = shared.value.search(x, 32)
                     ids, dist = ids[:, :REPLICAS], dist[:, :REPLICAS]
                     found = [i[d <= d[0] * REPLICA_RATIO] for i, d in zip(ids, dist)]
                 at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 picked = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([picked.column("rep"), picked.column("v"),
-                                                  pa.array(np.concatenate(found), pa.int32())], names=["rep", "v", "list"])
+                yield pa.RecordBatch.from_arrays([picked.column("rep"), picked.column("v"), pa.array(np.concatenate(found), pa.int32()),
+                                                  pa.array(np.r_[True, at[1:] != at[:-1]])], names=["rep", "v", "list", "home"])
 
-    return rows.select("rep", "v").mapInArrow(run, f"rep {kind}, v array<double>, list int")
+    return rows.select("rep", "v").mapInArrow(run, f"rep {kind}, v array<double>, list int, home boolean")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -199,8 +213,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                        .select(F.col("ids")[0].alias("rep"), "v", "ids"), "vectors")
     index = fit(distinct)
     members = written(asked.distinct().join(distinct.select("v", "rep"), "v"), "queries")
-    postings = written(_assigned(distinct, index, False), "postings")
-    probes = written(_assigned(members.groupBy("rep").agg(F.first("v").alias("v")), index, True), "probes")
+    postings = written(_assigned(distinct, index), "postings")
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in postings.where("home").groupBy("list").count().collect():  # at most MAX_LISTS rows
+        held[r["list"]] = r["count"]
+    probes = written(_assigned(members.groupBy("rep").agg(F.first("v").alias("v")), index, held, k + 1), "probes")
 
     sizes = (postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pn"))
              .join(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qn")), "list"))
