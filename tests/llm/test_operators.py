@@ -75,6 +75,20 @@ def test_merged_transforms_find_repeated_windows(monkeypatch):
         assert [x.tolist() for x in bwt_repeats.repeated(texts, weights, length)] == want
 
 
+def test_repeats_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(bwt_repeats, "SHARD", 64)
+    rng = np.random.default_rng(8)
+    for length in range(1, 27):
+        for _ in range(4):
+            texts = [bytes(rng.integers(97, 99, rng.integers(0, 50)).astype(np.uint8)) for _ in range(5)]
+            seen = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+            want = [[i for i in range(len(t) - length + 1) if seen[t[i:i + length]] > 1] for t in texts]
+            assert [x.tolist() for x in bwt_repeats.repeated(texts, [1] * 5, length)] == want
+    core = "".join(random.Random(2).choices("abcdefgh", k=100))
+    frame = spark.createDataFrame([(1, "x" + core + "1" * 30), (2, "y" + core + "2" * 30)], "doc_id long, text string")
+    assert [r["n_removed"] for r in bwt_repeats.removed(frame, 100).orderBy("doc_id").collect()] == [100, 100]
+
+
 def test_crowded_anchor_is_cut_further(spark, monkeypatch):
     monkeypatch.setattr(bwt_repeats, "CROWD", 3)
     rng = random.Random(1)
@@ -264,6 +278,12 @@ def test_set_relations(docs, empty, width, num, den):
     assert set_relations.joined(empty, width, num, den).count() == 0
 
 
+def test_sets_of_very_different_sizes(spark):
+    words = [f"v{i}" for i in range(660)]
+    frame = spark.createDataFrame([(1, " ".join(words[:260])), (2, " ".join(words[:644])), (3, "a b c d e f g")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in set_relations.joined(frame, 5, 2, 5).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -79,8 +79,9 @@ def _radix(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def _rows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all suffixes: symbol and slot before each, and each string's first slot.
+def _rows(strings: list[bytes], rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of all suffixes: symbol and slot before each, each string's first slot, and the
+    rank of every symbol's first ``rest`` bytes.
 
     A string is padded with zeros to whole symbols and followed by one end slot per offset
     within a symbol; the ends have symbol 0 and stand before the first positions.
@@ -92,23 +93,26 @@ def _rows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.empty(n, np.uint64)
     for k in range(STEP):
         word[k::STEP] = flat[k:k + n].view(">u8") if k == 0 else flat[k:k + n].copy().view(">u8")
-    symbol = np.unique(word, return_inverse=True)[1].astype(np.int32) + 1
+    names, symbol = np.unique(word, return_inverse=True)
+    symbol = symbol.astype(np.int32) + 1
+    short = np.r_[0, np.unique(names >> np.uint64(8 * (STEP - rest)), return_inverse=True)[1] + 1].astype(np.int32)
     before = np.arange(n, dtype=np.int32) - STEP
     ends = (starts + widths - STEP)[:, None] + np.arange(STEP)
     before[(starts[:, None] + np.arange(STEP)).ravel()] = ends.ravel()
     symbol[ends.ravel()] = 0
-    return symbol[before], before, starts
+    return symbol[before], before, starts, short
 
 
-def transform(symbol: np.ndarray, before: np.ndarray, rounds: int) -> np.ndarray:
-    """Slots of one shard ordered by their first ``rounds`` symbols."""
+def transform(symbol: np.ndarray, before: np.ndarray, rounds: int, short: np.ndarray) -> np.ndarray:
+    """Slots of one shard ordered by their first ``rounds`` symbols, the last of them by its rank in ``short``."""
     order = np.arange(len(symbol), dtype=np.int32)
-    for _ in range(rounds):
-        order = before[order[_radix(symbol[order])]]
+    for depth in range(rounds):
+        here = symbol[order]
+        order = before[order[_radix(here if depth else short[here])]]  # the last symbol of a window comes first
     return order
 
 
-def merged(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(transforms: list[np.ndarray], rounds: int, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The interleave of the shards' rows, the interval of each row, and the common prefix, in
     symbols, with the row before (``rounds``: at least that)."""
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
@@ -118,6 +122,7 @@ def merged(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nd
     for depth in range(rounds):
         here = np.empty(len(shard), np.int32)
         here[np.argsort(shard, kind="stable")] = symbols  # every shard's rows in their own order
+        here = here if depth else short[here]
         order = _radix(here)
         here, above = here[order], interval[order]
         shard = shard[order]
@@ -130,16 +135,16 @@ def merged(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nd
 def repeated(strings: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
     """For every string the starts of its windows that occur twice or more, counting a string ``weights`` times."""
     rounds = -(-length // STEP)
-    symbol, before, starts = _rows(strings)
+    symbol, before, starts, short = _rows(strings, length - (rounds - 1) * STEP)
     ends = np.r_[starts[1:], len(symbol)]
     cuts = [0, *(np.flatnonzero(np.diff(starts // SHARD)) + 1).tolist(), len(strings)]
     rows, transforms = [], []
     for a, b in zip(cuts, cuts[1:]):
         lo, hi = starts[a], ends[b - 1]
-        order = transform(symbol[lo:hi], before[lo:hi] - lo, rounds)
+        order = transform(symbol[lo:hi], before[lo:hi] - lo, rounds, short)
         rows.append(order + lo)
         transforms.append(symbol[lo:hi][order])
-    shard, interval, _ = merged(transforms, rounds)
+    shard, interval, _ = merged(transforms, rounds, short)
     slot = np.empty(len(shard), np.int64)
     slot[np.argsort(shard, kind="stable")] = np.concatenate(rows)
     of = np.repeat(np.arange(len(strings)), ends - starts)

@@ -122,8 +122,8 @@ def alike(key: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: in
     for i in range(len(key) - 1):
         end = int(np.searchsorted(size, size[i] * den // num, side="right"))
         mine = stacks[levels[i]][place[i]]
-        for m in (levels[i], 2 * levels[i]):
-            if m not in at:
+        for m in at:  # levels ascend; sizes that match may lie several apart
+            if m < levels[i]:
                 continue
             a, b = np.searchsorted(at[m], [i + 1, end])
             other = at[m][a:b]
@@ -131,7 +131,7 @@ def alike(key: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: in
             if not len(pick):
                 continue
             rows = stacks[m][a:b][pick]
-            if m > levels[i]:
+            while rows.shape[1] > levels[i]:
                 rows = np.minimum(rows[:, ::2] + rows[:, 1::2], 255)
             other = other[pick]
             both = size[i] + size[other]
