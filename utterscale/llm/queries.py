@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscale.llm import (bwt_repeats, chat_format, code_words, line_frequency, line_join, piece_transducer, posting_lists, set_relations,
-                            soft_mixing, warc_chain)
+from utterscale.llm import (bit_planes, blocks, bwt_repeats, chat_format, code_words, line_frequency, line_join, piece_transducer,
+                            posting_lists, set_relations, soft_mixing, warc_chain)
 from utterscale.sources.scan import table
 from utterscale.sources.shared import shared_folder
 
@@ -150,3 +150,58 @@ def op8_line_join(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_bwt_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return bwt_repeats.removed(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as a pair of common table expressions over (row, component, value)."""
+    parts = [r"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "x AS MATERIALIZED (SELECT r, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM v)",
+             f"""c0 AS MATERIALIZED (
+  SELECT k, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS k, e FROM v) WHERE k < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT r, k, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS d FROM x JOIN c{i} c USING (j) GROUP BY r, k) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.k, c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT k, j, CAST(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*) AS BIGINT) // count(*) AS x
+    FROM x JOIN a{i} USING (r) GROUP BY k, j) m ON m.k = c.k AND m.j = c.j)""")
+    return f"""WITH {", ".join(parts)},
+shas AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS s FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, s AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN shas ON shas.k = a.k"""
+
+
+@query(_cluster_sql())
+def op12_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_planes.clustered(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+BLOCKS_SQL = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, i, w FROM (
+    SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT doc_id, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS ws FROM documents))),
+grams AS MATERIALIZED (
+  SELECT doc_id, i, string_agg(w, ' ') OVER p AS g, count(*) OVER p AS n
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+later AS (
+  SELECT doc_id, i FROM grams WHERE n = 20
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(20) AS r(k)),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_words, 0) - coalesce(n_kept, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query(BLOCKS_SQL)
+def op13_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks.removed(table(spark, folder, "documents", "doc_id", "text"), texts=False).drop("kept")
