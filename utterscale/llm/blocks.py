@@ -23,7 +23,6 @@ ids are integers.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +137,7 @@ def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def _repeated_blocks(rows: DataFrame, block: int, shelves: int) -> DataFrame:
-    """``hash`` of the reference blocks that a run of words at another place equals."""
+    """``slot``: the filter positions of the reference blocks that a run of words at another place equals."""
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         # the lowest bits: 1 if some occurrence is a reference block, 2 if there are two or more
         x = np.sort(np.concatenate(held))
@@ -182,23 +181,54 @@ def _tasks(rows: DataFrame, shelves: int) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shelves // 8)
 
 
-def _answers(no_id: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Places by document as rows ``no_id, doc, text_key, starts``."""
-    if not len(doc):
-        return
-    order = np.lexsort((place, key, doc, no_id))
-    no_id, doc, key, place = no_id[order], doc[order], key[order], place[order]
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (no_id[1:] != no_id[:-1]), True])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(no_id[cuts[:-1]]), pa.array(doc[cuts[:-1]]), pa.array(key[cuts[:-1]]), _binary(place.astype(np.uint32), cuts)],
-        names=[*ID, "starts"])
+_NAME = [("no_id", bool), ("doc", np.int64), ("key", np.int64)]
+_IDS = pa.struct([("no_id", pa.bool_()), ("doc", pa.int64()), ("text_key", pa.int64())])
+_PACKED = "ids array<struct<no_id: boolean, doc: long, text_key: long>>, counts array<int>, places binary"
+
+
+def _packed(part: np.ndarray, name: np.ndarray, place: np.ndarray, h: np.ndarray | None = None) -> list[pa.Array]:
+    """One row per part: its documents, how many places each has, the places and their hashes."""
+    order = np.lexsort((place, name["key"], name["doc"], name["no_id"], part))
+    part, name, place = part[order], name[order], place[order]
+    new = part[1:] != part[:-1]
+    cuts = np.flatnonzero(np.r_[True, new, True])
+    runs = np.flatnonzero(np.r_[True, new | (name[1:] != name[:-1]), True])
+    lists, who = pa.array(np.searchsorted(runs, cuts).astype(np.int32)), name[runs[:-1]]
+    ids = pa.StructArray.from_arrays([pa.array(who[k]) for k in ("no_id", "doc", "key")], fields=list(_IDS))
+    rows = [pa.array(part[cuts[:-1]]), pa.ListArray.from_arrays(lists, ids),
+            pa.ListArray.from_arrays(lists, pa.array(np.diff(runs).astype(np.int32))), _binary(place.astype(np.uint32), cuts)]
+    return rows + ([] if h is None else [_binary(h[order], cuts)])
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The documents and places of packed rows."""
+    ids, counts = rows["ids"].combine_chunks().flatten(), np.asarray(rows["counts"].combine_chunks().flatten())
+    one = np.empty(len(ids), _NAME)
+    for k, name in enumerate(("no_id", "doc", "key")):
+        one[name] = ids.field(k).to_numpy(zero_copy_only=False)
+    return np.repeat(one, counts), np.concatenate([flat_bytes(c)[0].view("<u4") for c in rows["places"].chunks])
+
+
+def _answers(name: np.ndarray, place: np.ndarray, parts: int) -> list[pa.Array]:
+    """Places packed by part, a range of documents' hashes."""
+    return _packed(_shelved(mix(name["key"].view(np.uint64)), parts), name, place)
+
+
+def _per_document(batches):
+    """``no_id, doc, text_key, starts`` of packed answers, one row per document."""
+    for part in groups(batches, "part"):
+        name, place = _unpacked(part)
+        order = np.lexsort((place, name["key"], name["doc"], name["no_id"]))
+        name, place = name[order], place[order]
+        cuts = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
+        yield pa.RecordBatch.from_arrays([*[pa.array(name[k][cuts[:-1]]) for k in ("no_id", "doc", "key")],
+                                          _binary(place.astype(np.uint32), cuts)], names=[*ID, "starts"])
 
 
 def _repeated_windows(rows: DataFrame, bits: np.ndarray, window: int, block: int, shelves: int) -> DataFrame:
-    """``no_id, doc, text_key, starts``: packed starts of windows that equal an earlier one; several rows a document."""
+    """``no_id, doc, text_key, starts``: packed starts of windows that equal an earlier one, per document that has any."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
-    schema = "no_id boolean, doc long, text_key long, starts binary"
-    found = "shelf long, ids array<struct<no_id: boolean, doc: long, text_key: long>>, counts array<int>, places binary, hashes binary"
+    columns = ["part", "ids", "counts", "places", "hashes"]
 
     def load(held: list[tuple]):
         """The windows of a task load: repeats among themselves, and the earliest of each packed by shelf."""
@@ -221,27 +251,12 @@ def _repeated_windows(rows: DataFrame, bits: np.ndarray, window: int, block: int
         def out():
             names, h, at, gone = load(held)
             gone = np.unique(gone)
-            rank = (gone >> np.uint64(32)).astype(np.int64)
-            for batch in _answers(names["no_id"][rank], names["doc"][rank], names["key"][rank], gone & np.uint64(0xFFFFFFFF)):
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, f.type) for f in kinds] + batch.columns, names=[f.name for f in kinds] + batch.schema.names)
-            shelf = _shelved(h, shelves)
-            order = np.lexsort((at, shelf))
-            h, at, shelf = h[order], at[order], shelf[order]
-            cuts = np.flatnonzero(np.r_[True, shelf[1:] != shelf[:-1], True])
-            rank = (at >> np.uint64(32)).astype(np.int64)
-            runs = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (shelf[1:] != shelf[:-1]), True])
-            lists = pa.array(np.searchsorted(runs, cuts).astype(np.int32))
-            who = names[rank[runs[:-1]]]
-            ids = pa.StructArray.from_arrays([pa.array(who["no_id"]), pa.array(who["doc"]), pa.array(who["key"])], names=ID)
-            n = len(cuts) - 1
+            low = np.uint64(0xFFFFFFFF)
+            if len(gone):
+                rows = _answers(names[(gone >> np.uint64(32)).astype(np.int64)], gone & low, shelves)
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.binary())], names=columns)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shelf[cuts[:-1]]), pa.ListArray.from_arrays(lists, ids),
-                 pa.ListArray.from_arrays(lists, pa.array(np.diff(runs).astype(np.int32))),
-                 _binary((at & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts), _binary(h, cuts),
-                 *[pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.binary())]],
-                names=[f.name for f in kinds] + [*ID, "starts"])
+                _packed(_shelved(h, shelves), names[(at >> np.uint64(32)).astype(np.int64)], at & low, h), names=columns)
 
         for batch in slices(batches, "text", PIECE):
             h, counts = word_hashes(*flat_bytes(batch.column("text")))
@@ -258,7 +273,7 @@ def _repeated_windows(rows: DataFrame, bits: np.ndarray, window: int, block: int
             row, place, inside = _places(counts, window, n)
             near = before[np.arange(n) + window - block + 1] > before[:n]  # one of the blocks of the window hits
             pick = np.flatnonzero(near & inside)
-            names = np.empty(batch.num_rows, [("no_id", bool), ("doc", np.int64), ("key", np.int64)])
+            names = np.empty(batch.num_rows, _NAME)
             names["no_id"], names["doc"] = batch.column("no_id").to_numpy(zero_copy_only=False), batch.column("doc").to_numpy()
             names["key"] = batch.column("text_key").to_numpy()
             if len(pick):
@@ -272,31 +287,34 @@ def _repeated_windows(rows: DataFrame, bits: np.ndarray, window: int, block: int
 
     def earliest(batches):
         pool, size = [], 0
-        for shelf in groups(batches, "shelf"):
-            ids, counts = shelf["ids"].combine_chunks().flatten(), np.asarray(shelf["counts"].combine_chunks().flatten())
+
+        def out():
+            found = _answers(np.concatenate([x[0] for x in pool]), np.concatenate([x[1] for x in pool]), shelves)
+            return pa.RecordBatch.from_arrays(found, names=columns[:4])
+
+        for shelf in groups(batches, "part"):
+            name, place = _unpacked(shelf)
             h = np.concatenate([flat_bytes(c)[0].view("<u8") for c in shelf["hashes"].chunks])
-            place = np.concatenate([flat_bytes(c)[0].view("<u4") for c in shelf["places"].chunks])
-            no_id, doc, key = (np.repeat(np.asarray(ids.field(k).to_numpy(zero_copy_only=False)), counts) for k in range(3))
-            order = np.lexsort((place, key, doc, no_id, h))
-            h, place, no_id, doc, key = h[order], place[order], no_id[order], doc[order], key[order]
+            order = np.lexsort((place, name["key"], name["doc"], name["no_id"], h))
+            h, place, name = h[order], place[order], name[order]
             new = np.r_[True, h[1:] != h[:-1]]
             least = np.flatnonzero(new)[np.cumsum(new) - 1]
-            gone = (doc != doc[least]) | (key != key[least]) | (place != place[least]) | (no_id != no_id[least])
-            pool.append((no_id[gone], doc[gone], key[gone], place[gone]))
-            size += int(gone.sum())
+            gone = (name != name[least]) | (place != place[least])
+            if gone.any():
+                pool.append((name[gone], place[gone]))
+                size += int(gone.sum())
             if size >= LOAD:
-                yield from _answers(*map(np.concatenate, zip(*pool)))
+                yield out()
                 pool, size = [], 0
         if pool:
-            yield from _answers(*map(np.concatenate, zip(*pool)))
+            yield out()
 
-    struct = pa.struct([("no_id", pa.bool_()), ("doc", pa.int64()), ("text_key", pa.int64())])
-    kinds = [pa.field("shelf", pa.int64()), pa.field("ids", pa.list_(struct)), pa.field("counts", pa.list_(pa.int32())),
-             pa.field("places", pa.binary()), pa.field("hashes", pa.binary())]
-    both = written(rows.mapInArrow(windows, f"{found}, {schema}"), "windows")
-    asked = both.where("shelf IS NOT NULL").select("shelf", "ids", "counts", "places", "hashes")
-    across = asked.repartition(_tasks(rows, shelves), "shelf").sortWithinPartitions("shelf").mapInArrow(earliest, schema)
-    return both.where("shelf IS NULL").select(*ID, "starts").unionByName(across)
+    both = written(rows.mapInArrow(windows, f"part long, {_PACKED}, hashes binary"), "windows")
+    asked, known = both.where("hashes IS NOT NULL"), both.where("hashes IS NULL").drop("hashes")
+    tasks = _tasks(rows, shelves)
+    across = asked.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(earliest, f"part long, {_PACKED}")
+    return (known.unionByName(across).repartition(tasks, "part").sortWithinPartitions("part")
+            .mapInArrow(_per_document, "no_id boolean, doc long, text_key long, starts binary"))
 
 
 def removed(docs: DataFrame, window: int = 20, texts: bool = True) -> DataFrame:
@@ -313,16 +331,16 @@ def removed(docs: DataFrame, window: int = 20, texts: bool = True) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shelves = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (6 * SHELF))
     bits = key_filter(_repeated_blocks(rows, block, shelves), "slot", FILTER_BITS)
-    spans = written(_repeated_windows(rows, bits, window, block, shelves).groupBy(*ID).agg(F.collect_list("starts").alias("starts")), "starts")
+    spans = written(_repeated_windows(rows, bits, window, block, shelves), "starts")
     touched = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "text_key"))
 
-    def cut(batch: pa.RecordBatch, starts: list[list[bytes] | None]) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, starts: list[bytes | None]) -> pa.RecordBatch:
         sizes, gone, digests, left = [], [], [], []
         for text, found in zip(batch.column("text").to_pylist(), starts):
             words = (text or b"").split()  # at the six separators
             n = len(words)
             if found:
-                at = np.concatenate([np.frombuffer(f, "<u4") for f in found]).astype(np.int64)
+                at = np.frombuffer(found, "<u4").astype(np.int64)
                 step = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(step)[:n] == 0).tolist()]
             kept = b" ".join(words)
