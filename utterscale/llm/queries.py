@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterscale.llm import (bit_planes, blocks, bwt_repeats, chat_format, code_words, line_frequency, line_join, piece_transducer,
-                            posting_lists, set_relations, soft_mixing, warc_chain)
+                            posting_lists, range_tree, set_relations, soft_mixing, warc_chain)
 from utterscale.sources.scan import table
 from utterscale.sources.shared import shared_folder
 
@@ -205,3 +205,27 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 @query(BLOCKS_SQL)
 def op13_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.removed(table(spark, folder, "documents", "doc_id", "text"), texts=False).drop("kept")
+
+
+RANGE_TREE_SQL = r"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5"""
+
+
+@query(RANGE_TREE_SQL)
+def op11_range_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return range_tree.mined(rows.withColumn("label", label), "vec_id % 100 = 0")
