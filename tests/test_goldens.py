@@ -248,3 +248,40 @@ def test_null_references_are_left_out(spark):
 def test_marks_with_punctuation_are_no_words(spark):
     got = one(spark, "a @!. b (...), - c", lambda x: annotation.clean_text(annotation.parse_annotations(x)))
     assert got == "a b c"
+
+
+def test_vocabulary_order_is_by_row_and_position_without_sorting(spark):
+    big = (1 << 63) - 1
+    rows = spark.createDataFrame([(big, "zyx"), (-big - 1, "😀b" + "a" * 70_000), (0, "ca|"), (1, None), (2, "")], "id bigint, t string")
+    freq = vocabulary.char_freq(rows.repartition(3), "t", "id")
+    got = {r["ch"]: (r["freq"], r["first_row"], r["first_pos"]) for r in freq.collect()}
+    assert got == {"z": (1, big, 0), "y": (1, big, 1), "x": (1, big, 2), "😀": (1, -big - 1, 0), "b": (1, -big - 1, 1),
+                   "a": (70_001, -big - 1, 2), "c": (1, 0, 0), "|": (1, 0, 2)}
+    plan = freq._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    assert list(vocabulary.lookup(vocabulary.build(freq, 0).orderBy("id")))[:3] == ["😀", "b", "a"]
+
+
+def test_pad_follows_the_tokens_and_sentence_marks(spark):
+    freq = vocabulary.char_freq(spark.createDataFrame([(0, "ab ab"), (1, "ba c")], "id bigint, t string"), "t", "id")
+    assert vocabulary.lookup(vocabulary.with_pad(vocabulary.build(freq, 1))) == {"a": 1, "b": 2, "|": 3, "[UNK]": 3, "[PAD]": 6}
+    dense = vocabulary.build(freq, 1, compat=False)
+    assert vocabulary.lookup(vocabulary.with_pad(dense)) == vocabulary.lookup(dense)
+    assert vocabulary.lookup(vocabulary.with_pad(dense.limit(0))) == {"[PAD]": 2}
+
+
+def test_encoding_with_a_large_alphabet(spark):
+    ids = {chr(0x4E00 + 3 * i): 7 + i for i in range(6000)} | {"😀": 5, "|": 6, "[UNK]": 3}
+    value = "".join(chr(0x4E00 + i) for i in range(40)) + " |😀\U0010ffff\x00"
+    want = [ids.get("|" if c == " " else c, 3) for c in value]
+    assert one(spark, value, lambda c: vocabulary.encode(c, ids)) == want
+    known = [i for i in want if i != 3]
+    assert one(spark, known, lambda c: vocabulary.decode(c, ids, 99999), "array<int>") == "".join(
+        c for c in value.replace("|", " ") if c in ids or c == " ").strip() + ""
+
+
+@pytest.mark.parametrize("given, want", [
+    ("a . b ? c ! d , e", "a. b? c! d, e"), ("it 's we 've you 're i 'm do n't", "it's we've you're i'm don't"),
+    ("a ' b", "a'b"), ("x  .", "x ."), ("", "")])
+def test_clean_up_after_decoding(spark, given, want):
+    assert one(spark, given, arrays.clean_up) == want

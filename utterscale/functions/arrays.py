@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 LABEL_PAD = -100  # fixed value: label positions ignored by the loss
 SIGNAL_PAD = 0.0  # fixed value: silence
+# What decoding replaces, in this order.
+CLEAN_UP = [(" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"),
+            (" 've", "'ve"), (" 're", "'re")]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,11 +65,19 @@ def ids_to_tokens(ids: Column, tokens_by_id: Column) -> Column:
     return F.transform(ids, lambda x: F.get(tokens_by_id, x.cast("int")))
 
 
+def clean_up(text: Column) -> Column:
+    """Takes out the blanks before punctuation and contractions, one rule after the other."""
+    for spaced, tight in CLEAN_UP:
+        text = F.replace(text, F.lit(spaced), F.lit(tight))
+    return text
+
+
 def ids_to_text(ids: Column, tokens_by_id: Column, pad_id: int, delimiter: str = "|",
-                collapse: bool = True) -> Column:
-    """Frame ids to text: collapse repeats, drop pads, join, delimiter to blank, trim."""
+                collapse: bool = True, clean: bool = True) -> Column:
+    """Frame ids to text: collapse repeats, drop pads, join, delimiter to blank, trim, clean up."""
     kept = F.filter(collapse_repeats(ids) if collapse else ids, lambda x: x != pad_id)
-    return F.trim(F.replace(F.array_join(ids_to_tokens(kept, tokens_by_id), ""), F.lit(delimiter), F.lit(" ")))
+    joined = F.trim(F.replace(F.array_join(ids_to_tokens(kept, tokens_by_id), ""), F.lit(delimiter), F.lit(" ")))
+    return clean_up(joined) if clean else joined
 
 
 def padded_length(longest: Column, multiple_of: int | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterscale.functions import arrays, text
+from utterscale.operators import splits
 from utterscale.sources.scan import spread, table
 
 UTTERANCE_WORDS = 24
@@ -33,8 +34,13 @@ def utterances_of(docs: DataFrame) -> DataFrame:
     return _utterances(docs.select("doc_id", "lang", "source", "text"), F.col("doc_id"))
 
 
-def utterances(spark: SparkSession, folder: str) -> DataFrame:
-    return utterances_of(spread(table(spark, folder, "documents", "doc_id", "lang", "source", "text"), "doc_id"))
+def utterances(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    """Utterances of all documents, or of those whose group the fold map puts into ``split``."""
+    docs = table(spark, folder, "documents", "doc_id", "lang", "source", "text")
+    if split:
+        grouped = docs.withColumn("group_id", (F.col("doc_id") % 21 + 1).cast("string"))
+        docs = splits.assign_split(grouped, splits.fold_table(spark, splits.PRODUCTION_FOLDS)).where(F.col("split") == split)
+    return utterances_of(spread(docs, "doc_id"))
 
 
 def benchmark_utterances(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,10 +88,10 @@ def hyps(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("system", "utt_id", "hyp").unionByName(extra)
 
 
-def label_utterances(spark: SparkSession, folder: str) -> DataFrame:
+def label_utterances(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
     """Lower-cased utterances with the corpus column name ``clear_text``."""
-    return utterances(spark, folder).select(
-        "utt_id", "doc_id", F.lower(F.array_join("tokens", " ")).alias("clear_text"))
+    return utterances(spark, folder, split).select(
+        "utt_id", "doc_id", "lang", F.lower(F.array_join("tokens", " ")).alias("clear_text"))
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from utterscale.operators import vocabulary
 from utterscale.plans import fixtures, sql
 from utterscale.plans.registry import query
 from utterscale.sources.scan import spread, table
+from utterscale.sources.shared import shared_folder
 
 TERMS = {"ps5": "ps five", "ps4": "ps four", "3d": "three d"}  # fixed values: configured spellings
 
@@ -154,7 +155,8 @@ def filter_min_length(spark: SparkSession, folder: str) -> DataFrame:
 FREQ = """
 cf AS (SELECT ch, count(*) AS freq, min(utt_id * 1000000 + p) AS first FROM (
          SELECT utt_id, unnest(string_split(clear_text, '')) AS ch, unnest(range(0, length(clear_text))) AS p
-         FROM lab WHERE clear_text <> '') GROUP BY ch)
+         FROM lab WHERE clear_text <> '' AND doc_id % 21 + 1 IN (1, 2, 3, 4, 7, 8, 9, 10, 12, 13, 14, 15, 16, 17, 18))
+       GROUP BY ch)
 """
 VOCAB = """
 nums AS (SELECT ch, freq, row_number() OVER (ORDER BY first) AS id FROM cf),
@@ -168,7 +170,8 @@ LABELS = (sql.UTTERANCES, sql.LABELS)
 @query(sql.with_(*LABELS, FREQ) + """
 SELECT ch, freq, first // 1000000 AS first_row, first % 1000000 AS first_pos FROM cf""")
 def char_freq(spark: SparkSession, folder: str) -> DataFrame:
-    return vocabulary.char_freq(fixtures.label_utterances(spark, folder), "clear_text", "utt_id")
+    """Characters of the training split; the other splits are not counted."""
+    return vocabulary.char_freq(fixtures.label_utterances(spark, folder, "train"), "clear_text", "utt_id")
 
 
 def _vocabulary(spark: SparkSession, folder: str, min_freq: int = 1, compat: bool = True) -> DataFrame:
@@ -190,15 +193,32 @@ def char_vocab_dense(spark: SparkSession, folder: str) -> DataFrame:
     return _vocabulary(spark, folder, 10, compat=False)
 
 
+@query(sql.with_(*LABELS, FREQ, VOCAB) + """
+SELECT token, id, freq FROM voc UNION ALL SELECT '[PAD]', (SELECT count(*) + 2 FROM voc), NULL""")
+def tokenizer_vocab(spark: SparkSession, folder: str) -> DataFrame:
+    """The vocabulary written once, read back, and completed as a tokenizer does it."""
+    path = shared_folder(spark, "vocabulary")
+    for _ in range(2):  # the second call finds it there
+        vocabulary.save_once(_vocabulary(spark, folder), path)
+    return vocabulary.with_pad(vocabulary.load(spark, path))
+
+
 ENCODED = """
 vm AS (SELECT map(list(CASE WHEN token = '|' THEN ' ' ELSE token END), list(id)) AS m,
               max(id) FILTER (token = '|') AS bar FROM voc WHERE token <> '[UNK]'),
-enc AS (SELECT utt_id, clear_text, list_transform(CASE WHEN clear_text = '' THEN [] ELSE string_split(clear_text, '') END,
+enc AS (SELECT utt_id, doc_id, clear_text, list_transform(CASE WHEN clear_text = '' THEN [] ELSE string_split(clear_text, '') END,
           lambda c: coalesce(m[c], CASE WHEN c = '|' THEN bar END, unk)) AS ids
         FROM lab, vm, (SELECT id AS unk FROM voc WHERE token = '[UNK]'))
 """
 
 
+def cleaned(x: str) -> str:
+    for spaced, tight in [(" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" '' ", "''"), (" n''t", "n''t"), (" ''m", "''m"),
+                          (" ''s", "''s"), (" ''ve", "''ve"), (" ''re", "''re")]:
+        x = f"replace({x}, '{spaced}', '{tight}')"
+    return x
+
+
 @query(sql.with_(*LABELS, FREQ, VOCAB, ENCODED) + "SELECT utt_id, array_to_string(ids, ' ') AS labels FROM enc")
 def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
     ids = vocabulary.lookup(_vocabulary(spark, folder))
@@ -207,32 +227,34 @@ def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(sql.with_(*LABELS, FREQ, VOCAB, ENCODED, """
+pad AS (SELECT count(*) + 2 AS pad FROM voc),
 inv AS (SELECT map(list(id), list(token)) AS m FROM (SELECT id, max(token) FILTER (token <> '[UNK]') AS t1,
-               coalesce(t1, max(token)) AS token FROM voc GROUP BY id))""") + """
-SELECT utt_id, trim(replace(coalesce(array_to_string(list_transform(ids, lambda i: m[i]), ''), ''), '|', ' ')) AS decoded
-FROM enc, inv""")
+               coalesce(t1, max(token)) AS token FROM voc GROUP BY id))""") + f"""
+SELECT utt_id, {cleaned("trim(replace(coalesce(array_to_string(list_transform(list_filter(ids, lambda i: i <> pad), lambda i: m[i]), ''), ''), '|', ' '))")} AS decoded
+FROM enc, inv, pad""")
 def decode_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels with ignored positions appended, decoded without collapsing."""
-    ids = vocabulary.lookup(_vocabulary(spark, folder))
-    pad_id = max(ids.values()) + 1
+    ids = vocabulary.lookup(vocabulary.with_pad(_vocabulary(spark, folder)))
+    pad_id = ids[vocabulary.PAD]
     coded = fixtures.label_utterances(spark, folder).select(
         "utt_id", F.concat(vocabulary.encode(F.col("clear_text"), ids),
                            F.array(F.lit(arrays.LABEL_PAD), F.lit(arrays.LABEL_PAD))).alias("labels"))
     return coded.select("utt_id", vocabulary.decode(F.col("labels"), ids, pad_id).alias("decoded"))
 
 
-@query(sql.with_(*LABELS, FREQ, VOCAB, ENCODED) + """
-SELECT u.lang, sum(len(ids))::BIGINT AS labels,
-       sum(len(list_filter(ids, lambda i: i = (SELECT id FROM voc WHERE token = '[UNK]'))))::BIGINT AS unknown,
-       count(*) AS n_rows FROM enc JOIN utt u USING (utt_id) GROUP BY u.lang""".replace(
-    "list_filter(ids, lambda i: i = (SELECT id FROM voc WHERE token = '[UNK]'))", "list_filter(ids, lambda i: i = unk)")
-    .replace("FROM enc JOIN", "FROM (SELECT enc.*, voc.id AS unk FROM enc, voc WHERE token = '[UNK]') enc JOIN"))
+@query(sql.with_(*LABELS, FREQ, """
+known AS (SELECT ch FROM cf WHERE freq > 10 AND (ch <> '|' OR NOT EXISTS (SELECT 1 FROM cf WHERE ch = ' ' AND freq > 10))),
+seen AS (SELECT lang, utt_id, clear_text, unnest(CASE WHEN clear_text = '' THEN [NULL] ELSE string_split(clear_text, '') END) AS ch
+         FROM lab JOIN (SELECT utt_id, lang FROM utt) USING (utt_id) WHERE doc_id % 21 + 1 IN (6, 19, 20, 21)),
+per AS (SELECT lang, utt_id, count(ch) AS n, count(ch) FILTER (ch <> '|' AND ch NOT IN (SELECT ch FROM known)) AS u FROM seen GROUP BY 1, 2)
+""") + """
+SELECT lang, sum(n)::BIGINT AS labels, sum(u)::BIGINT AS unknown, count(*) AS n_rows, round(sum(u) / sum(n), 6) AS unk_share
+FROM per GROUP BY lang""")
 def vocab_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels and labels with the id of ``[UNK]`` per language."""
-    ids = vocabulary.lookup(_vocabulary(spark, folder))
-    rows = fixtures.utterances(spark, folder).select(
-        "lang", F.lower(F.array_join("tokens", " ")).alias("clear_text"))
-    return vocabulary.coverage(rows, "clear_text", ids, ["lang"]).select("lang", "labels", "unknown", "n_rows")
+    """How the training split's vocabulary covers the evaluation split, per language."""
+    ids = vocabulary.lookup(_vocabulary(spark, folder, 10, compat=False))
+    found = vocabulary.coverage(fixtures.label_utterances(spark, folder, "eval"), "clear_text", ids, ["lang"])
+    return found.select("lang", "labels", "unknown", "n_rows", F.round("unk_share", 6).alias("unk_share"))
 
 
 @query(sql.with_(sql.FRAMES) + """
