@@ -169,13 +169,25 @@ def test_results_do_not_depend_on_partitioning(spark, small, parts):
     assert sizes == whole
 
 
-def test_large_sample_takes_the_counted_path(spark, monkeypatch):
-    rows = spark.range(500).withColumnRenamed("id", "k")
-    small_path = {r["k"] for r in ordering.seeded_sample(rows, "k", 40, 9).collect()}
-    monkeypatch.setattr(ordering, "SMALL_SAMPLE", 10)
-    assert {r["k"] for r in ordering.seeded_sample(rows, "k", 40, 9).collect()} == small_path
-    assert ordering.seeded_sample(rows, "k", 900, 9).count() == 500
+@pytest.mark.parametrize("n", [1, 40, 480, 900])
+def test_samples_are_cut_before_they_move(spark, n):
+    rows = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 5 > 0, "a").when(F.col("id") % 2 > 0, "b").alias("g"),
+                                   F.repeat(F.col("id").cast("string"), 50).alias("text"))
+    order = {r["k"]: i for i, r in enumerate(rows.orderBy(ordering.shuffle_key(9, F.col("k")), "k").collect())}
+    got = ordering.seeded_sample(rows, "k", n, 9)
+    assert {r["k"] for r in got.collect()} == {k for k, i in order.items() if i < n}
+    grouped = ordering.seeded_sample_per_group(rows, ["g"], "k", n, 9)
+    want = set()
+    for g in ("a", "b", None):
+        own = sorted((i, r["k"]) for r in rows.collect() if r["g"] == g for i in [order[r["k"]]])
+        want |= {k for _, k in own[:n]}
+    assert {r["k"] for r in grouped.collect()} == want and grouped.columns == rows.columns
+    for frame in (got, grouped):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" not in plan
+        assert "_last#" in plan and "BroadcastHashJoin" in plan or frame is got  # the cut needs no exchange of the rows
     assert ordering.seeded_sample(rows, "k", -1, 9).count() == 500
+    assert ordering.seeded_sample(rows.limit(0), "k", 3, 9).count() == 0
 
 
 def test_running_values_with_one_hot_group(spark):
@@ -190,12 +202,21 @@ def test_running_values_with_one_hot_group(spark):
     assert sum(map(len, groups.values())) == 3000
 
 
-def test_retention_takes_the_same_rows_in_ranges(spark, monkeypatch):
-    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("g"), "id")
-    few = evaluations.retain_last(rows, ["g"], [F.desc("id")], 20)
-    monkeypatch.setattr(evaluations, "GROUP_LIMIT", 5)
-    ranged = evaluations.retain_last(rows, ["g"], [F.desc("id")], 20)
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, ranged.collect()))
+@pytest.mark.parametrize("k", [1, 20, 1500])
+def test_retention_ranks_parts_of_a_hot_group(spark, k):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 0).when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"), "id")
+    got = evaluations.retain_last(rows, ["g"], [F.desc("id")], k)
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r["g"], []).append(r["id"])
+    assert {(r["g"], r["id"]) for r in got.collect()} == {(g, i) for g, ids in groups.items() for i in sorted(ids)[-k:]}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(g#" in plan and plan.count("_part#") > 1
+    first = next(line for line in reversed(plan.split("\n")) if "Exchange hashpartitioning" in line)
+    assert "_part#" in first  # the step that meets all rows deals them by part
+    if k > 1000:
+        sizes = rows.withColumn("p", F.pmod(F.xxhash64("g", "id"), F.lit(evaluations.PARTS))).groupBy("g", "p").count()
+        assert sizes.agg(F.max("count")).first()[0] < 100  # of 2666 rows of the hot group
 
 
 def test_unpadding_returns_the_input(spark):

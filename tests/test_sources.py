@@ -162,3 +162,75 @@ def test_integers_beyond_64_bits(spark):
     for kind, wanted in {"int": [0, 2], "real": [1, 3], "float": [0, 1, 2, 3]}.items():
         kept = validation.validate(rows, "j", {"a": validation.Rule(kind)}).where("size(violations) = 0")
         assert sorted(r["i"] for r in kept.collect()) == wanted
+
+
+def _months(spark, folder, files):
+    """Half a year of rows, nearly in order, one file per batch; some come far too late."""
+    day = "timestamp '2024-01-01'"
+    rows = spark.range(3000).selectExpr(
+        "id AS event_id", f"{day} + make_dt_interval(0, id + IF(id % 97 = 5, -400, -(id * 7) % 20)) AS ts",
+        "IF(id % 3 = 0, 'a', 'b') AS event_type", "id % 4 AS user_id", "abs(hash(id)) % 1000 / 900D AS value")
+    kept = rows.collect()
+    for part in range(files):
+        cut = [r for r in kept if r["event_id"] * files // 3000 == part]
+        spark.createDataFrame(cut, rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return rows
+
+
+def test_late_rows_and_windows_add_up(spark, tmp_path):
+    rows = _months(spark, f"{tmp_path}/events.parquet", 12)
+    source = jobs.read_table_stream(spark, str(tmp_path), "events", files_per_batch=1)
+    in_time, late = jobs.route_late(source, "t", "ts", "2 days")
+    assert 20 < jobs.read_side(spark, late, source).count() < 200
+    timed = jobs.with_event_time(jobs.read_routed(spark, in_time, source, 1), "ts", "2 days")
+    counts = jobs.windowed_counts(timed, ["event_type"])
+    sizes = []
+    query = (counts.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+             .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    for progress in query.recentProgress:
+        sizes += [s["numRowsTotal"] for s in progress["stateOperators"]]
+        assert sum(s["numRowsDroppedByWatermark"] for s in progress["stateOperators"]) == 0
+    windows = rows.selectExpr("date_trunc('day', ts)", "event_type").distinct().count()
+    assert len(sizes) >= 12 and max(sizes) < windows / 3  # closed windows leave the state
+    live = jobs.latest(spark, f"{tmp_path}/out", ["window_start", "event_type"])
+    rest = jobs.windowed_counts(jobs.with_event_time(jobs.read_side(spark, late, source), "ts"), ["event_type"])
+    both = live.unionByName(rest).groupBy("window_start", "event_type").agg(F.sum("n").alias("n"))
+    want = jobs.windowed_counts(rows, ["event_type"])
+    assert both.exceptAll(want).count() == 0 and want.exceptAll(both).count() == 0
+
+
+def test_history_stream_equals_the_batch_and_replays(spark, tmp_path, monkeypatch):
+    from utterscale.operators.evaluations import best_so_far
+
+    rows = _months(spark, f"{tmp_path}/events.parquet", 5).selectExpr("user_id AS run", "event_id", "ts", "value AS wer")
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("event_id") * 3600))
+    twice = jobs._each_batch
+    columns = ["run", "event_id", "eval_nr", "wer", "best_before", "saved"]
+    want = best_so_far(rows, ["ts", "event_id"]).select(columns)
+    stream = jobs.read_table_stream(spark, str(tmp_path), "events", files_per_batch=1).selectExpr(
+        "user_id AS run", "event_id", "timestamp_seconds(event_id * 3600) AS ts", "value AS wer")
+    monkeypatch.setattr(jobs, "_each_batch", lambda s, path, step: twice(s, path, lambda b, n: (step(b, n), step(b, n))))
+    numbered, _ = jobs.history(stream, "h", ["ts", "event_id"])  # every batch runs a second time
+    got = spark.read.parquet(numbered).select(columns)
+    assert got.count() == 3000 and got.exceptAll(want).count() == 0
+
+
+def test_runs_close_and_streams_continue(spark, tmp_path):
+    schema = "run string, ts timestamp, event_id long, wer double"
+
+    def add(name, *cells):
+        table = spark.createDataFrame([(r, None, i, w) for r, _, i, w in cells], schema)
+        table.withColumn("ts", F.timestamp_seconds(F.col("event_id") * 86400)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e.parquet")
+
+    add("x", ("a", 0, 1, 0.9), ("b", 0, 2, 0.8), ("a", 0, 3, 1.5), (None, 0, 3, 0.2))
+    stream = jobs.read_table_stream(spark, str(tmp_path), "e", files_per_batch=1)
+    path = shared_folder(spark, "closing")
+    jobs.history(stream, "c", ["ts", "event_id"], idle="10 days", path=path)
+    add("y", ("b", 0, 40, 0.7), ("b", 0, 41, 0.75))
+    numbered, closed = jobs.history(stream, "c", ["ts", "event_id"], idle="10 days", path=path)
+    got = sorted(((r["run"] or "", r["event_id"], r["eval_nr"], r["best_before"], r["saved"]) for r in spark.read.parquet(numbered).collect()))
+    assert got == [("", 3, 1, 1.0, True), ("a", 1, 1, 1.0, True), ("a", 3, 2, 0.9, False), ("b", 2, 1, 1.0, True),
+                   ("b", 40, 2, 0.8, True), ("b", 41, 3, 0.7, False)]
+    assert sorted((r["run"] or "", r["n"], r["best"]) for r in spark.read.parquet(closed).collect()) == [("", 1, 0.2), ("a", 2, 0.9)]
+    assert [r["run"] for r in spark.read.parquet(f"{path}/open/batch=1").collect()] == ["b"]

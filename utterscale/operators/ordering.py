@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 from utterscale.sources.shared import shared_folder
 
 HASH_DIGITS = 4  # hex digits of the shuffle key that name its bucket: 65,536 even buckets
-SMALL_SAMPLE = 100_000  # largest sample taken by a top-n merge
 
 
 def shuffle_key(seed: int, row_id: Column) -> Column:
@@ -75,20 +74,43 @@ def seeded_shuffle(rows: DataFrame, row_id: str, seed: int, position: str = "pos
     return ranked.withColumn(position, F.col("_rank") - 1).drop("_rank", "_key")
 
 
+def _cutoffs(rows: DataFrame, by: Sequence[str], row_id: str, n: int, seed: int) -> DataFrame:
+    """``_of, _last``: per group the last bucket of the seeded order that holds one of its first
+    ``n`` rows. Written to the shared folder, so the optimizer knows how small it is."""
+    spark = rows.sparkSession
+    bucket = F.substring(shuffle_key(seed, F.col(row_id)), 1, HASH_DIGITS)
+    counts = rows.select((F.struct(*by) if by else F.lit(0)).alias("_of"), bucket.alias("_b")).groupBy("_of", "_b").agg(
+        F.count("*").alias("_n"))
+    before = Window.partitionBy("_of").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows at most
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
+    path = shared_folder(spark, "cutoffs")
+    needed.groupBy("_of").agg(F.max("_b").alias("_last")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def seeded_sample(rows: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    """The first ``n`` rows of the seeded order; all rows if ``n`` is not positive."""
-    if 0 < n <= SMALL_SAMPLE:
-        return rows.orderBy(shuffle_key(seed, F.col(row_id)), row_id).limit(n)
+    """The first ``n`` rows of the seeded order; all rows if ``n`` is not positive. Runs a job when called."""
     return seeded_sample_per_group(rows, [], row_id, n, seed)
 
 
 def seeded_sample_per_group(rows: DataFrame, by: Sequence[str], row_id: str, n: int, seed: int) -> DataFrame:
-    """The first ``n`` rows of every group. The counts per key bucket tell which buckets
-    can hold them, so a hot group is neither sorted nor shuffled as a whole."""
+    """The first ``n`` rows of every group, one way for every ``n``. Runs a job when called.
+
+    The counts per key bucket, from ids alone, give each group a last bucket; rows behind it are
+    filtered out where they are scanned. What remains, little more than the sample, is
+    ranked by bucket: only these rows move with all their columns, and no task sorts a group.
+    """
     if n <= 0:
         return rows
+    last = _cutoffs(rows, by, row_id, n, seed)
     keyed = rows.withColumn("_key", shuffle_key(seed, F.col(row_id)))
-    return running(keyed, by, ["_key", row_id], F.substring("_key", 1, HASH_DIGITS), first=n).drop("_key")
+    bucket = F.substring("_key", 1, HASH_DIGITS)
+    if by:
+        near = keyed.join(last, F.struct(*by) == F.col("_of")).where(bucket <= F.col("_last")).drop("_of", "_last")
+    else:
+        found = last.first()
+        near = keyed.where(bucket <= (found["_last"] if found else ""))
+    return running(near, by, ["_key", row_id], bucket, first=n).drop("_key")
 
 
 def range_buckets(rows: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:

@@ -29,9 +29,9 @@ def _utterances(rows: DataFrame, id_of_row: Column) -> DataFrame:
         (id_of_row * SEGMENT_SPAN + F.col("seg")).alias("utt_id"), *keep, "tokens")
 
 
-def utterances_of(docs: DataFrame) -> DataFrame:
-    """``utt_id, doc_id, lang, source, tokens`` of documents, as a batch or a stream."""
-    return _utterances(docs.select("doc_id", "lang", "source", "text"), F.col("doc_id"))
+def utterances_of(docs: DataFrame, *carry: str) -> DataFrame:
+    """``utt_id, doc_id, lang, source, tokens`` of documents, as a batch or a stream, and the columns ``carry``."""
+    return _utterances(docs.select("doc_id", "lang", "source", *carry, "text"), F.col("doc_id"))
 
 
 def utterances(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
@@ -62,13 +62,13 @@ def _noise_b(tokens: Column) -> Column:
     return F.array_join(F.flatten(doubled), " ")
 
 
-def pairs_of(spoken: DataFrame) -> DataFrame:
-    """``system, utt_id, doc_id, lang, source, ref, hyp``, two systems per utterance."""
+def pairs_of(spoken: DataFrame, *carry: str) -> DataFrame:
+    """``system, utt_id, doc_id, lang, source, ref, hyp`` and ``carry``, two systems per utterance."""
     both = F.array(F.struct(F.lit("A").alias("system"), _noise_a(F.col("tokens")).alias("hyp")),
                    F.struct(F.lit("B").alias("system"), _noise_b(F.col("tokens")).alias("hyp")))
-    return (spoken.select("utt_id", "doc_id", "lang", "source", F.array_join("tokens", " ").alias("ref"),
+    return (spoken.select("utt_id", "doc_id", "lang", "source", *carry, F.array_join("tokens", " ").alias("ref"),
                     F.inline(both).alias("system", "hyp"))
-            .select("system", "utt_id", "doc_id", "lang", "source", "ref", "hyp"))
+            .select("system", "utt_id", "doc_id", "lang", "source", *carry, "ref", "hyp"))
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -164,16 +164,19 @@ def coerce_float(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DAY = "yyyy-MM-dd"
+DELAY = "2 days"  # how much older than the newest row a row may be and still change a window
 
 
 @query("""
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events per day and type, counted by a stream over the table's files."""
-    stream = jobs.with_event_time(jobs.read_table_stream(spark, folder, "events"), "ts")
-    counts = jobs.windowed_counts(stream, ["event_type"])
-    return jobs.current(counts, "event-counts", ["window_start", "event_type"]).select(
-        F.date_format("window_start", DAY).alias("day"), "event_type", "n")
+    """Events per day and type: windows closed by a stream, plus the rows that came late."""
+    source = jobs.read_table_stream(spark, folder, "events").select("ts", "event_type")
+    in_time, late = jobs.route_late(source, "events", "ts", DELAY)
+    timed = jobs.with_event_time(jobs.read_routed(spark, in_time, source), "ts", DELAY)
+    counts = jobs.current(jobs.windowed_counts(timed, ["event_type"]), "event-counts", ["window_start", "event_type"])
+    rest = jobs.windowed_counts(jobs.with_event_time(jobs.read_side(spark, late, source), "ts"), ["event_type"])
+    return counts.unionByName(rest).groupBy(F.date_format("window_start", DAY).alias("day"), "event_type").agg(F.sum("n").alias("n"))
 
 
 @query(sql.with_(*scoring.BASE, sql.word_errors("pairs", "system, doc_id")) + """
@@ -181,15 +184,21 @@ SELECT strftime(date_trunc('day', TIMESTAMP '2024-01-01' + INTERVAL (doc_id) HOU
        sum(edits)::BIGINT AS edits, sum(ref_words)::BIGINT AS ref_words, round(sum(edits) / sum(ref_words), 6) AS wer
 FROM we GROUP BY 1, 2""")
 def stream_wer(spark: SparkSession, folder: str) -> DataFrame:
-    """Running word error rate per day and system; a document arrives every hour."""
-    docs = jobs.read_table_stream(spark, folder, "documents")
-    pairs = fixtures.pairs_of(fixtures.utterances_of(docs))
-    timed = pairs.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 3600))
-    errors = scores.word_errors(jobs.with_event_time(timed, "ts"))
-    sums = jobs.windowed_sums(errors, ["system"], {"edits": F.col("edits"), "ref_words": F.col("ref_words")})
-    return jobs.current(sums, "wer", ["window_start", "system"]).select(
-        F.date_format("window_start", DAY).alias("day"), "system", "edits", "ref_words",
-        F.round(F.col("edits") / F.col("ref_words"), 6).alias("wer"))
+    """Running word error rate per day and system; a document arrives every hour. Late ones are added."""
+    docs = jobs.read_table_stream(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    docs = docs.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 3600))
+    in_time, late = jobs.route_late(docs, "documents", "ts", DELAY)
+    sums = {"edits": F.col("edits"), "ref_words": F.col("ref_words")}
+
+    def summed(rows: DataFrame, delay: str | None) -> DataFrame:
+        timed = jobs.with_event_time(rows, "ts", delay)
+        pairs = fixtures.pairs_of(fixtures.utterances_of(timed, "ts"), "ts")
+        return jobs.windowed_sums(scores.word_errors(pairs), ["system"], sums)
+
+    live = jobs.current(summed(jobs.read_routed(spark, in_time, docs), DELAY), "wer", ["window_start", "system"])
+    both = live.unionByName(summed(jobs.read_side(spark, late, docs), None))
+    total = both.groupBy(F.date_format("window_start", DAY).alias("day"), "system").agg(*[F.sum(c).alias(c) for c in sums])
+    return total.withColumn("wer", F.round(F.col("edits") / F.col("ref_words"), 6))
 
 
 @query(sql.with_(sql.EVALS) + """
@@ -200,3 +209,16 @@ def stream_best(spark: SparkSession, folder: str) -> DataFrame:
     evals = fixtures.evals_of(jobs.read_table_stream(spark, folder, "events"))
     best = jobs.running_best(evals, "run", "wer", ["ts", "event_id"], evaluations.START)
     return jobs.current(best, "best", ["run"]).select("run", F.round("best", 6).alias("best"), "event_id")
+
+
+@query(sql.with_(sql.EVALS, """
+b AS (SELECT *, least(1.0, coalesce(min(wer) OVER (PARTITION BY run ORDER BY eval_nr
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0)) AS best_before FROM ranked)""") + """
+SELECT run, event_id, eval_nr, round(wer, 6) AS wer, round(best_before, 6) AS best_before, wer < best_before AS saved
+FROM b""")
+def stream_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation numbered by a stream, with the best before it and whether it was saved."""
+    evals = fixtures.evals_of(jobs.read_table_stream(spark, folder, "events"))
+    numbered, _ = jobs.history(evals, "history", ["ts", "event_id"], start=evaluations.START)
+    return spark.read.parquet(numbered).select("run", "event_id", "eval_nr", F.round("wer", 6).alias("wer"),
+                                               F.round("best_before", 6).alias("best_before"), "saved")
