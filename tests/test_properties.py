@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,6 +56,28 @@ def test_alignment_in_small_pieces(monkeypatch):
     assert align.trace_steps(texts, texts[::-1]) == [steps_of(h, r) for h, r in zip(texts, texts[::-1])]
 
 
+def test_long_pairs_take_the_same_path():
+    rng = random.Random(7)
+    for n, m in [(0, 0), (0, 5), (5, 0), (1, 1), (40, 3), (3, 40), (37, 41), (150, 160), (16, 15), (90, 70)]:
+        h, r = ("".join(rng.choice("abc") for _ in range(k)) for k in (n, m))
+        assert align._trace_long(h, r) == steps_of(h, r)
+
+
+def test_a_pair_of_20000_words_fits():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    ref = rng.integers(0x4E00, 0x4E00 + 3000, 20_000)
+    hyp = np.insert(np.delete(ref, np.arange(7, 19_000, 50)), np.arange(3, 19_000, 90), 0x4E00)
+    texts = ["".join(map(chr, x)) for x in (hyp, ref)]
+    tracemalloc.start()
+    steps = align.trace_steps(texts[:1], texts[1:])[0]
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    assert len(steps) - steps.count("D") == len(hyp) and len(steps) - steps.count("I") == len(ref)
+    assert align.positions("=DSI", "I") == [0, 1, 2, None] and align.positions("=DSI", "D") == [0, None, 1, 2]
+
+
 def clipped(h, refs, order):
     out = []
     for n in range(1, order + 1):

@@ -62,6 +62,13 @@ def _noise_b(tokens: Column) -> Column:
     return F.array_join(F.flatten(doubled), " ")
 
 
+def misheard(tokens: Column) -> Column:
+    """A transcript with words left out, replaced and doubled."""
+    kept = F.filter(tokens, lambda t, i: i % 7 != 3)
+    return F.flatten(F.transform(kept, lambda t, i: F.when(i % 11 == 5, F.array(F.concat(t, F.lit("x"))))
+                                 .when(i % 13 == 4, F.array(t, t)).otherwise(F.array(t))))
+
+
 def pairs_of(spoken: DataFrame, *carry: str) -> DataFrame:
     """``system, utt_id, doc_id, lang, source, ref, hyp`` and ``carry``, two systems per utterance."""
     both = F.array(F.struct(F.lit("A").alias("system"), _noise_a(F.col("tokens")).alias("hyp")),
