@@ -285,3 +285,23 @@ def test_encoding_with_a_large_alphabet(spark):
     ("a ' b", "a'b"), ("x  .", "x ."), ("", "")])
 def test_clean_up_after_decoding(spark, given, want):
     assert one(spark, given, arrays.clean_up) == want
+
+
+def test_wanted_groups_keep_their_row(spark):
+    pairs = spark.createDataFrame([("A", "a b c d e", "a b c d e"), ("B", "x", ""), ("B", None, ""), ("C", "y", None), (None, "a", "a b")],
+                                  "system string, hyp string, ref string")
+    wanted = spark.createDataFrame([("A",), ("B",), ("C",), ("D",), ("D",), (None,)], "system string")
+    got = {r["system"]: (r["n_pairs"], r["wer"], round(r["bleu"], 6)) for r in scores.eval_report(pairs, ["system"], wanted).collect()}
+    assert got == {"A": (1, 0.0, 1.0), "B": (2, math.inf, 0.0), "C": (0, math.inf, 0.0), "D": (0, math.inf, 0.0), None: (1, 0.5, got[None][2])}
+    plan = scores.eval_report(pairs, ["system"], wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_evaluation_from_frames(spark):
+    rows = spark.createDataFrame([(1, [[0.1, 0.9, 0.9], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 2.0, 1.0], [0.0, 0.1, 0.2]], [1, 1, 2, -100]),
+                                  (2, None, [1]), (3, [[0.0, 1.0, 0.0]], None)], "id int, frames array<array<double>>, labels array<int>")
+    tokens = F.array(F.lit("[PAD]"), F.lit("a"), F.lit("b"))
+    got = {r["id"]: (r["hyp"], r["ref"]) for r in scores.decoded_pairs(rows, ["id"], tokens, 0).collect()}
+    assert got == {1: ("aab", "aab"), 2: (None, "a"), 3: ("a", None)}
+    report = scores.eval_report(scores.decoded_pairs(rows, [], tokens, 0), []).first()
+    assert (report["n_pairs"], report["edits"], report["ref_words"]) == (2, 1, 2)

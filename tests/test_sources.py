@@ -234,3 +234,72 @@ def test_runs_close_and_streams_continue(spark, tmp_path):
                    ("b", 40, 2, 0.8, True), ("b", 41, 3, 0.7, False)]
     assert sorted((r["run"] or "", r["n"], r["best"]) for r in spark.read.parquet(closed).collect()) == [("", 1, 0.2), ("a", 2, 0.9)]
     assert [r["run"] for r in spark.read.parquet(f"{path}/open/batch=1").collect()] == ["b"]
+
+
+def test_only_new_and_changed_files_are_prepared(spark, tmp_path):
+    seen = []
+
+    def prepare(rows):
+        seen.append(1)
+        return rows.withColumn("x", F.col("id") * 10)
+
+    def call(settings=None):
+        rows, fresh = corpora.prepared_files(spark, f"{tmp_path}/cache", f"{tmp_path}/in", settings or {"a": 1}, prepare)
+        return sorted(r["x"] for r in rows.collect()), fresh
+
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/in/a b+c")
+    assert call() == ([0, 10, 20], 1) and call() == ([0, 10, 20], 0) and len(seen) == 1
+    spark.range(3, 5).coalesce(1).write.parquet(f"{tmp_path}/in/y")
+    assert call() == ([0, 10, 20, 30, 40], 1)
+    spark.range(7, 8).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in/y")  # another file in its place
+    assert call() == ([0, 10, 20, 70], 1)
+    assert call({"a": 2}) == ([0, 10, 20, 70], 2) and len(seen) == 4
+
+    def fails(rows):
+        return rows.withColumn("x", F.raise_error(F.lit("no")).cast("long"))
+
+    spark.range(9, 10).coalesce(1).write.parquet(f"{tmp_path}/in/z")
+    with pytest.raises(Exception, match="no"):
+        corpora.prepared_files(spark, f"{tmp_path}/cache", f"{tmp_path}/in", {"a": 1}, fails)
+    assert call() == ([0, 10, 20, 70, 90], 1)
+
+
+def test_serialise_round_trip(spark):
+    rules = {"i": Rule("int"), "r": Rule("real"), "f": Rule("float", nullable=True), "s": Rule("str"), "b": Rule("bool"),
+             "l": Rule("list", each=Rule("list", each=Rule("int"))), "d": Rule("dict", members={"x": Rule("str", nullable=True)})}
+    good = '{"i": 12345678901234567890, "r": 1.5e3, "f": 2, "s": "a \\"q\\" ä", "b": true, "l": [[1], []], "d": {"x": null, "more": 1}, "z": 0}'
+    bad = [good.replace("1.5e3", "1"), good.replace("[[1], []]", '[["1"]]'), good.replace("true", "1"), "{", "null"]
+    rows = spark.createDataFrame([(i, j) for i, j in enumerate([good, *bad, None])], "n int, j string")
+    out = {r["n"]: r["serialised"] for r in validation.serialise(rows, "j", rules).collect()}
+    assert [out[i] for i in range(1, 7)] == [None] * 6
+    import json
+    back = json.loads(out[0])
+    assert back == {"i": 12345678901234567890, "r": 1500.0, "f": 2.0, "s": 'a "q" ä', "b": True, "l": [[1], []], "d": {"x": None}}
+    again = validation.serialise(spark.createDataFrame([(out[0],)], "j string"), "j", rules).first()
+    assert again["violations"] == [] and again["serialised"] == out[0]
+
+
+@pytest.mark.parametrize("cell", ["plain", "a\tb\nc\rd", "\\t \\\\n \\", "\\\n", "", None, " x "])
+def test_cells_stay_on_one_line(spark, tmp_path, cell):
+    rows = spark.createDataFrame([(1, cell)], "i int, t string")
+    one = rows.select(sheets.escaped(F.col("t")).alias("e"), sheets.unescaped(sheets.escaped(F.col("t"))).alias("u")).first()
+    assert one["u"] == cell and (cell is None or not set(one["e"]) & set("\t\n\r"))
+    sheets.write_csv(rows, str(tmp_path / "c"), one_line=True)
+    assert (sheets.read_csv(spark, str(tmp_path / "c"), "i int, t string", one_line=True).first()["t"] or None) == (cell or None)
+
+
+def test_large_one_line_sheets_are_split(spark, tmp_path):
+    rows = spark.range(3000).select("id", F.repeat(F.lit("a\n"), 40).alias("t")).coalesce(1)
+    sheets.write_csv(rows, str(tmp_path / "c"), one_line=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    back = sheets.read_csv(spark, str(tmp_path / "c"), "id bigint, t string", one_line=True)
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 3 and back.exceptAll(rows).count() == 0
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_token_sheet_header(spark):
+    rows = spark.createDataFrame([(5, [1, 0]), (2, [2])], "utt_id bigint, ids array<int>")
+    scored = spark.createDataFrame([(0.5, 0.25)], "wer double, bleu double")
+    tokens = F.array(F.lit("[PAD]"), F.lit("a"), F.lit("\t"))
+    got = sorted(tuple(r) for r in sheets.token_sheet(rows, F.col("ids"), tokens, scores=scored).collect())
+    assert got == [(-1, "WER: 0.500000\t BLEU:0.250000"), (0, "0\t\\t"), (1, "1\ta [PAD]")]

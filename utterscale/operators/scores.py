@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterscale.functions import text
+from utterscale.functions import arrays, text
 from utterscale.functions.distance import char_distance, encode_together, token_distance
 from utterscale.operators.ngrams import clipped_matches
 from utterscale.operators.pairing import prepare
@@ -171,24 +171,46 @@ def guarded(groups: DataFrame, scored: DataFrame, by: Sequence[str]) -> DataFram
         "wer": F.coalesce("wer", F.lit(float("inf"))), "bleu": F.coalesce("bleu", F.lit(0.0))})
 
 
-def eval_report(pairs: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
-    """Raw word error rate and two-reference BLEU in one pass over the pairs."""
-    raw = prepare(pairs).withColumns({
-        "_n": text.normalize(F.col("hyp")), "_r1": text.normalize(F.col("ref")),
-        "_r2": text.normalize(text.numbers_to_words(F.col("ref"))),
+def eval_report(pairs: DataFrame, by: Sequence[str] = ("system",), wanted: DataFrame | None = None,
+                normalized: bool = True) -> DataFrame:
+    """Raw word error rate and BLEU in one pass over the pairs: two-reference BLEU of normalised
+    text, or with ``normalized`` off BLEU of the raw one.
+
+    Every group of ``wanted`` gets a row. It joins the pairs as a neutral row that adds nothing
+    to any sum, so a group without pairs needs no second pass and no outer join.
+    """
+    real = pairs.select(*by, "hyp", "ref", F.lit(True).alias("_real"))
+    if wanted is not None:
+        empty = [F.lit("").alias("hyp"), F.lit("").alias("ref"), F.lit(False).alias("_real")]
+        real = real.unionByName(wanted.select(*by, *empty))
+    refs = {"_r1": text.normalize(F.col("ref")), "_r2": text.normalize(text.numbers_to_words(F.col("ref")))} if normalized else {
+        "_r1": F.col("ref")}
+    raw = prepare(real).withColumns({
+        "_n": text.normalize(F.col("hyp")) if normalized else F.col("hyp"), **refs,
         "_rw": metric_words(F.col("ref")), "_hw": metric_words(F.col("hyp"))})
     has_ref = F.col("ref") != ""
+    columns = ["_n", *refs]
     errors = raw.select(
-        *by, F.when(has_ref, token_distance(F.col("_rw"), F.col("_hw"))).alias("edits"),
-        F.when(has_ref, F.size("_rw").cast("bigint")).alias("ref_words"),
-        *[text.words(F.col(c)).alias(c) for c in ("_n", "_r1", "_r2")])
-    columns = ["_n", "_r1", "_r2"]
-    rows = errors.select(*by, "edits", "ref_words", encode_together(columns).alias("_c")).select(*by, "edits", "ref_words", "_c.*")
+        *by, "_real", F.when(has_ref, token_distance(F.col("_rw"), F.col("_hw"))).alias("edits"),
+        F.when(has_ref, F.size("_rw").cast("bigint")).alias("ref_words"), *[text.words(F.col(c)).alias(c) for c in columns])
+    rows = errors.select(*by, "_real", "edits", "ref_words", encode_together(columns).alias("_c")).select(
+        *by, "_real", "edits", "ref_words", "_c.*")
     names = [f"{k}{n}" for k in "mp" for n in range(1, 5)] + ["hyp_len", "ref_len", "edits", "ref_words"]
-    total = _matches(rows, "_n", ["_r1", "_r2"], 4).groupBy(*by).agg(
-        F.count("*").alias("n_pairs"), *[F.sum(c).alias(c) for c in names])
+    total = _matches(rows, "_n", list(refs), 4).groupBy(*by).agg(
+        F.count(F.when(F.col("_real"), 1)).alias("n_pairs"), *[F.sum(F.when(F.col("_real"), F.col(c))).alias(c) for c in names])
     score = _geometric_bleu([F.col(f"m{n}") for n in range(1, 5)], [F.col(f"p{n}") for n in range(1, 5)],
                             F.col("hyp_len"), F.col("ref_len"))
     return total.select(*by, "n_pairs", "edits", "ref_words",
                         F.coalesce(_ratio(F.col("edits"), F.col("ref_words")), F.lit(float("inf"))).alias("wer"),
-                        score.alias("bleu"))
+                        F.coalesce(score, F.lit(0.0)).alias("bleu"))
+
+
+def decoded_pairs(rows: DataFrame, keep: Sequence[str], tokens_by_id: Column, pad_id: int, frames: str = "frames",
+                  labels: str = "labels") -> DataFrame:
+    """``keep``, ``hyp``, ``ref``: the best token of every frame, collapsed, against the labels as they are.
+
+    A row without frames has an empty hypothesis; one without labels has no reference.
+    """
+    best = arrays.ids_to_text(arrays.frame_argmax(F.col(frames)), tokens_by_id, pad_id)
+    spoken = arrays.ids_to_text(arrays.restore_pad(F.col(labels), pad_id), tokens_by_id, pad_id, collapse=False)
+    return rows.select(*keep, best.alias("hyp"), spoken.alias("ref"))

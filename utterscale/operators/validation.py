@@ -70,3 +70,29 @@ def coerce_float(json: Column, path: str) -> Column:
     """Number at ``path`` as a double; null for anything else, a bool included."""
     value = F.variant_get(F.try_parse_json(json), f"$.{path}", "variant")
     return F.when(type_tag(value).rlike(NUMBER), F.try_variant_get(value, "$", "double"))
+
+
+def type_of(rule: Rule) -> str:
+    """The column type that holds every value of the rule."""
+    if rule.kind == "list":
+        return f"array<{type_of(rule.each) if rule.each else 'variant'}>"
+    if rule.kind == "dict":
+        return "struct<" + ", ".join(f"`{name}`: {type_of(member)}" for name, member in rule.members.items()) + ">" if rule.members else "variant"
+    return {"int": "decimal(38,0)", "float": "double", "real": "double", "str": "string", "bool": "boolean"}[rule.kind]
+
+
+def typed(rows: DataFrame, json: str, rules: Mapping[str, Rule], column: str = "checked") -> DataFrame:
+    """Adds ``violations`` and ``column``: the named members as one typed struct, null if a rule is broken.
+
+    Members without a rule are left out; an absent member that may be null is null.
+    """
+    value = F.try_parse_json(json)
+    members = [F.try_variant_get(value, f"$.{path}", type_of(rule)).alias(path) for path, rule in rules.items()]
+    return validate(rows, json, rules).withColumn(column, F.when(F.size("violations") == 0, F.struct(*members)))
+
+
+def serialise(rows: DataFrame, json: str, rules: Mapping[str, Rule], column: str = "serialised") -> DataFrame:
+    """Adds ``violations`` and ``column``: the checked row as JSON text, its members in the rules'
+    order; null if a rule is broken. The text keeps all rules, and serialises to itself."""
+    checked = typed(rows, json, rules, "_c")
+    return checked.withColumn(column, F.to_json("_c", {"ignoreNullFields": "false"})).drop("_c")

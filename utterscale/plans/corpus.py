@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscale.functions import arrays
+from utterscale.functions import arrays, text
 from utterscale.operators import batching, ordering, splits, vocabulary
 from utterscale.plans import fixtures, sql, texts
 from utterscale.plans.registry import query
@@ -85,11 +85,32 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "csv")
-    sheets.write_csv(table(spark, folder, "documents", "doc_id", "lang", "text"), path)
-    return sheets.read_csv(spark, path, "doc_id bigint, lang string, text string").select(
+    sheets.write_csv(table(spark, folder, "documents", "doc_id", "lang", "text"), path, one_line=True)
+    return sheets.read_csv(spark, path, "doc_id bigint, lang string, text string", one_line=True).select(
         "doc_id", "lang", F.md5("text").alias("digest"))
 
 
+@query(f"""
+SELECT doc_id, md5({sql.normalize('text')}) AS digest, CASE WHEN doc_id % 4 = 3 THEN 'second' ELSE 'first' END AS call,
+       (SELECT count(DISTINCT doc_id % 4) FROM documents WHERE doc_id % 4 < 3) AS files_first,
+       (SELECT count(DISTINCT doc_id % 4) FROM documents WHERE doc_id % 4 = 3) AS files_second, 0::BIGINT AS files_third FROM documents""")
+def incremental_preparation(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus of one file per quarter, prepared before and after the last file comes, and once more."""
+    base = shared_folder(spark, "incremental")
+    docs = table(spark, folder, "documents", "doc_id", "text").withColumn("quarter", F.col("doc_id") % 4)
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"digest": F.md5(text.normalize(F.col("text"))), "call": F.lit(calls[-1])}).drop("text")
+
+    calls, counts = [], []
+    for call, part in (("first", "quarter < 3"), ("second", "quarter = 3"), ("third", "false")):
+        calls.append(call)
+        docs.where(part).repartition("quarter").write.mode("append").partitionBy("quarter").parquet(f"{base}/corpus")
+        rows, fresh = corpora.prepared_files(spark, f"{base}/cache", f"{base}/corpus", {"rule": "normalize"}, prepare)
+        counts.append(fresh)
+    return rows.select("doc_id", "digest", "call", *[F.lit(n).cast("bigint").alias(f"files_{call}") for call, n in zip(calls, counts)])
+
+
 @query(sql.with_(FOLDS, GROUPS) + "SELECT doc_id, group_id, split FROM ass")
 def fold_split(spark: SparkSession, folder: str) -> DataFrame:
     return _assigned(spark, folder).select("doc_id", "group_id", "split")

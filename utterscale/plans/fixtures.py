@@ -122,6 +122,18 @@ def frame_ids(spark: SparkSession, folder: str) -> DataFrame:
                        F.transform("embedding", lambda x: F.pmod(F.floor(x * 16), F.lit(4)).cast("int")).alias("ids"))
 
 
+def logits(spark: SparkSession, folder: str) -> DataFrame:
+    """``run, utt_id, frames, labels``: eight frames of eight scores, and eight padded labels.
+
+    Run 3 has no frames, run 4 no labels but padding."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
+    ids = F.transform(F.slice("embedding", 9, 8), lambda x: F.pmod(F.floor(x * 16), F.lit(8)).cast("int"))
+    labels = F.transform(ids, lambda x: F.when((x == 0) | (F.col("label") == 4), arrays.LABEL_PAD).otherwise(x))
+    frames = F.when(F.col("label") != 3, arrays.cut(F.col("embedding"), 8))
+    return rows.select(F.col("label").alias("run"), F.col("vec_id").alias("utt_id"), frames.alias("frames"), labels.alias("labels"))
+
+
+LOGIT_TOKENS = ["[PAD]", "a", "b", "|", "1", "0", ".", "|"]  # vocabulary of ``logits``
 FRAME_TOKENS = ["[PAD]", "a", "b", "|"]  # vocabulary of ``frame_ids``
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterscale.functions import arrays
 from utterscale.operators import evaluations, scores, validation
 from utterscale.operators.validation import Rule
 from utterscale.plans import fixtures, scoring, sql
@@ -46,7 +47,8 @@ def every_n_steps(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql.with_(*scoring.REPORT, scoring._report("system"), f"""
 sc AS (SELECT system, edits / ref_words AS wer, {sql.bleu_value()} AS bleu FROM tot JOIN err USING (system))""") + """
 SELECT system, row_number() OVER (PARTITION BY system ORDER BY utt_id) - 1 AS idx,
-       (row_number() OVER (PARTITION BY system ORDER BY utt_id) - 1) || chr(9) || hyp || chr(9) || ref AS line FROM pairs
+       (row_number() OVER (PARTITION BY system ORDER BY utt_id) - 1) || chr(9) || replace(hyp, '\\', '\\\\') || chr(9)
+       || replace(ref, '\\', '\\\\') AS line FROM pairs
 UNION ALL SELECT system, -1, 'WER: ' || printf('%.6f', wer) || chr(9) || ' BLEU:' || printf('%.6f', bleu) FROM sc""")
 def prediction_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Per system a score header and numbered hypothesis / reference lines."""
@@ -54,12 +56,21 @@ def prediction_sheet(spark: SparkSession, folder: str) -> DataFrame:
     return sheets.prediction_sheet(pairs, scores.eval_report(pairs))
 
 
-@query(sql.with_(sql.FRAME_IDS) + """
+@query(sql.with_(sql.FRAME_IDS, scoring.LOGITS, """
+fp AS (SELECT 0 AS run, utt_id AS k, {hyp} AS hyp, {ref} AS ref FROM fid)
+""".format(**{side: "trim(replace(coalesce(array_to_string(list_transform(list_filter(" + ids + """, lambda x: x <> 0),
+    lambda x: ['a', 'b', '|'][x]), ''), ''), '|', ' '))""" for side, ids in [
+        ("hyp", "list_filter(ids, lambda x, i: i = 1 OR x <> ids[i - 1])"), ("ref", "ids")]}), scoring.report_of("fp", "run")) + """
 SELECT row_number() OVER (ORDER BY utt_id) - 1 AS idx, (row_number() OVER (ORDER BY utt_id) - 1) || chr(9) ||
-       array_to_string(list_transform(ids, lambda x: ['[PAD]', 'a', 'b', '|'][x + 1]), ' ') AS line FROM fid""")
+       array_to_string(list_transform(ids, lambda x: ['[PAD]', 'a', 'b', '|'][x + 1]), ' ') AS line FROM fid
+UNION ALL SELECT -1, 'WER: ' || printf('%.6f', wer) || chr(9) || ' BLEU:' || printf('%.6f', bleu) FROM rep""")
 def token_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """A score header, then the ungrouped tokens of every row; scored against the tokens that are not collapsed."""
     tokens = F.array(*[F.lit(t) for t in fixtures.FRAME_TOKENS])
-    return sheets.token_sheet(fixtures.frame_ids(spark, folder), F.col("ids"), tokens)
+    rows = fixtures.frame_ids(spark, folder)
+    pairs = rows.select(arrays.ids_to_text(F.col("ids"), tokens, 0).alias("hyp"),
+                        arrays.ids_to_text(F.col("ids"), tokens, 0, collapse=False).alias("ref"))
+    return sheets.token_sheet(rows, F.col("ids"), tokens, scores=scores.eval_report(pairs, []))
 
 
 @query("""
@@ -155,6 +166,18 @@ def quarantine_counts(spark: SparkSession, folder: str) -> DataFrame:
     return validation.quarantine(checked)[1].groupBy("event_type", "rule").agg(F.count("*").alias("n"))
 
 
+@query(sql.with_(sql.PAYLOADS, CHECKED) + """
+SELECT event_id, CASE WHEN len(bad) = 0 THEN '{"k":' || (payload ->> '$.k') || ',"tags":["' || event_type || '"],"meta":'
+       || coalesce('{"user":' || (payload ->> '$.meta.user') || '}', 'null') || ',"name":"' || event_type || '","flag":null}' END AS serialised,
+       len(bad) = 0 AS kept FROM chk""")
+def serialise_props(spark: SparkSession, folder: str) -> DataFrame:
+    """Valid properties checked, written as JSON, and kept only if what was written checks and serialises to itself."""
+    once = validation.serialise(fixtures.payloads(spark, folder), "payload", RULES, "first").select("event_id", "first")
+    again = validation.serialise(once, "first", RULES)
+    same = F.coalesce((F.size("violations") == 0) & (F.col("first") == F.col("serialised")), F.lit(False))
+    return again.select("event_id", F.col("first").alias("serialised"), same.alias("kept"))
+
+
 @query(sql.with_(sql.PAYLOADS) + """
 SELECT event_id, CASE WHEN json_type(payload, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
        THEN (payload ->> '$.k')::DOUBLE END AS k FROM pay""")

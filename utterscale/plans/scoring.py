@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterscale.functions import annotation, text
 from utterscale.operators import align, ngrams, pairing, scores
-from utterscale.plans import fixtures, sql
+from utterscale.plans import fixtures, sql, texts
 from utterscale.plans.registry import query
 from utterscale.sources.scan import table
 
@@ -190,11 +190,46 @@ def metrics_guarded(spark: SparkSession, folder: str) -> DataFrame:
     wanted = docs.select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("system"), "source")
     done = fixtures.pairs(spark, folder).where((F.col("system") == "A") | (F.col("source") != "src3"))
     by = ["system", "source"]
-    both = scores.wer(done, by).select(*by, "wer").join(scores.bleu(done, by).select(*by, "bleu"), by)
-    return scores.guarded(wanted, both, by).select(
+    return scores.eval_report(done, by, wanted, normalized=False).select(
         *by, F.round("wer", 6).alias("wer"), F.round("bleu", 6).alias("bleu"))
 
 
+def report_of(pairs: str, by: str) -> str:
+    """CTEs up to ``rep(by, n_pairs, wer, bleu)`` over a CTE ``pairs`` with ``k, by, hyp, ref``."""
+    keyed = f"keyed AS (SELECT * FROM {pairs})"
+    src = f"""src AS (SELECT k, {by}, {sql.normalize('hyp')} AS hyp, {sql.normalize('ref')} AS ref, {sql.normalize('spelled')} AS ref2
+                FROM keyed JOIN nw ON nw.k0 = k)"""
+    rep = f"rep AS (SELECT {by}, n_pairs, coalesce(edits / ref_words, 'inf'::DOUBLE) AS wer, {sql.bleu_value()} AS bleu FROM tot LEFT JOIN err USING ({by}))"
+    return ",\n".join([keyed, sql.number_words("keyed", "k", "ref"), src, sql.ngram_sums("src", by, "hyp", ["ref", "ref2"]),
+                       sql.word_errors("keyed", by), _report(by), rep])
+
+
+LOGITS = f"""
+lg AS (SELECT label AS run, vec_id AS k,
+         CASE WHEN label = 3 THEN NULL ELSE list_transform(range(0, 8), lambda f: list_position(embedding[f * 8 + 1 : f * 8 + 8],
+           list_max(embedding[f * 8 + 1 : f * 8 + 8])) - 1) END AS best,
+         CASE WHEN label = 4 THEN [] ELSE list_transform(embedding[9:16], lambda x: ((floor(x * 16)::INT % 8) + 8) % 8) END AS spoken
+       FROM embeddings),
+dec AS (SELECT run, k, {{hyp}} AS hyp, {{ref}} AS ref FROM lg)
+""".format(**{side: texts.cleaned(f"""trim(replace(coalesce(array_to_string(list_transform(list_filter({ids}, lambda x: x <> 0),
+    lambda x: ['a', 'b', '|', '1', '0', '.', '|'][x]), ''), ''), '|', ' '))""") for side, ids in [
+        ("hyp", "list_filter(best, lambda x, i: i = 1 OR x <> best[i - 1])"), ("ref", "spoken")]})
+
+
+@query(sql.with_(LOGITS, report_of("dec", "run")) + """
+SELECT run, coalesce(n_pairs, 0) AS n_pairs, round(coalesce(wer, 'inf'::DOUBLE), 6) AS wer, round(coalesce(bleu, 0.0), 6) AS bleu
+FROM (SELECT unnest(range(0, 12))::INT AS run) LEFT JOIN rep USING (run)""")
+def eval_from_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluations from frame scores and padded labels; two of the runs asked for have no rows."""
+    tokens = F.array(*[F.lit(t) for t in fixtures.LOGIT_TOKENS])
+    pairs = scores.decoded_pairs(fixtures.logits(spark, folder), ["run"], tokens, 0)
+    wanted = spark.range(12).select(F.col("id").cast("int").alias("run"))
+    return scores.eval_report(pairs, ["run"], wanted).select(
+        "run", "n_pairs", F.round("wer", 6).alias("wer"), F.round("bleu", 6).alias("bleu"))
+
+
+
+
 @query(sql.with_(*TWO_REFS, sql.ngram_sums("src", "system, doc_id", "hyp", ["ref", "ref2"]),
                  """parts AS (SELECT system, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'public' ELSE 'private' END
                              AS part, * EXCLUDE (system) FROM wide)""",
@@ -215,10 +250,11 @@ def score_parts(spark: SparkSession, folder: str) -> DataFrame:
                  sql.word_errors("pm")) + f"""
 SELECT system, lang, count(*) AS n_pairs, {_sum('edits', 'ref_words')} FROM we GROUP BY system, lang""")
 def score_with_preprocessor(spark: SparkSession, folder: str) -> DataFrame:
-    """Word errors with a caller's own preprocessor (plain Python, Arrow batches) on both sides."""
-    own = text.as_preprocessor(lambda s: s.lower().replace("ps5", "ps five").replace("3d", "three d"))
-    return scores.wer(fixtures.pairs(spark, folder), ["system", "lang"],
-                      lambda c: text.normalize(own(c))).drop("wer")
+    """Word errors with a caller's own preprocessor, a function of columns, on both sides."""
+    def own(c: Column) -> Column:
+        return text.normalize(F.replace(F.replace(F.lower(c), F.lit("ps5"), F.lit("ps five")), F.lit("3d"), F.lit("three d")))
+
+    return scores.wer(fixtures.pairs(spark, folder), ["system", "lang"], own).drop("wer")
 
 
 def _token_pairs(spark: SparkSession, folder: str) -> DataFrame:
