@@ -10,9 +10,10 @@ Inner products become distances by one more component that brings all vectors to
 norm. Equal vectors are one entry that carries its smallest ids, so copies cost nothing.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and
-rows with a null id take no part; neither do vectors of another length than the most common
-one; repeated ids are candidates like any other row, but never their own; without any vector
-there are no rows; extra columns are ignored.
+rows with a null id take no part; vectors are compared with those of their length; rows that
+repeat an id and a vector are one row; other rows with a repeated id are rows of their own, as
+candidates and as queries, but no row with the query's id is found; equal scores go by
+id; without any vector there are no rows; extra columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MAX_LISTS = 8192  # bounds the broadcast index: centroids and graph stay below 1
 SAMPLE = 32  # sampled vectors per list the index is fitted on
 DEGREE = 32
 REPLICAS, REPLICA_RATIO = 8, 1.05
-PROBE_RATIO = 1.10
+PROBE_RATIO = 1.15
 BLOCK = 4096  # postings or queries of a list that one group may hold
 
 
@@ -138,11 +139,11 @@ def fit(vectors: DataFrame) -> Index | None:
         return None
     lists = max(1, min(MAX_LISTS, round(n / LIST)))
     rate = min(1.0, lists * SAMPLE / n)
-    unit = F.pmod(F.xxhash64(F.lit(31), F.col("rep")), F.lit(1 << 40)) / float(1 << 40)
-    rows = vectors.where(unit < rate).orderBy("rep").select("v").toArrow()["v"].combine_chunks()
+    unit = F.pmod(F.xxhash64(F.lit(31), F.col("v")), F.lit(1 << 40)) / float(1 << 40)
+    rows = vectors.where(unit < rate).orderBy("rep", "v").select("v").toArrow()["v"].combine_chunks()
     x = np.asarray(rows.flatten(), np.float64).reshape(len(rows), -1)
     if not len(x):  # a tiny table whose hashes all fall outside the sample
-        rows = vectors.orderBy("rep").limit(lists * SAMPLE).select("v").toArrow()["v"].combine_chunks()
+        rows = vectors.orderBy("rep", "v").limit(lists * SAMPLE).select("v").toArrow()["v"].combine_chunks()
         x = np.asarray(rows.flatten(), np.float64).reshape(len(rows), -1)
     x = np.c_[x, np.sqrt(np.maximum(norm**2 - (x * x).sum(1), 0))]
     centroids = _leaves(x, max(1, -(-len(x) // lists)))
@@ -161,12 +162,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _assigned(rows: DataFrame, index: Index, held: np.ndarray | None = None, need: int = 0) -> DataFrame:
-    """``rep, v, list, home`` of ``rep, v``: one row per list of a vector; its home is the closest.
+    """The rows, which have ``v``, with ``list, home``: one row per list of a vector; its home is the closest.
 
     With ``held``, the vectors at home in each list, rows are queries that ask for ``need`` vectors.
     """
     shared, query = rows.sparkSession.sparkContext.broadcast(index), held is not None
-    kind = rows.schema["rep"].dataType.simpleString()
 
     def run(batches):
         for whole in batches:
@@ -181,17 +181,37 @@ def _assigned(rows: DataFrame, index: Index, held: np.ndarray | None = None, nee
                     found = [i[d <= d[0] * REPLICA_RATIO] for i, d in zip(ids, dist)]
                 at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 picked = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([picked.column("rep"), picked.column("v"), pa.array(np.concatenate(found), pa.int32()),
-                                                  pa.array(np.r_[True, at[1:] != at[:-1]])], names=["rep", "v", "list", "home"])
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(found), pa.int32()),
+                                                  pa.array(np.r_[True, at[1:] != at[:-1]])], names=[*batch.schema.names, "list", "home"])
 
-    return rows.select("rep", "v").mapInArrow(run, f"rep {kind}, v array<double>, list int, home boolean")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, list int, home boolean")
+
+
+def _best(asked: np.ndarray, own: np.ndarray, x: np.ndarray, rep: np.ndarray, sole: np.ndarray, alone: np.ndarray,
+          k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best entries of each query (fewer, if there are no more): place of the query, of the entry, exact score.
+
+    An entry whose only id (``sole``, where ``alone``) is the query's own takes no part. All
+    entries that may tie with the last one are scored exactly before the smaller ids win.
+    """
+    found = np.where(alone[None, :] & (sole[None, :] == own[:, None]), -np.inf, asked @ x.T)
+    last = np.partition(found, len(x) - min(k, len(x)), axis=1)[:, len(x) - min(k, len(x))]
+    slack = 1e-11 * (1 + np.sqrt((asked * asked).sum(1)) * np.sqrt((x * x).sum(1).max()))  # products are rounded
+    q, e = np.nonzero((found >= (last - slack)[:, None]) & (found > -np.inf))
+    # summed alike wherever a vector stands, so that a pair's score never depends on its block
+    exact = np.concatenate([(asked[q[a:a + 8192]] * x[e[a:a + 8192]]).sum(1) for a in range(0, len(q), 8192)] or [np.zeros(0)])
+    order = np.lexsort((rep[e], -exact, q))
+    q, e, exact = q[order], e[order], exact[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], e[keep], exact[keep]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: up to ``k`` nearest rows found for each query row.
 
     ``vectors`` and ``queries`` have ``vec_id`` and ``embedding``; a query never finds its own
-    id. Lists with more than ``BLOCK`` postings or queries are cut into blocks.
+    id. Lists with more than ``BLOCK`` postings or queries are cut into blocks. Runs jobs when called.
     """
     good = [F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
             F.exists("embedding", lambda x: x != 0), F.col("vec_id").isNotNull()]
@@ -201,65 +221,66 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return rows.where(good[0] & good[1] & good[2]).select("vec_id", F.col("embedding").alias("v"))
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    rows = valid(vectors)
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if length is None:
+    rows, asked = valid(vectors), valid(queries)
+    lengths = rows.select(F.size("v").alias("d")).distinct().join(asked.select(F.size("v").alias("d")).distinct(), "d").orderBy("d")
+    parts = [_of_length(rows.where(F.size("v") == r["d"]), asked.where(F.size("v") == r["d"]), kind, k) for r in lengths.collect()]
+    if not parts:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    rows = rows.where(F.size("v") == length["d"])
-    asked = valid(queries).where(F.size("v") == length["d"])
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _of_length(rows: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
+    """The result for ``vec_id, v`` of one length."""
     # the rank limit is applied before the shuffle as well: a hot vector sends k+1 ids per task
-    first = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    distinct = written(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-                       .select(F.col("ids")[0].alias("rep"), "v", "ids"), "vectors")
+    first = (rows.withColumn("n", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+             .select("vec_id", "v").distinct())
+    # "key" numbers the distinct vectors; "sole" is the id of a vector that has no other
+    distinct = written(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(
+        F.monotonically_increasing_id().alias("key"), F.col("ids")[0].alias("rep"), "v", "ids",
+        F.when(F.size("ids") == 1, F.col("ids")[0]).alias("sole")), "vectors")
     index = fit(distinct)
-    members = written(asked.distinct().join(distinct.select("v", "rep"), "v"), "queries")
-    postings = written(_assigned(distinct, index), "postings")
+    members = written(asked.distinct().select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "v"), "queries")
+    postings = written(_assigned(distinct.drop("ids"), index), "postings")
     held = np.zeros(len(index.centroids), np.int64)
     for r in postings.where("home").groupBy("list").count().collect():  # at most MAX_LISTS rows
         held[r["list"]] = r["count"]
-    probes = written(_assigned(members.groupBy("rep").agg(F.first("v").alias("v")), index, held, k + 1), "probes")
+    probes = written(_assigned(members, index, held, k + 1), "probes")
 
     sizes = (postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pn"))
              .join(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qn")), "list"))
     sizes = F.broadcast(sizes)  # at most MAX_LISTS rows
     left = postings.join(sizes, "list").select(
-        "rep", "v", "list", F.pmod(F.xxhash64("rep"), F.col("pn")).cast("int").alias("p"),
-        F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("q"))
+        "key", "rep", "sole", "v", "list", F.pmod(F.xxhash64("key"), F.col("pn")).cast("int").alias("p"),
+        F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("b"))
     right = probes.join(sizes, "list").select(
-        "rep", "v", "list", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("p"),
-        F.pmod(F.xxhash64("rep"), F.col("qn")).cast("int").alias("q"))
+        "q", "query_id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("p"),
+        F.pmod(F.xxhash64("q"), F.col("qn")).cast("int").alias("b"))
 
     def scored(posts: pa.Table, asks: pa.Table) -> pa.Table:
-        ids, x = np.asarray(posts["rep"]), _matrix(posts["v"])
+        rep, x = np.asarray(posts["rep"]), _matrix(posts["v"])
+        alone = ~np.asarray(posts["sole"].is_null())
+        sole = np.asarray(posts["sole"].fill_null(0))
         out = [[], [], []]
-        asked_ids, wanted = np.asarray(asks["rep"]), _matrix(asks["v"])
+        own, number, wanted = np.asarray(asks["query_id"]), np.asarray(asks["q"]), _matrix(asks["v"])
         for a in range(0, len(wanted), 256):
-            found = wanted[a:a + 256] @ x.T
-            top = np.argpartition(-found, min(2 * k, len(x)) - 1, axis=1)[:, :2 * k]
-            # summed alike wherever a vector stands, so that a pair's score never depends on its block
-            exact = (wanted[a:a + 256][:, None, :] * x[top]).sum(2)
-            best = np.lexsort((ids[top], -exact), axis=1)[:, :k + 1]
-            out[0].append(np.repeat(asked_ids[a:a + 256], best.shape[1]))
-            out[1].append(np.take_along_axis(ids[top], best, 1).ravel())
-            out[2].append(np.take_along_axis(exact, best, 1).ravel())
-        parts = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"q": pa.array(parts[0], posts.schema.field("rep").type),
-                         "rep": pa.array(parts[1], posts.schema.field("rep").type), "score": pa.array(parts[2], pa.float64())})
-
-    keys = ["list", "p", "q"]
+            q, e, exact = _best(wanted[a:a + 256], own[a:a + 256], x, rep, sole, alone, k)
+            for o, values in zip(out, (number[a:a + 256][q], e, exact)):
+                o.append(values)
+        q, e, exact = (np.concatenate(o) for o in out)
+        e = pa.array(e.astype(np.int64))
+        return pa.table({"q": pa.array(q, pa.int64()), "rep": posts["rep"].take(e), "key": posts["key"].take(e), "score": pa.array(exact)})
+
+    keys = ["list", "p", "b"]
     found = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-             .applyInArrow(scored, f"q {kind}, rep {kind}, score double"))
-    best = (found.groupBy("q", "rep").agg(F.max("score").alias("score"))
-            .withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep")))
-            .where(F.col("n") <= k + 1))
-    # copies of the found vectors, in order; k + 1 of them are enough to leave out the query itself
-    expanded = (best.join(distinct.select("rep", "ids"), "rep")
-                .select("q", "score", F.explode("ids").alias("vec_id"))
-                .withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
-                .where(F.col("n") <= k + 1)
-                .groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found")))
-    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return (members.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")).join(expanded, "q")
-            .select("query_id", F.posexplode(others).alias("pos", "x"))
-            .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"),
-                    F.col("x.score").alias("score")))
+             .applyInArrow(scored, f"q long, rep {kind}, key long, score double"))
+    best = (found.groupBy("q", "rep", "key").agg(F.max("score").alias("score"))
+            .withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep", "key")))
+            .where(F.col("n") <= k))
+    # each of the k entries has an id beside the query's own, so k rows are among their smallest ids
+    expanded = (best.join(distinct.select("key", "ids"), "key").join(members.select("q", "query_id"), "q")
+                .select("q", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id"))
+    ranked = expanded.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
