@@ -144,6 +144,63 @@ def test_posting_lists_fill_every_query(spark, monkeypatch):
         assert {len(found) for found in got.values()} == {min(k, 2999)}
 
 
+def nearest_by_hand(rows, queries_, k):
+    good = {(i, tuple(float(np.float32(e)) for e in v)) for i, v in rows if i is not None and v and all(
+        e is not None and np.isfinite(e) for e in v) and any(v)}
+    out = collections.Counter()
+    for q, v in {r for r in good if queries_(r[0])}:
+        found = sorted((-round(float(np.dot(v, w)), 9), i) for i, w in good if i != q and len(w) == len(v))[:k]
+        out.update((q, n + 1, i, -s) for n, (s, i) in enumerate(found))
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_posting_lists_ties_repeats_and_lengths(spark, monkeypatch, block):
+    monkeypatch.setattr(posting_lists, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):  # distinct vectors with equal products with the axes
+        rows.append((i, [1.0, 0.0, 0.0, 0.0] if i % 20 == 0 else [1.0, *rng.integers(-9, 9, 3).astype(float).tolist()]))
+    rows += [(0, [1.0, float(j), 0.0, 0.0]) for j in range(1, 7)] + [rows[40]] * 3 + [(500 + i, rows[40][1]) for i in range(40)]
+    rows += [(600 + i, [float(i + 1), 1.0]) for i in range(30)] + [(700, [1.0]), (720, [2.0]), (740, [1.0] * 9), (760, None), (780, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = posting_lists.nearest(frame, frame.where("vec_id % 20 = 0"), 20).collect()
+    assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == nearest_by_hand(
+        rows, lambda i: i % 20 == 0, 20)
+
+
+@pytest.mark.parametrize("norms", ["even", "uneven"])
+def test_recall_over_many_lists(spark, monkeypatch, norms):
+    monkeypatch.setattr(posting_lists, "LIST", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 16))  # some 375 lists
+    if norms == "uneven":
+        x *= rng.uniform(0.5, 2, (6000, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in posting_lists.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hits / (300 * 20) >= 0.9
+
+
+def test_repeated_rows_are_one_document(spark):
+    line = "all of these words stand on one line"
+    own = "\nthese are some other words that are not like those of others at all"
+    rows = [(1, line + own, "s")] * 30 + [(i, f"{line}{own} {i}", "t") for i in range(25)] + [(None, line + own, None)] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame = frame.withColumn("n", F.lit(0)).withColumn("line", F.lit(0)).withColumn("host", F.lit("h"))
+    assert {r["host"] for r in line_frequency.frequent_lines(frame).collect()} == {"t"}
+    removed = {(r["doc_id"], r["host"]): r["removed_words"] for r in line_frequency.judged(frame).collect()}
+    assert removed[1, "s"] == 0 and removed[None, ""] == 0 and removed[7, "t"] == 8 and removed[24, "t"] == 8
+    both = spark.createDataFrame([(i, line, "" if i % 2 else None) for i in range(24)], "doc_id long, text string, source string")
+    assert [r["host"] for r in line_frequency.frequent_lines(both).collect()] == [""]
+
+
 def test_line_frequency(docs, empty):
     rows = line_frequency.judged(docs, min_docs=1, share=0.0).collect()
     assert len(rows) == docs.count()

@@ -4,9 +4,10 @@ Lines are normalised (blanks collapsed, lower case, digits to 0) and hashed; per
 documents that hold a line are counted; lines above the host's limit are removed, and a
 document that keeps too few of its words is rejected.
 
-Defined cases: a null text is empty and fails the base rules; a null host is a host of its
-own; repeated rows are judged alike, each by itself; an empty table gives no rows; extra
-columns are ignored, whatever their names.
+Defined cases: a null text is empty and fails the base rules, a text of any length is judged
+whole; a null host and an empty one are one host; repeated rows are judged alike, each by
+itself, and count as one document, as do all rows without an id; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterscale.functions.arrays import let
-from utterscale.llm.common import WHITE
+from utterscale.llm.common import WHITE, written
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -86,28 +87,42 @@ def _lines(docs: DataFrame, host: str) -> DataFrame:
             .where(F.col("words") > 0))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.01) -> DataFrame:
-    """``host, line``: hashes of lines held by more than ``max(min_docs, share * documents of the host)``.
+def _candidates(docs: DataFrame, host: str, min_docs: int) -> DataFrame:
+    """The rows of ``_lines`` whose line may be held by more than ``min_docs`` documents of the host.
 
-    Hashes are made distinct inside a document before they are counted, so the counts are
-    plain sums, combined before the shuffle: a hot host or line sends one row per task.
+    Hashes are made distinct inside a row before rows are counted, so the counts are plain
+    sums, combined before the shuffle: a hot host or line sends one row per task. Rows are at
+    least as many as documents, so no line is lost.
     """
     rows = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("docs"))
     worded = F.filter(F.split("text", "\n"), lambda line: line.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     hashes = F.array_distinct(F.transform(worded, lambda line: F.xxhash64(normal_line(line))))
     counts = (rows.select("host", F.explode(hashes).alias("line")).groupBy("host", "line")
               .agg(F.count("*").alias("n")).where(F.col("n") > min_docs))
+    return _lines(docs, host).join(counts.drop("n"), ["host", "line"], "left_semi")
+
+
+def _frequent(docs: DataFrame, candidates: DataFrame, host: str, min_docs: int, share: float) -> DataFrame:
+    """``host, line`` held by more than the limit; documents are counted once, whatever their rows."""
+    sizes = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(
+        F.count_distinct(F.struct("doc_id")).alias("docs"))
+    counts = candidates.groupBy("host", "line").agg(F.count_distinct(F.struct("doc_id")).alias("n")).where(F.col("n") > min_docs)
     return counts.join(sizes, "host").where(F.col("n") > F.col("docs") * share).select("host", "line")
 
 
+def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.01) -> DataFrame:
+    """``host, line``: hashes of lines held by more than ``max(min_docs, share * documents of the host)``."""
+    return _frequent(docs, _candidates(docs, host, min_docs), host, min_docs, share)
+
+
 def judged(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.01, min_words: int = 10,
            keep_share: float = 0.5) -> DataFrame:
     """One row per document: the base figures, ``removed_lines`` (0-based line numbers),
-    ``removed_words``, ``base_failed`` and ``kept``, beside ``doc_id, host, text``."""
-    frequent = frequent_lines(docs, host, min_docs, share)
-    gone = (_lines(docs, host).join(frequent, ["host", "line"], "left_semi")
+    ``removed_words``, ``base_failed`` and ``kept``, beside ``doc_id, host, text``. Runs a job when called."""
+    candidates = written(_candidates(docs, host, min_docs), "candidate-lines")
+    frequent = _frequent(docs, candidates, host, min_docs, share)
+    gone = (candidates.join(frequent, ["host", "line"], "left_semi")
             .groupBy("doc_id", "host", "text_hash")
             .agg(F.sort_array(F.collect_set(F.struct("pos", "words"))).alias("gone")))
     base = _stats(docs, host).alias("b")

@@ -59,7 +59,7 @@ lines AS (
          len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(*) AS docs FROM docs GROUP BY host),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM docs GROUP BY host),
 frequent AS (
   SELECT l.host, l.norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM lines GROUP BY host, norm) l
   JOIN hosts h ON h.host = l.host WHERE n > 20 AND n > docs * 0.01),
@@ -186,7 +186,8 @@ BLOCKS_SQL = r"""
 WITH words AS MATERIALIZED (
   SELECT doc_id, i, w FROM (
     SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
-      SELECT doc_id, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS ws FROM documents))),
+      SELECT doc_id, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents))),
 grams AS MATERIALIZED (
   SELECT doc_id, i, string_agg(w, ' ') OVER p AS g, count(*) OVER p AS n
   FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
