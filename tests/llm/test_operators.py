@@ -157,6 +157,7 @@ def nearest_by_hand(rows, queries_, k):
 @pytest.mark.parametrize("block", [7, 4096])
 def test_posting_lists_ties_repeats_and_lengths(spark, monkeypatch, block):
     monkeypatch.setattr(posting_lists, "BLOCK", block)
+    monkeypatch.setattr(posting_lists, "LOAD", block * 10)
     rng = np.random.default_rng(4)
     rows = []
     for i in range(300):  # distinct vectors with equal products with the axes

@@ -34,6 +34,7 @@ SAMPLE = 32  # sampled vectors per list the index is fitted on
 DEGREE = 32
 REPLICAS, REPLICA_RATIO = 8, 1.05
 PROBE_RATIO = 1.15
+LOAD = 1 << 20  # found entries a task holds before it combines them
 BLOCK = 4096  # postings or queries of a list that one group may hold
 
 
@@ -270,12 +271,50 @@ def _of_length(rows: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFram
             for o, values in zip(out, (number[a:a + 256][q], e, exact)):
                 o.append(values)
         q, e, exact = (np.concatenate(o) for o in out)
-        e = pa.array(e.astype(np.int64))
-        return pa.table({"q": pa.array(q, pa.int64()), "rep": posts["rep"].take(e), "key": posts["key"].take(e), "score": pa.array(exact)})
+        cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]) if len(q) else np.zeros(1, np.int64)
+
+        def lists(values):
+            return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+
+        return pa.table({"q": pa.array(q[cuts[:-1]], pa.int64()), "reps": lists(rep[e]), "keys": lists(np.asarray(posts["key"])[e]),
+                         "scores": lists(exact)})
+
+    def combined(batches):
+        """The ``k`` best entries of each query among those its partition found."""
+        held, size = [], 0
+
+        def best_of(held):
+            q, rep, key, score = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((key, rep, -score, q))
+            q, rep, key, score = q[order], rep[order], key[order], score[order]
+            # a vector of several lists has one score: its copies stand next to each other
+            new = np.r_[True, (q[1:] != q[:-1]) | (key[1:] != key[:-1])] if len(q) else np.zeros(0, bool)
+            q, rep, key, score = q[new], rep[new], key[new], score[new]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return q[keep], rep[keep], key[keep], score[keep]
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1]).cast(rep_type), pa.array(found[2], pa.int64()),
+                                               pa.array(found[3], pa.float64())], names=["q", "rep", "key", "score"])
+
+        for batch in batches:
+            n = np.asarray(batch.column("keys").value_lengths(), np.int64)
+            held.append((np.repeat(batch.column("q").to_numpy(), n), *(np.asarray(batch.column(c).flatten()) for c in ("reps", "keys", "scores"))))
+            size += int(n.sum())
+            if size >= LOAD:
+                held = [best_of(held)]
+                size = len(held[0][0])
+                if size >= LOAD // 2:
+                    yield rows(held[0])
+                    held, size = [], 0
+        if held:
+            yield rows(best_of(held))
 
     keys = ["list", "p", "b"]
+    rep_type = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.int64())
     found = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-             .applyInArrow(scored, f"q long, rep {kind}, key long, score double"))
+             .applyInArrow(scored, f"q long, reps array<{kind}>, keys array<long>, scores array<double>")
+             .mapInArrow(combined, f"q long, rep {kind}, key long, score double"))
     best = (found.groupBy("q", "rep", "key").agg(F.max("score").alias("score"))
             .withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep", "key")))
             .where(F.col("n") <= k))
