@@ -259,3 +259,11 @@ def test_fold_maps_are_disjoint():
 def test_python_preprocessor(spark):
     pairs = list_pairs(spark, ["A b"], ["a B"])
     assert scores.wer(pairs, preprocessor=text.as_preprocessor(str.lower)).first()["edits"] == 0
+
+
+def test_colliding_numbers_are_refused(spark):
+    rows = spark.createDataFrame([(3, 0), (3, 999), (3, None)], "r bigint, p int")
+    number = fixtures._numbered(F.col("r"), F.col("p"), 1000).alias("n")
+    assert [r["n"] for r in rows.select(number).collect()] == [3000, 3999, None]
+    with pytest.raises(Exception, match="more than 1000 parts in row 3"):
+        spark.createDataFrame([(3, 1000)], "r bigint, p int").select(number).collect()

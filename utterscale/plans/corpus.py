@@ -15,9 +15,10 @@ from utterscale.sources.shared import shared_folder
 
 SEED = 123  # fixed value: configured seed
 
-FOLDS = "fold AS (" + " UNION ALL ".join(
-    f"SELECT unnest({groups!r}) AS group_id, '{split}' AS split"
-    for split, groups in splits.PRODUCTION_FOLDS.items()) + ")"
+FOLDS = """
+fold AS (SELECT unnest(['1', '2', '3', '4', '7', '8', '9', '10', '12', '13', '14', '15', '16', '17', '18']) AS group_id, 'train' AS split
+         UNION ALL SELECT unnest(['5', '11']), 'test' UNION ALL SELECT unnest(['6', '19', '20', '21']), 'eval')
+"""
 GROUPS = """
 grp AS (SELECT doc_id, lang, n_chars, text, (doc_id % 21 + 1)::VARCHAR AS group_id FROM documents),
 ass AS (SELECT grp.*, split FROM grp LEFT JOIN fold USING (group_id))

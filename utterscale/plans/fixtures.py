@@ -15,6 +15,13 @@ from utterscale.sources.scan import spread, table
 
 UTTERANCE_WORDS = 24
 SEGMENT_SPAN = 1_000_000  # utt_id = doc_id * SEGMENT_SPAN + segment
+TURN_SPAN = 1000  # utt_id = conv_id * TURN_SPAN + turn
+
+
+def _numbered(row: Column, part: Column, span: int) -> Column:
+    """``row * span + part``; a part beyond the span is refused, as its number would be another row's."""
+    beyond = F.raise_error(F.concat(F.lit(f"more than {span} parts in row "), row.cast("string"))).cast("bigint")
+    return F.when(part.isNull() | part.between(0, span - 1), row * span + part).otherwise(beyond)
 
 
 def _tokens(text: Column) -> Column:
@@ -26,7 +33,7 @@ def _utterances(rows: DataFrame, id_of_row: Column) -> DataFrame:
     pieces = arrays.cut(_tokens(F.col("text")), UTTERANCE_WORDS)
     # outer: an inner explode would first filter on the size, cutting every text twice
     return rows.select(*keep, F.posexplode_outer(pieces).alias("seg", "tokens")).select(
-        (id_of_row * SEGMENT_SPAN + F.col("seg")).alias("utt_id"), *keep, "tokens")
+        _numbered(id_of_row, F.col("seg"), SEGMENT_SPAN).alias("utt_id"), *keep, "tokens")
 
 
 def utterances_of(docs: DataFrame, *carry: str) -> DataFrame:
@@ -154,7 +161,7 @@ def _mark_up(tokens: Column) -> Column:
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """``utt_id, role, tokens`` for every conversation turn."""
     rows = spread(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"), "conv_id")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), "conv_id", "role",
+    return rows.select(_numbered(F.col("conv_id"), F.col("turn"), TURN_SPAN).alias("utt_id"), "conv_id", "role",
                        _tokens(F.col("text")).alias("tokens"))
 
 

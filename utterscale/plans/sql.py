@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from utterscale.functions.text import FOLD_FROM, FOLD_TO
-from utterscale.plans.fixtures import UTTERANCE_WORDS as W
+
+W = 24  # words of an utterance
 
 
 def with_(*parts: str) -> str:
