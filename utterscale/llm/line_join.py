@@ -90,6 +90,15 @@ def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     return documents, written(first, "first"), frequencies(found.where("bucket IS NOT NULL").select("bucket", "n"))
 
 
+def _fresh(keys: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the wanted keys' first occurrences that are not among ``seen``, which takes them."""
+    at = np.flatnonzero(wanted)
+    names, one = np.unique(keys[at], return_index=True)
+    new = np.fromiter((k not in seen for k in names.tolist()), bool, len(names))
+    seen.update(names[new].tolist())
+    return np.sort(at[one[new]])
+
+
 def _links(rows: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFrame:
     """``a, b``: keys of lines that pass all filters, enough of them to connect all that do.
 
@@ -115,20 +124,16 @@ def _links(rows: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFr
         for batch in slices(batches, "text", PIECE):
             h, at, _, _ = line_sets(batch.column("text"))
             keys, n = set_keys(h, at), np.diff(at)
-            fresh = np.zeros(len(keys), bool)
-            for i, key in enumerate(keys.tolist()):
-                if n[i] and key not in seen:
-                    seen.add(key)
-                    fresh[i] = True
+            pick = _fresh(keys, n > 0, seen)
+            h, at, keys, n = h[ranges(at[:-1][pick], n[pick])], np.r_[0, np.cumsum(n[pick])], keys[pick], n[pick]
             token, row, place = ranked(h, at, table.value)
             parity = np.zeros((len(n), 2), np.uint64)
             bit = np.uint64(1) << (token & np.uint64(63))
             half = ((token >> np.uint64(6)) & np.uint64(1)).astype(bool)
-            full = np.flatnonzero(n)
             for k, mine in enumerate((~half, half)):
-                if len(full):
-                    parity[full, k] = np.bitwise_xor.reduceat(np.where(mine, bit, np.uint64(0)), at[:-1][full])
-            use = fresh[row] & (place <= n[row] - ceil_div(num * n[row], den))
+                if len(n):
+                    parity[:, k] = np.bitwise_xor.reduceat(np.where(mine, bit, np.uint64(0)), at[:-1])
+            use = place <= n[row] - ceil_div(num * n[row], den)
             of = row[use]
             entries = np.empty(len(of), ENTRY)
             for name, values in zip(ENTRY.names, (token[use], keys[of], n[of], place[use], parity[of, 0], parity[of, 1])):
@@ -201,12 +206,8 @@ def _removed(rows: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFr
         for batch in slices(batches, "text", PIECE):
             h, at, _, _ = line_sets(batch.column("text"))
             keys, n = set_keys(h, at), np.diff(at)
-            pick = []
-            for i in np.flatnonzero((n > 0) & maybe(bits.value, keys)).tolist():
-                if keys[i] not in seen:
-                    seen.add(keys[i])
-                    pick.append(i)
-            flat = h[ranges(at[:-1][pick], n[pick])] if pick else h[:0]
+            pick = _fresh(keys, (n > 0) & maybe(bits.value, keys), seen)
+            flat = h[ranges(at[:-1][pick], n[pick])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys[pick]),
                 pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[pick])].astype(np.int32)), pa.array(flat.view(np.int64)))],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_PLUS_1 = _LOWER.astype(np.uint64) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,25 +31,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of the odd base modulo 2^64, and those of its inverse."""
+    both = []
+    for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+        power = np.full(1 << bits, base, np.uint64)
+        power[0] = 1
+        both.append(np.cumprod(power, dtype=np.uint64))
+    return both[0], both[1]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and row of every word, A-Z lower-cased, in text order."""
-    data = _LOWER[data]
-    solid = ~_WHITE[data]
-    start = solid.copy()
-    start[1:] &= ~solid[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    start[first] = solid[first]
-    at = np.flatnonzero(solid)
-    starts = np.flatnonzero(start)
-    if not len(starts):
+    """64-bit hash and row of every word, A-Z lower-cased, in text order.
+
+    A word's hash is its bytes' polynomial, taken as a difference of running sums and brought
+    back to power 0 by the inverse base.
+    """
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    begins = start[at]
-    place = at - starts[np.cumsum(begins) - 1]
-    power = np.full(int(place.max()) + 1, _ODD, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    sums = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * power[place], np.flatnonzero(begins))
-    return mix(sums), np.searchsorted(offsets, starts, side="right") - 1
+    solid = ~_WHITE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | cut[1:-1]
+    stop[:-1] &= ~solid[1:] | cut[1:-1]
+    starts, stops = np.flatnonzero(start), np.flatnonzero(stop)
+    power, back = _powers(max(22, (len(data) - 1).bit_length()))
+    sums = power[:len(data)] * _LOWER_PLUS_1[data]
+    np.cumsum(sums, out=sums)
+    words = (sums[stops] - np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))) * back[starts]
+    return mix(words), np.searchsorted(offsets, starts, side="right") - 1
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +90,7 @@ def row_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
                 x = mix(x * _ODD + h[begin[r] + k])
             whole.append(x[0] + np.uint64(counts[r]))
         h, row = np.r_[grams, np.array(whole, np.uint64)], np.r_[owner, short]
-    order = np.lexsort((h, row))
+    order = _by_row(h, row)
     h, row = h[order], row[order]
     if len(h):
         new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
@@ -84,6 +98,18 @@ def row_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return h, np.r_[0, np.cumsum(np.bincount(row, minlength=rows))]
 
 
+def _by_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by row and hash: one sort of numbers of row and leading hash bits, unless these
+    leave the order of two different hashes open."""
+    bits = max(int(row.max(initial=0)).bit_length(), 1)
+    key = (row.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits))
+    order = np.argsort(key)
+    key, sorted_h = key[order], h[order]
+    if ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+        return np.lexsort((h, row))
+    return order
+
+
 def set_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit name of every set, independent of order; 0 for an empty one."""
     n = np.diff(offsets)
@@ -104,9 +130,18 @@ def ceil_div(a, b):
 
 def ranked(h: np.ndarray, offsets: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of every row, rare ones first: hash, row, and place in the row."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((h, frequency[buckets(h)], row))
-    return h[order], row, np.arange(len(h)) - offsets[row]
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(h)) - offsets[row]
+    count = frequency[buckets(h)]
+    wide = [int(x.max(initial=0)).bit_length() for x in (row, count, place)]
+    if sum(wide) > 63:
+        order = np.lexsort((place, count, row))
+    else:  # hashes ascend in a row, so row, count and place in one number state the order
+        key = (row << (wide[1] + wide[2])) | (count << wide[2]) | place
+        key.sort()
+        order = (key & ((1 << wide[2]) - 1)) + offsets[row]
+    return h[order], row, place
 
 
 def frequencies(counts: DataFrame) -> np.ndarray:
