@@ -375,3 +375,39 @@ def test_pipeline_keeps_columns_and_copies_go(spark, docs, tmp_path):
     assert kept.columns == rows.columns
     near = {r["doc_id"] for r in kept.collect()} & {40, 41, 42}
     assert near == {40}
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_pieces_match_the_library(fallback):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(4)
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = fallback
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.remove_extra_whitespaces = True
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    names = {"▁", *"abcde", "▁a", "▁b", *("".join(rng.choices("abcdeé", k=rng.randint(2, 5))) for _ in range(60))}
+    pieces += [(p, -rng.choice([1.0, 2.0, 2.5, 4.0]) * len(p), 1) for p in sorted(names)]  # ties are wanted
+    for piece, score, kind in pieces:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    blob = model.SerializeToString()
+    sp, t = sentencepiece.SentencePieceProcessor(model_proto=blob), piece_transducer.Transducer(blob)
+    texts = ["".join(rng.choices("abcdeé日 x", k=rng.randint(0, 60))) for _ in range(300)] + ["", "  ", "abcde" * 400]
+    ids, counts = t.encode_all(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == sp.encode(texts)
+
+
+def test_long_texts_without_blanks_match_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
+    rng = random.Random(5)
+    texts = ["abcdefghij" * 600, "".join(rng.choices("abcdeinst日\n", k=6000)), "".join(rng.choices(["the", "ing", "un", "tion"], k=900)), "日本" * 900]
+    with open(queries.MODEL, "rb") as file:
+        t = piece_transducer.Transducer(file.read())
+    ids, counts = t.encode_all(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == sp.encode(texts)
+    assert [len(x) for x in t.encode_all([])] == [0, 0]

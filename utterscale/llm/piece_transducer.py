@@ -1,12 +1,17 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
 The compiled transducer chains the normaliser (dummy prefix, blanks to U+2581), the pieces
-and byte fallback. Composed with a text it is a lattice whose states are text positions and,
-for merge models, the last piece; the encoding is its shortest path in the tropical semiring
-(costs are added, the smallest wins). In a merge model (BPE) an arc costs nothing if its
-piece may follow the last one, that is if merging the two pieces' characters gives back just
-these two, and infinitely much otherwise: exactly one path stays finite, the library's. In a
-unigram model an arc costs the negative score of its piece.
+as one table of trie arcs, and byte fallback, whose arcs take any character that no piece
+spells alone and put out its bytes. Composed with a text it is a lattice over the text's
+positions; the encoding is its shortest path in the tropical semiring (costs are added, the
+smallest wins, an earlier start on ties). In a unigram model an arc costs the negative score
+of its piece. In a merge model (BPE) a state also knows the last piece, and an arc costs
+nothing if its piece may follow that, that is if merging the two pieces' characters gives back
+just these two, and infinitely much otherwise. Exactly one path to each position then stays
+finite, so one state per position is enough, and the path is the library's.
+
+A text is cut into units (blanks and the word behind them) that no piece crosses. All distinct
+units of a batch are composed and relaxed together, position by position.
 
 Defined cases: a null text has null ids, an empty one no ids; repeated rows are encoded
 alike; texts of any length are encoded whole; extra columns are ignored.
@@ -28,6 +33,9 @@ from utterscale.llm.common import ranges, slices
 SPACE = "▁"
 PIECE = 1 << 20
 MEMO = 1 << 18  # distinct units kept per worker; a bound on memory only
+CACHE = 20  # bits of the table of pairs already judged; a fuller one only judges some again
+LONG = 1 << 9  # parts of a merge model up to this length are relaxed together, longer ones arc by arc
+STEPS = 1 << 16  # units relaxed together, and pairs judged together; bounds on memory
 
 
 class Transducer:
@@ -44,25 +52,262 @@ class Transducer:
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.escape = spec.escape_whitespaces
         self.merges = trainer.model_type == 2
-        self.score = {p.piece: p.score for p in model.pieces if p.type in (1, 4)}
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (1, 4)}
+        usual = [(p.piece, p.score, i) for i, p in enumerate(model.pieces) if p.type in (1, 4)]
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
-        self.unknown_cost = -min(self.score.values(), default=0.0) + 10
         found = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
-        self.bytes = [found.get(b, self.unknown) for b in range(256)] if found else None
-        self.longest = max(map(len, self.score), default=1)
-        self.reach: dict[str, int] = {}  # longest piece per first two characters
-        for piece in self.score:
-            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+        self.bytes = np.array([found.get(b, self.unknown) for b in range(256)]) if found else None
         # a piece that holds a mark behind another character would cross units
         self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+        if any(SPACE in p.lstrip(SPACE) for p, _, _ in usual):
             self.unit = re.compile("(?s:.+)")
         self.text = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6
                      else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
-        self.follows: dict[tuple[str, str], bool] = {}
+        self._compile(usual)
         self.memo: dict[str, list[int]] = {}
 
+    def _compile(self, usual: list[tuple[str, float, int]]) -> None:
+        """Arc tables. Symbols: pieces, then characters that pieces hold but none spells alone,
+        last the symbol of all other characters."""
+        names = [p for p, _, _ in usual]
+        symbol = {p: k for k, p in enumerate(names)}
+        for c in sorted({c for p in names for c in p}):
+            symbol.setdefault(c, len(symbol))
+        self.other = len(symbol)
+        self.out = np.full(self.other + 1, -1)  # -1: byte fallback
+        self.out[:len(names)] = [i for _, _, i in usual]
+        scores = np.array([s for _, s, _ in usual], np.float32)
+        self.cost = np.full(self.other + 1, 10 - scores.min(initial=0.0), np.float32)
+        self.cost[:len(names)] = -scores
+        # the alphabet by code point, then trie arcs as sorted numbers of node and character
+        chars = [c for c in symbol if len(c) == 1]
+        self.points = np.array(sorted(map(ord, chars)))
+        self.single = np.array([symbol[chr(c)] for c in self.points], np.int32)
+        self.width = len(chars)
+        place = {chr(c): k for k, c in enumerate(self.points)}
+        nodes: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for p in names:
+            node = 0
+            for c in p:
+                node = nodes.setdefault(node * self.width + place[c], len(nodes) + 1)
+            ends[node] = symbol[p]
+        self.arcs = np.array(sorted(nodes))
+        self.node = np.array([nodes[k] for k in self.arcs])
+        self.accept = np.full(len(nodes) + 1, -1)
+        self.accept[list(ends)] = list(ends.values())
+        self.longest = max(map(len, names), default=1)
+        # which two symbols merge, and into what
+        self.joins = joins = {symbol[p[:k]] * (self.other + 1) + symbol[p[k:]]: symbol[p] for p in names
+                 for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol}
+        self.pairs = np.array(sorted(joins))
+        self.pair_to = np.array([joins[k] for k in self.pairs])
+        order = np.argsort(-scores, kind="stable")
+        self.rank = np.full(self.other + 2, 1 << 40)  # equal scores have equal ranks
+        ordered = scores[order]
+        self.rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(order) else []
+        self.rank_of = self.rank.tolist()
+        self.pairs_judged: dict[tuple[int, int], bool] = {}
+        self.spelled = np.full((self.other + 1, self.longest), -1, np.int32)
+        for p, k in symbol.items():
+            self.spelled[k, :len(p)] = [symbol[c] for c in p]
+        self.spelled[self.other, 0] = self.other
+        self.letters = (self.spelled >= 0).sum(1)
+        self.judged = np.full(1 << CACHE, -1)
+        self.verdict = np.zeros(1 << CACHE, bool)
+        alone = np.arange(self.other + 1)
+        self.alone = self._unmerged(np.full(len(alone), -1), alone) if self.merges else np.ones(len(alone), bool)
+
+    def _unmerged(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether merging the characters of both (no last piece: -1) gives back just these two.
+
+        Merging takes the best score first, leftmost on ties; all pairs go on together.
+        """
+        if len(last) > STEPS:
+            return np.concatenate([self._unmerged(last[a:a + STEPS], piece[a:a + STEPS]) for a in range(0, len(last), STEPS)])
+        left = np.where(last >= 0, self.letters[last], 0)
+        size = left + self.letters[piece]
+        row = np.full((len(last), int(size.max(initial=1)) + 1), -1, np.int64)
+        at, k = np.arange(len(last)), np.arange(self.longest)
+        for base, who in ((np.zeros(len(last), np.int64), last), (left, piece)):
+            some = (who >= 0)[:, None] & (k < self.letters[who][:, None])
+            r, c = np.nonzero(some)
+            row[r, base[r] + c] = self.spelled[who[r], c]
+        to = self._joined(row[:, :-1], row[:, 1:])
+        good = np.zeros(len(last), bool)
+        while len(at):
+            rank = self.rank[to]
+            best = rank.argmin(1)
+            line = np.arange(len(at))
+            stop = rank[line, best] >= 1 << 40
+            good[at[stop]] = size[stop] == (left[stop] > 0) + 1
+            go_on = ~stop & ~((left > 0) & (best == left - 1))  # a merge across the two ends it
+            at, row, to, left, size, best = at[go_on], row[go_on], to[go_on], left[go_on], size[go_on], best[go_on]
+            if not len(at):
+                break
+            line = np.arange(len(at))
+            row[line, best] = to[line, best]
+            behind = np.arange(row.shape[1])[None, :] > best[:, None]
+            row[:, :-1] = np.where(behind[:, :-1], row[:, 1:], row[:, :-1])
+            row[:, -1] = -1
+            to[:, :-1] = np.where(behind[:, :-2], to[:, 1:], to[:, :-1])
+            to[:, -1] = -1
+            to[line, best] = self._joined(row[line, best], row[line, best + 1])
+            before = np.maximum(best - 1, 0)
+            to[line, before] = self._joined(row[line, before], row[line, before + 1])
+            left, size = left - (best < left), size - 1
+        return good
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbol two neighbours merge into, -1 if they don't."""
+        if not len(self.pairs):
+            return np.full(a.shape, -1)
+        key = a * (self.other + 1) + b
+        k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[k] == key) & (a >= 0) & (b >= 0), self.pair_to[k], -1)
+
+    def _follows(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``_unmerged`` of every pair, remembered in a table of fixed size."""
+        out = self.alone[piece]
+        some = np.flatnonzero(last >= 0)
+        key = last[some] * (self.other + 1) + piece[some]
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE)).astype(np.int64)
+        known = self.judged[slot] == key
+        result = self.verdict[slot] & known
+        new, of = np.unique(key[~known], return_inverse=True)
+        if len(new):
+            found = self._unmerged(new // (self.other + 1), new % (self.other + 1))
+            result[~known] = found[of]
+            one = np.full(len(new), -1)
+            one[of] = slot[~known]
+            self.judged[one] = new  # of several for a slot the last stays, in both tables
+            self.verdict[one] = found
+        out[some] = result
+        return out
+
+    def _lattice(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs of the units' composition: start, end (places in ``points``) and symbol."""
+        n = len(points)
+        if not len(self.points):
+            return np.arange(n), np.arange(n) + 1, np.full(n, self.other)
+        char = np.minimum(np.searchsorted(self.points, points), self.width - 1)
+        known = self.points[char] == points
+        at, node = np.arange(n), np.zeros(n, np.int64)
+        start, stop, symbol = [at], [at + 1], [np.where(known, self.single[char], self.other)]
+        for depth in range(self.longest):
+            inside = at + depth < ends[at]
+            at, node = at[inside], node[inside]
+            here = at + depth
+            key = node * self.width + char[here]
+            k = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            step = (self.arcs[k] == key) & known[here]
+            at, node = at[step], self.node[k[step]]
+            got = self.accept[node]
+            full = (got >= 0) if depth else np.zeros(len(at), bool)  # single characters are there
+            start.append(at[full])
+            stop.append(at[full] + depth + 1)
+            symbol.append(got[full])
+        return np.concatenate(start), np.concatenate(stop), np.concatenate(symbol)
+
+    def _paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after the other, and the number of ids of each."""
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start, stop, symbol = self._lattice(points, begin + np.repeat(sizes, sizes))
+        # where no arc crosses from one character to the next, the lattice falls apart
+        over = np.cumsum(np.bincount(start + 1, minlength=len(points) + 1) - np.bincount(stop, minlength=len(points) + 1))
+        alone = np.flatnonzero(over[:-1] == 0)
+        begin = np.repeat(alone, np.diff(np.r_[alone, len(points)]))
+        depth = stop - begin[start]
+        order = np.lexsort((start, stop, depth))
+        start, stop, symbol, depth = start[order], stop[order], symbol[order], depth[order]
+        # the state behind character i is at i + 1; a part starts afresh, with no cost and no last piece
+        cost = np.zeros(len(points) + 1, np.float32)
+        last = np.full(len(points) + 1, -1)
+        first = begin[start] == start
+        length = np.repeat(np.diff(np.r_[alone, len(points)]), np.diff(np.r_[alone, len(points)]))
+        if self.merges and length.max(initial=0) > LONG:
+            far = np.flatnonzero(length[start] > LONG)
+            far = far[np.lexsort((start[far], stop[far]))]
+            self._walk(start[far], stop[far], symbol[far], first[far], last)
+            near = length[start] <= LONG
+            start, stop, symbol, depth, first = start[near], stop[near], symbol[near], depth[near], first[near]
+        cuts = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            i, j, s = start[a:b], stop[a:b], symbol[a:b]
+            before = np.where(first[a:b], -1, last[i])
+            if self.merges:
+                total = np.where(self._follows(before, s), np.float32(0), np.float32(np.inf))
+            else:
+                total = np.where(first[a:b], np.float32(0), cost[i]) + self.cost[s]
+            new = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+            least = np.minimum.reduceat(total, new)
+            group = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(j)]))
+            hit = np.flatnonzero(total == least[group])
+            win = hit[np.r_[True, group[hit][1:] != group[hit][:-1]]]
+            cost[j[win]], last[j[win]] = total[win], s[win]
+        return self._spelled_out(points, sizes, last)
+
+    def _walk(self, start: np.ndarray, stop: np.ndarray, symbol: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """The same for a merge model's arcs in order of their ends, one by one: a state's first free arc is its only one."""
+        begins, done = set(start[first].tolist()), -1
+        for i, j, s in zip(start.tolist(), stop.tolist(), symbol.tolist()):
+            if j == done:
+                continue
+            before = -1 if i in begins else int(last[i])
+            free = self.alone[s] if before < 0 else self.pairs_judged.get((before, s))
+            if free is None:
+                free = self._unmerged_one(before, s)
+                if len(self.pairs_judged) >= MEMO:
+                    self.pairs_judged.clear()
+                self.pairs_judged[before, s] = free
+            if free:
+                last[j], done = s, j
+
+    def _unmerged_one(self, last: int, piece: int) -> bool:
+        """``_unmerged`` of one pair."""
+        row = [int(k) for who in (last, piece) for k in self.spelled[who, :self.letters[who]]]
+        left, top = int(self.letters[last]), self.other + 1
+        while len(row) > 2:
+            found = [self.joins.get(a * top + b) for a, b in zip(row, row[1:])]
+            rank, at = min((1 << 40 if k is None else self.rank_of[k], i) for i, k in enumerate(found))
+            if rank == 1 << 40 or at == left - 1:
+                return False
+            row[at:at + 2] = [found[at]]
+            left -= at < left
+        return row[0] * top + row[1] not in self.joins
+
+    def _spelled_out(self, points: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Walks back from all ends and puts out ids; fallback arcs put out bytes."""
+        ends = np.cumsum(sizes)
+        begin, at, who = ends - sizes, ends.copy(), np.arange(len(sizes))
+        taken = np.zeros(len(points), bool)
+        while len(who):
+            size = self.letters[last[at]]
+            at = at - size
+            taken[at] = True
+            go_on = at > begin[who]
+            at, who = at[go_on], who[go_on]
+        starts = np.flatnonzero(taken)
+        unit = np.searchsorted(ends, starts, side="right")
+        stops = np.r_[starts[1:], len(points)]
+        symbol = last[stops]
+        ids = self.out[symbol]
+        missing = ids < 0
+        if not missing.any():
+            return ids.astype(np.int32), np.bincount(unit, minlength=len(sizes))
+        if self.bytes is None:
+            ids = np.where(missing, self.unknown, ids)
+            again = np.r_[False, (ids[1:] == self.unknown) & (ids[:-1] == self.unknown) & (unit[1:] == unit[:-1])]
+            return ids[~again].astype(np.int32), np.bincount(unit[~again], minlength=len(sizes))
+        size = np.ones(len(ids), np.int64)
+        point = points[starts[missing]]
+        size[missing] = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        out = np.repeat(ids, size)
+        text = "".join(map(chr, point.tolist())).encode("utf-8", "surrogatepass")
+        out[np.repeat(missing, size)] = self.bytes[np.frombuffer(text, np.uint8)]
+        return out.astype(np.int32), np.bincount(unit, weights=size, minlength=len(sizes)).astype(np.int64)
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
@@ -71,100 +316,31 @@ class Transducer:
         text = f" {text}" if self.prefix else text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def _merged(self, chars: list[str]) -> list[str]:
-        """The pieces that merging gives for a short string: best score first, leftmost on ties."""
-        chars = list(chars)
-        while len(chars) > 1:
-            pairs = [(-self.score.get(a + b, -np.inf), i) for i, (a, b) in enumerate(zip(chars, chars[1:]))]
-            cost, i = min(pairs)
-            if cost == np.inf:
-                break
-            chars[i:i + 2] = [chars[i] + chars[i + 1]]
-        return chars
-
-    def _may_follow(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        if key not in self.follows:
-            if len(self.follows) > MEMO:
-                self.follows.clear()
-            self.follows[key] = self._merged([*last, *piece]) == ([last, piece] if last else [piece])
-        return self.follows[key]
-
-    def _free_path(self, unit: str) -> list[str]:
-        """Pieces of the one path without cost through a merge model's lattice.
-
-        Walked depth first, longest arc first. At most one free path ends at a position, so a
-        position from which the end cannot be reached is never entered again.
-        """
-        n, i, path, dead = len(unit), 0, [], set()
-        score, follows, reach = self.score, self.follows, self.reach
-        size = min(reach.get(unit[:2], 1), n)
-        while i < n:
-            last = path[-1] if path else ""
-            while size:
-                piece = unit[i:i + size]
-                if (size == 1 or piece in score) and i + size not in dead:
-                    free = follows.get((last, piece))
-                    if self._may_follow(last, piece) if free is None else free:
-                        break
-                size -= 1
-            if size:
-                path.append(piece)
-                i += size
-                size = min(reach.get(unit[i:i + 2], 1), n - i)
-            else:
-                dead.add(i)
-                size = len(path.pop())
-                i -= size
-                size -= 1
-        return path
-
-    def _cheapest_path(self, unit: str) -> list[str]:
-        """Pieces on the cheapest path through a unigram model's lattice."""
-        n = len(unit)
-        cost = [0.0] + [np.inf] * n
-        back: list[str] = [""] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
-                piece = unit[i:j]
-                if not (piece in self.score or i == j - 1):
-                    continue
-                arc = -self.score[piece] if piece in self.score else self.unknown_cost
-                if cost[i] + arc < cost[j]:
-                    cost[j], back[j] = cost[i] + arc, piece
-        out = []
-        while n:
-            out.append(back[n])
-            n -= len(back[n])
-        return out[::-1]
-
-    def unit_ids(self, unit: str) -> list[int]:
-        found = self.memo.get(unit)
-        if found is None:
-            ids: list[int] = []
-            for piece in self._free_path(unit) if self.merges else self._cheapest_path(unit):
-                if piece in self.ids:
-                    ids.append(self.ids[piece])
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in piece.encode()]
-                elif not ids or ids[-1] != self.unknown:  # a run of unknown characters is one piece
-                    ids.append(self.unknown)
-            found = ids
-            if len(unit) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[unit] = found
-        return found
-
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
         units = [self.unit.findall(self.normalise(t)) for t in texts]
-        number: dict[str, int] = {}
-        flat = np.fromiter((number.setdefault(u, len(number)) for us in units for u in us), np.int64)
-        coded = [self.unit_ids(u) for u in number]
+        distinct = pa.array(itertools.chain.from_iterable(units), pa.large_string()).dictionary_encode()
+        flat, names = distinct.indices.to_numpy().astype(np.int64), distinct.dictionary.to_pylist()
+        coded = list(map(self.memo.get, names))
+        missing = [k for k, ids in enumerate(coded) if ids is None]
+        missing.sort(key=lambda k: len(names[k]))
+        while missing:
+            total, size = 0, 0
+            while size < len(missing) and size < STEPS and total < PIECE:
+                total += len(names[missing[size]])
+                size += 1
+            part, missing = missing[:size], missing[size:]
+            ids, counts = self._paths([names[k] for k in part])
+            flat_ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+            if len(self.memo) + size > MEMO:
+                self.memo.clear()
+            for k, a, b in zip(part, [0, *ends], ends):
+                coded[k] = flat_ids[a:b]
+                if len(names[k]) <= 64:
+                    self.memo[names[k]] = coded[k]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         pool = np.fromiter(itertools.chain.from_iterable(coded), np.int32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
