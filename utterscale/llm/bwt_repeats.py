@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterscale.llm.common import flat_bytes, slices, written
-from utterscale.llm.token_sets import key_filter, maybe, mix
+from utterscale.llm.token_sets import key_filter, maybe, mix, powers
 
 GRAM = 64
 NARROW = 8
 CROWD = 4096  # segments of an anchor from which on it is cut further
 ANCHOR_BITS = 26  # size of the filter of repeated anchors, 8 MB; a fuller one only lets more pass
 PIECE = 1 << 20
+BLOCK = 1 << 20  # bytes hashed at a time
 SHARD, POOL = 1 << 16, 1 << 18  # bytes of a transform, and of the collection merged at a time
 STEP = 8
 ID = ["doc_id", "text_key"]
@@ -42,15 +43,24 @@ ID = ["doc_id", "text_key"]
 _RANDOM = mix(np.arange(1, 257, dtype=np.uint64))
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of all ``GRAM``-byte pieces: differences of running sums, a block at a time."""
+    power, back = powers(1 + (BLOCK - 1).bit_length())
+    out = np.empty(len(data) - GRAM + 1, np.uint64)
+    for a in range(0, len(out), BLOCK):
+        n = min(BLOCK, len(out) - a)
+        sums = np.zeros(n + GRAM, np.uint64)
+        np.cumsum(_RANDOM[data[a:a + n + GRAM - 1]] * power[:n + GRAM - 1], out=sums[1:])
+        out[a:a + n] = mix((sums[GRAM:] - sums[:n]) * back[:n])
+    return out
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with the same anchor: anchor hash and place, first and last window start, row."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < length:
         return none
-    h, size = _RANDOM[data], 1
-    while size < GRAM:
-        h = mix(h[:-size] * np.uint64(2 * size + 1) + h[size:])
-        size *= 2
+    h = _grams(data)
     low = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     span, wide = 1, length - GRAM + 1
     while span * 2 <= wide:

@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The first 2^bits powers of the odd base modulo 2^64, and those of its inverse."""
     both = []
     for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
@@ -57,7 +57,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start[1:] &= ~solid[:-1] | cut[1:-1]
     stop[:-1] &= ~solid[1:] | cut[1:-1]
     starts, stops = np.flatnonzero(start), np.flatnonzero(stop)
-    power, back = _powers(max(22, (len(data) - 1).bit_length()))
+    power, back = powers(max(22, (len(data) - 1).bit_length()))
     sums = power[:len(data)] * _LOWER_PLUS_1[data]
     np.cumsum(sums, out=sums)
     words = (sums[stops] - np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))) * back[starts]
