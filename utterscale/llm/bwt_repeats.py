@@ -5,7 +5,7 @@ A string of ``length`` bytes is a window. Every window has an anchor, the least
 Windows whose anchor occurs once need no more work. The others, as the segment of text that
 the windows of one anchor occurrence span, meet by anchor. There the distinct segments form
 shards; each shard's transform is built on its own, and the transforms are merged by refining
-the interleave of their rows: one stable pass by the preceding symbol (eight bytes at a time)
+the interleave of their rows: one stable pass by the preceding symbol (``STEP`` bytes at a time)
 makes the rows ordered by one symbol more. Row boundaries appear at the depth where prefixes
 part, which gives the common prefixes; intervals that are still whole at ``length`` bytes are
 the repeated windows. No pass sorts suffixes of the whole collection.
@@ -36,8 +36,8 @@ CROWD = 4096  # segments of an anchor from which on it is cut further
 ANCHOR_BITS = 26  # size of the filter of repeated anchors, 8 MB; a fuller one only lets more pass
 PIECE = 1 << 20
 BLOCK = 1 << 20  # bytes hashed at a time
-SHARD, POOL = 1 << 16, 1 << 18  # bytes of a transform, and of the collection merged at a time
-STEP = 8
+SHARD, POOL = 1 << 16, 1 << 17  # bytes of a transform, and of the collection merged at a time
+STEP = 32  # bytes of a symbol, 8 times a power of two
 ID = ["doc_id", "text_key"]
 
 _RANDOM = mix(np.arange(1, 257, dtype=np.uint64))
@@ -89,6 +89,22 @@ def _radix(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
+def _named(values: np.ndarray) -> np.ndarray:
+    """The rank of every value among the distinct ones."""
+    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+
+
+def _leading(word: np.ndarray, eight: np.ndarray, n: int, rest: int) -> np.ndarray:
+    """The rank of the first ``rest`` bytes at each of ``n`` places; ``eight``: those of whole words."""
+    whole, left = divmod(rest, 8)
+    rank = eight[:n] if whole else np.zeros(n, np.int64)
+    for k in range(1, whole):
+        rank = _named((rank << 32) | eight[8 * k:8 * k + n])
+    if left:
+        rank = _named((rank << 32) | _named(word[8 * whole:8 * whole + n] >> np.uint64(8 * (8 - left))))
+    return rank
+
+
 def _rows(strings: list[bytes], rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all suffixes: symbol and slot before each, each string's first slot, and the
     rank of every symbol's first ``rest`` bytes.
@@ -100,12 +116,18 @@ def _rows(strings: list[bytes], rest: int) -> tuple[np.ndarray, np.ndarray, np.n
     starts = np.cumsum(widths) - widths
     flat = np.frombuffer(b"".join(s.ljust(w, b"\0") for s, w in zip(strings, widths)) + b"\0" * STEP, np.uint8)
     n = int(widths.sum())
-    word = np.empty(n, np.uint64)
-    for k in range(STEP):
-        word[k::STEP] = flat[k:k + n].view(">u8") if k == 0 else flat[k:k + n].copy().view(">u8")
-    names, symbol = np.unique(word, return_inverse=True)
+    word = np.empty(n + STEP - 8, np.uint64)
+    for k in range(8):
+        part = flat[k:k + (len(flat) - k) // 8 * 8].copy().view(">u8")
+        word[k::8] = part[:len(word[k::8])]
+    eight = _named(word)
+    symbol, width = eight, 8
+    while width < STEP:
+        symbol = _named((symbol[:-width] << 32) | symbol[width:])
+        width *= 2
+    short = np.zeros(int(symbol.max(initial=-1)) + 2, np.int32)
+    short[symbol + 1] = _leading(word, eight, n, rest) + 1
     symbol = symbol.astype(np.int32) + 1
-    short = np.r_[0, np.unique(names >> np.uint64(8 * (STEP - rest)), return_inverse=True)[1] + 1].astype(np.int32)
     before = np.arange(n, dtype=np.int32) - STEP
     ends = (starts + widths - STEP)[:, None] + np.arange(STEP)
     before[(starts[:, None] + np.arange(STEP)).ravel()] = ends.ravel()
