@@ -411,3 +411,21 @@ def test_long_texts_without_blanks_match_the_library():
     ids, counts = t.encode_all(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == sp.encode(texts)
     assert [len(x) for x in t.encode_all([])] == [0, 0]
+
+
+def test_units_beyond_the_memory_match_the_library(spark, monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
+    for name, bound in (("MEMO", 40), ("STEPS", 16), ("PIECE", 64)):
+        monkeypatch.setattr(piece_transducer, name, bound)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdeé日", k=rng.randint(1, 9))) for _ in range(120)]
+    with open(queries.MODEL, "rb") as file:
+        t = piece_transducer.Transducer(file.read())
+    for _ in range(6):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) for _ in range(8)]
+        ids, counts = t.encode_all(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == sp.encode(texts)
+        assert len(t.names) <= 40 + 120
+    empty = spark.createDataFrame([], "doc_id long, text string, ids string")
+    assert piece_transducer.round_trip(empty, queries.MODEL).collect() == []

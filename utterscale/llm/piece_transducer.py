@@ -20,19 +20,19 @@ alike; texts of any length are encoded whole; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from utterscale.llm.common import ranges, slices
+from utterscale.llm.common import flat_bytes, ranges, slices
 
 SPACE = "▁"
 PIECE = 1 << 20
-MEMO = 1 << 18  # distinct units kept per worker; a bound on memory only
+MEMO = 1 << 18  # distinct units kept per worker, with up to 16 ids each; a bound on memory only
 CACHE = 20  # bits of the table of pairs already judged; a fuller one only judges some again
 LONG = 1 << 9  # parts of a merge model up to this length are relaxed together, longer ones arc by arc
 STEPS = 1 << 16  # units relaxed together, and pairs judged together; bounds on memory
@@ -57,13 +57,12 @@ class Transducer:
         found = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.bytes = np.array([found.get(b, self.unknown) for b in range(256)]) if found else None
         # a piece that holds a mark behind another character would cross units
-        self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        if any(SPACE in p.lstrip(SPACE) for p, _, _ in usual):
-            self.unit = re.compile("(?s:.+)")
+        self.by_mark = not any(SPACE in p.lstrip(SPACE) for p, _, _ in usual)
         self.text = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6
                      else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self._compile(usual)
-        self.memo: dict[str, list[int]] = {}
+        self.names = pa.array([], pa.large_string())  # units encoded before, and their ids
+        self.pool, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _compile(self, usual: list[tuple[str, float, int]]) -> None:
         """Arc tables. Symbols: pieces, then characters that pieces hold but none spells alone,
@@ -80,10 +79,12 @@ class Transducer:
         self.cost[:len(names)] = -scores
         # the alphabet by code point, then trie arcs as sorted numbers of node and character
         chars = [c for c in symbol if len(c) == 1]
-        self.points = np.array(sorted(map(ord, chars)))
-        self.single = np.array([symbol[chr(c)] for c in self.points], np.int32)
+        points = np.array(sorted(map(ord, chars)), np.int64)
+        self.single = np.array([symbol[chr(c)] for c in points] + [self.other], np.int32)  # last: any other character
         self.width = len(chars)
-        place = {chr(c): k for k, c in enumerate(self.points)}
+        self.place = np.full(0x110000, self.width, np.int32)
+        self.place[points] = np.arange(self.width)
+        place = {chr(c): k for k, c in enumerate(points)}
         nodes: dict[int, int] = {}
         ends: dict[int, int] = {}
         for p in names:
@@ -91,8 +92,7 @@ class Transducer:
             for c in p:
                 node = nodes.setdefault(node * self.width + place[c], len(nodes) + 1)
             ends[node] = symbol[p]
-        self.arcs = np.array(sorted(nodes))
-        self.node = np.array([nodes[k] for k in self.arcs])
+        self._pack(nodes)
         self.accept = np.full(len(nodes) + 1, -1)
         self.accept[list(ends)] = list(ends.values())
         self.longest = max(map(len, names), default=1)
@@ -117,6 +117,39 @@ class Transducer:
         alone = np.arange(self.other + 1)
         self.alone = self._unmerged(np.full(len(alone), -1), alone) if self.merges else np.ones(len(alone), bool)
 
+    def _pack(self, nodes: dict[int, int]) -> None:
+        """Trie arcs in one array: the arc of ``node`` by character ``c`` is in slot ``base[node] + c`` if
+        that slot is owned by ``node``. Nodes with most arcs are placed first, each at the first base that fits."""
+        arcs = np.array(sorted(nodes), np.int64)
+        to = np.array([nodes[k] for k in arcs.tolist()], np.int64)
+        node, char = np.divmod(arcs, max(self.width, 1))
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(arcs) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(arcs)])
+        room = 2 * len(arcs) + 2 * self.width + 2
+        self.base = np.zeros(len(nodes) + 1, np.int32)
+        self.owner = np.full(room, -1, np.int32)
+        self.target = np.zeros(room, np.int32)
+        low = self.width  # no free slot below is tried again by nodes of several arcs
+        for k in np.argsort(-sizes, kind="stable").tolist():
+            a, c = starts[k], char[starts[k]:starts[k] + sizes[k]]
+            while True:
+                if low + 4 * self.width + 512 > len(self.owner):
+                    more = len(self.owner)
+                    self.owner = np.r_[self.owner, np.full(more, -1, np.int32)]
+                    self.target = np.r_[self.target, np.zeros(more, np.int32)]
+                free = low + np.flatnonzero(self.owner[low:low + 256] < 0)
+                fits = free[(self.owner[free[:, None] + (c - c[0])] < 0).all(1)]
+                if len(fits):
+                    break
+                low += 256
+            base = int(fits[0]) - int(c[0])
+            self.base[node[a]] = base
+            self.owner[base + c] = node[a]
+            self.target[base + c] = to[a:a + sizes[k]]
+            if sizes[k] == 1:
+                low = max(low, base + int(c[0]))
+        self.owner = np.r_[self.owner, np.full(self.width + 1, -1, np.int32)]
+
     def _unmerged(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether merging the characters of both (no last piece: -1) gives back just these two.
 
@@ -186,21 +219,15 @@ class Transducer:
 
     def _lattice(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Arcs of the units' composition: start, end (places in ``points``) and symbol."""
-        n = len(points)
-        if not len(self.points):
-            return np.arange(n), np.arange(n) + 1, np.full(n, self.other)
-        char = np.minimum(np.searchsorted(self.points, points), self.width - 1)
-        known = self.points[char] == points
-        at, node = np.arange(n), np.zeros(n, np.int64)
-        start, stop, symbol = [at], [at + 1], [np.where(known, self.single[char], self.other)]
+        char = self.place[points]
+        at, node = np.arange(len(points)), np.zeros(len(points), np.int32)
+        start, stop, symbol = [at], [at + 1], [self.single[char]]
         for depth in range(self.longest):
             inside = at + depth < ends[at]
             at, node = at[inside], node[inside]
-            here = at + depth
-            key = node * self.width + char[here]
-            k = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            step = (self.arcs[k] == key) & known[here]
-            at, node = at[step], self.node[k[step]]
+            slot = self.base[node] + char[at + depth]
+            step = self.owner[slot] == node
+            at, node = at[step], self.target[slot[step]]
             got = self.accept[node]
             full = (got >= 0) if depth else np.zeros(len(at), bool)  # single characters are there
             start.append(at[full])
@@ -208,10 +235,10 @@ class Transducer:
             symbol.append(got[full])
         return np.concatenate(start), np.concatenate(stop), np.concatenate(symbol)
 
-    def _paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _paths(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units one after the other, and the number of ids of each."""
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer(flat_bytes(units)[0].tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = pc.utf8_length(units).to_numpy().astype(np.int64)
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         start, stop, symbol = self._lattice(points, begin + np.repeat(sizes, sizes))
         # where no arc crosses from one character to the next, the lattice falls apart
@@ -219,7 +246,7 @@ class Transducer:
         alone = np.flatnonzero(over[:-1] == 0)
         begin = np.repeat(alone, np.diff(np.r_[alone, len(points)]))
         depth = stop - begin[start]
-        order = np.lexsort((start, stop, depth))
+        order = np.argsort(((depth * (len(points) + 1) + stop) * (self.longest + 1)) + self.longest - (stop - start))
         start, stop, symbol, depth = start[order], stop[order], symbol[order], depth[order]
         # the state behind character i is at i + 1; a part starts afresh, with no cost and no last piece
         cost = np.zeros(len(points) + 1, np.float32)
@@ -289,7 +316,7 @@ class Transducer:
             go_on = at > begin[who]
             at, who = at[go_on], who[go_on]
         starts = np.flatnonzero(taken)
-        unit = np.searchsorted(ends, starts, side="right")
+        unit = np.repeat(np.arange(len(sizes)), sizes)[starts]
         stops = np.r_[starts[1:], len(points)]
         symbol = last[stops]
         ids = self.out[symbol]
@@ -321,33 +348,43 @@ class Transducer:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
-        units = [self.unit.findall(self.normalise(t)) for t in texts]
-        distinct = pa.array(itertools.chain.from_iterable(units), pa.large_string()).dictionary_encode()
-        flat, names = distinct.indices.to_numpy().astype(np.int64), distinct.dictionary.to_pylist()
-        coded = list(map(self.memo.get, names))
-        missing = [k for k, ids in enumerate(coded) if ids is None]
-        missing.sort(key=lambda k: len(names[k]))
-        while missing:
-            total, size = 0, 0
-            while size < len(missing) and size < STEPS and total < PIECE:
-                total += len(names[missing[size]])
-                size += 1
-            part, missing = missing[:size], missing[size:]
-            ids, counts = self._paths([names[k] for k in part])
-            flat_ids, ends = ids.tolist(), np.cumsum(counts).tolist()
-            if len(self.memo) + size > MEMO:
-                self.memo.clear()
-            for k, a, b in zip(part, [0, *ends], ends):
-                coded[k] = flat_ids[a:b]
-                if len(names[k]) <= 64:
-                    self.memo[names[k]] = coded[k]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        pool = np.fromiter(itertools.chain.from_iterable(coded), np.int32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        ids = pool[ranges(starts[flat], lengths[flat])]
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        sums = np.r_[0, np.cumsum(lengths[flat])]
-        return ids, np.diff(np.r_[0, sums[ends]])
+        flat, offsets = flat_bytes(pa.array(map(self.normalise, texts), pa.large_string()))
+        first = np.zeros(len(flat) + 1, bool)
+        first[offsets] = True
+        if self.by_mark:
+            mark = np.zeros(len(flat), bool)
+            for k, b in enumerate(SPACE.encode()):
+                mark = (flat == b) if not k else mark & np.r_[flat[k:] == b, np.zeros(min(k, len(flat)), bool)]
+            first[3:-1] |= mark[3:] & ~mark[:-3]
+        starts = np.flatnonzero(first[:-1])
+        edges = np.r_[starts, len(flat)]
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(flat.tobytes())).dictionary_encode()
+        ids, counts = self._known(units.dictionary)
+        begin, of = np.cumsum(counts) - counts, units.indices.to_numpy()
+        sums = np.r_[0, np.cumsum(counts[of])]
+        return ids[ranges(begin[of], counts[of])], np.diff(sums[np.searchsorted(starts, offsets)])
+
+    def _known(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of distinct units, from those kept or by their shortest paths."""
+        where = pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(where < 0)
+        if len(self.names) + len(missing) > MEMO or len(self.pool) > 16 * MEMO:  # keeps what this batch needs
+            used = where[where >= 0]
+            begin = np.cumsum(self.counts) - self.counts
+            self.pool, self.counts = self.pool[ranges(begin[used], self.counts[used])], self.counts[used]
+            self.names = self.names.take(pa.array(used))
+            where[where >= 0] = np.arange(len(used))
+        where[missing] = len(self.names) + np.arange(len(missing))
+        new = names.take(pa.array(missing))
+        size = np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64))
+        part = (size - 1) // PIECE + np.arange(len(missing)) // STEPS
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(missing)] if len(missing) else [0]
+        found = [self._paths(new.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        self.names = pa.concat_arrays([self.names, new])
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in found)])
+        self.counts = np.concatenate([self.counts, *(counts for _, counts in found)])
+        begin = np.cumsum(self.counts) - self.counts
+        return self.pool[ranges(begin[where], self.counts[where])], self.counts[where]
 
     @functools.cached_property
     def _texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
