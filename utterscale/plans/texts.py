@@ -158,6 +158,11 @@ cf AS (SELECT ch, count(*) AS freq, min(utt_id * 1000000 + p) AS first FROM (
          FROM lab WHERE clear_text <> '' AND doc_id % 21 + 1 IN (1, 2, 3, 4, 7, 8, 9, 10, 12, 13, 14, 15, 16, 17, 18))
        GROUP BY ch)
 """
+ALL_FREQ = """
+cf AS (SELECT ch, count(*) AS freq, min(utt_id * 1000000 + p) AS first FROM (
+         SELECT utt_id, unnest(string_split(clear_text, '')) AS ch, unnest(range(0, length(clear_text))) AS p
+         FROM lab WHERE clear_text <> '') GROUP BY ch)
+"""
 VOCAB = """
 nums AS (SELECT ch, freq, row_number() OVER (ORDER BY first) AS id FROM cf),
 kept AS (SELECT CASE WHEN ch = ' ' THEN '|' ELSE ch END AS token, id, freq FROM nums
@@ -167,15 +172,19 @@ voc AS (SELECT token, id, freq FROM kept UNION ALL SELECT '[UNK]', (SELECT count
 LABELS = (sql.UTTERANCES, sql.LABELS)
 
 
-@query(sql.with_(*LABELS, FREQ) + """
+def _freq(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
+    return vocabulary.char_freq(fixtures.label_utterances(spark, folder, split), "clear_text", "utt_id")
+
+
+@query(sql.with_(*LABELS, ALL_FREQ) + """
 SELECT ch, freq, first // 1000000 AS first_row, first % 1000000 AS first_pos FROM cf""")
 def char_freq(spark: SparkSession, folder: str) -> DataFrame:
-    """Characters of the training split; the other splits are not counted."""
-    return vocabulary.char_freq(fixtures.label_utterances(spark, folder, "train"), "clear_text", "utt_id")
+    """Characters of all documents."""
+    return _freq(spark, folder)
 
 
-def _vocabulary(spark: SparkSession, folder: str, min_freq: int = 1, compat: bool = True) -> DataFrame:
-    return vocabulary.build(char_freq(spark, folder), min_freq, compat)
+def _vocabulary(spark: SparkSession, folder: str, min_freq: int = 1, compat: bool = True, split: str | None = "train") -> DataFrame:
+    return vocabulary.build(_freq(spark, folder, split), min_freq, compat)
 
 
 @query(sql.with_(*LABELS, FREQ, VOCAB) + "SELECT token, id, freq FROM voc")
