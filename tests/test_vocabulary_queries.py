@@ -35,3 +35,8 @@ def test_char_freq_counts_every_split(spark, split_folder):
     assert got == {"a": (3, 0, 0), "b": (3, 0, 1), " ": (4, 0, 2), "c": (2, 1_000_000, 3), "x": (3, 4_000_000, 0),
                    "y": (1, 4_000_000, 3), "z": (11, 4_000_000, 4), "ä": (2, 5_000_000, 0), "|": (1, 26_000_000, 1),
                    "ö": (1, 26_000_000, 2)}
+
+
+def test_char_vocab_numbers_characters_of_every_split(spark, split_folder):
+    got = {(r["token"], r["id"], r["freq"]) for r in found(spark, split_folder, "char_vocab")}
+    assert got == {("a", 1, 3), ("b", 2, 3), ("|", 3, 4), ("c", 4, 2), ("x", 5, 3), ("z", 7, 11), ("ä", 8, 2), ("[UNK]", 7, None)}

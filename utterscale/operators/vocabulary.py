@@ -49,7 +49,8 @@ def build(freq: DataFrame, min_freq: int = 1, compat: bool = True) -> DataFrame:
     numbered = named.withColumn("id", number).where(kept) if compat else named.where(kept).withColumn("id", number)
     entries = numbered.select(F.when(F.col("ch") == " ", DELIMITER).otherwise(F.col("ch")).alias("token"), "id", "freq")
     last = F.coalesce(F.max("id"), F.lit(0))
-    unk = F.count("*") if compat else last + 1
+    # counted through the id: both branches then read the same numbered rows, and the characters are counted once
+    unk = F.count_if(F.col("id") > 0) if compat else last + 1
     special = [(UNK, unk)] if compat else [(UNK, unk), (PAD, last + 2)]
     extra = entries.agg(F.array(*[F.struct(F.lit(t).alias("token"), i.cast("bigint").alias("id"))
                                   for t, i in special]).alias("s")).select(F.inline("s"))

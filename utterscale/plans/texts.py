@@ -187,9 +187,10 @@ def _vocabulary(spark: SparkSession, folder: str, min_freq: int = 1, compat: boo
     return vocabulary.build(_freq(spark, folder, split), min_freq, compat)
 
 
-@query(sql.with_(*LABELS, FREQ, VOCAB) + "SELECT token, id, freq FROM voc")
+@query(sql.with_(*LABELS, ALL_FREQ, VOCAB) + "SELECT token, id, freq FROM voc")
 def char_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocabulary(spark, folder)
+    """Vocabulary of all documents; ``tokenizer_vocab`` has the training split's."""
+    return _vocabulary(spark, folder, split=None)
 
 
 @query(sql.with_(*LABELS, FREQ) + """
