@@ -40,3 +40,8 @@ def test_char_freq_counts_every_split(spark, split_folder):
 def test_char_vocab_numbers_characters_of_every_split(spark, split_folder):
     got = {(r["token"], r["id"], r["freq"]) for r in found(spark, split_folder, "char_vocab")}
     assert got == {("a", 1, 3), ("b", 2, 3), ("|", 3, 4), ("c", 4, 2), ("x", 5, 3), ("z", 7, 11), ("ä", 8, 2), ("[UNK]", 7, None)}
+
+
+def test_char_vocab_dense_numbers_characters_of_every_split(spark, split_folder):
+    got = {(r["token"], r["id"], r["freq"]) for r in found(spark, split_folder, "char_vocab_dense")}
+    assert got == {("z", 1, 11), ("[UNK]", 2, None), ("[PAD]", 3, None)}

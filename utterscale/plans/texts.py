@@ -193,14 +193,14 @@ def char_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return _vocabulary(spark, folder, split=None)
 
 
-@query(sql.with_(*LABELS, FREQ) + """
+@query(sql.with_(*LABELS, ALL_FREQ) + """
 SELECT CASE WHEN ch = ' ' THEN '|' ELSE ch END AS token, row_number() OVER (ORDER BY first) AS id, freq
 FROM cf WHERE freq > 10 AND ch <> '|'
 UNION ALL SELECT '[UNK]', (SELECT count(*) + 1 FROM cf WHERE freq > 10 AND ch <> '|'), NULL
 UNION ALL SELECT '[PAD]', (SELECT count(*) + 2 FROM cf WHERE freq > 10 AND ch <> '|'), NULL""")
 def char_vocab_dense(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense ids without collisions, characters seen more than ten times."""
-    return _vocabulary(spark, folder, 10, compat=False)
+    """Dense ids without collisions, characters seen more than ten times in all documents."""
+    return _vocabulary(spark, folder, 10, compat=False, split=None)
 
 
 @query(sql.with_(*LABELS, FREQ, VOCAB) + """
