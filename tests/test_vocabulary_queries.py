@@ -45,3 +45,9 @@ def test_char_vocab_numbers_characters_of_every_split(spark, split_folder):
 def test_char_vocab_dense_numbers_characters_of_every_split(spark, split_folder):
     got = {(r["token"], r["id"], r["freq"]) for r in found(spark, split_folder, "char_vocab_dense")}
     assert got == {("z", 1, 11), ("[UNK]", 2, None), ("[PAD]", 3, None)}
+
+
+def test_encode_labels_knows_characters_of_every_split(spark, split_folder):
+    got = {r["utt_id"]: r["labels"] for r in found(spark, split_folder, "encode_labels")}
+    assert got == {0: "1 2 3 1 2", 1_000_000: "2 1 3 4", 4_000_000: "5 5 3 7" + " 7" * 11, 5_000_000: "8 8 3 5",
+                   25_000_000: "", 26_000_000: "4 3 7"}

@@ -229,9 +229,10 @@ def cleaned(x: str) -> str:
     return x
 
 
-@query(sql.with_(*LABELS, FREQ, VOCAB, ENCODED) + "SELECT utt_id, array_to_string(ids, ' ') AS labels FROM enc")
+@query(sql.with_(*LABELS, ALL_FREQ, VOCAB, ENCODED) + "SELECT utt_id, array_to_string(ids, ' ') AS labels FROM enc")
 def encode_labels(spark: SparkSession, folder: str) -> DataFrame:
-    ids = vocabulary.lookup(_vocabulary(spark, folder))
+    """Labels of every utterance by the vocabulary of all documents."""
+    ids = vocabulary.lookup(_vocabulary(spark, folder, split=None))
     return fixtures.label_utterances(spark, folder).select(
         "utt_id", F.array_join(vocabulary.encode(F.col("clear_text"), ids).cast("array<string>"), " ").alias("labels"))
 
