@@ -50,3 +50,32 @@ def test_packed_counts_are_those_of_a_counter(letters):
     symbols = np.unique(symbols, return_inverse=True)[1] + 1
     args = (symbols, lengths, np.tile(np.arange(40), 2), np.repeat([0, 1], 40), 40, 2, 3)
     assert (ngrams._packed(*args, 14, 1) == ngrams._renumbered(*args)).all()
+
+
+@pytest.mark.parametrize("letters", LETTERS)
+def test_edit_distances_of_a_batch(letters, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(_text(rng, letters), _text(rng, letters)) for _ in range(120)]
+    want = [_levenshtein(a, b) for a, b in pairs]
+
+    def found():
+        return codes.edit_distances(*[codes.points(pa.array(side)) for side in zip(*pairs)]).tolist()
+
+    assert found() == want
+    for name, few in [("TABLE", 1), ("TABLE", 5000), ("CELLS", 1), ("PIECE", 300)]:  # masks made on the way, small groups
+        with monkeypatch.context() as patch:
+            patch.setattr(codes, name, few)
+            assert found() == want
+    assert codes.edit_distances(*[codes.points(pa.array([], pa.string()))] * 2).tolist() == []
+
+
+def test_character_errors_follow_the_metric_text(spark):
+    rows = [("a  \tb", " a b　"), ("x\ny", "x y"), ("", "abc"), ("abc", ""), (None, "ab"), ("ab", None), ("ßé😀", "ße😀")]
+    pairs = spark.createDataFrame(rows, "hyp string, ref string").withColumn("k", F.monotonically_increasing_id())
+    both = pairs.select("k", scores.metric_text(F.coalesce("hyp", F.lit(""))).alias("h"), scores.metric_text(F.col("ref")).alias("r"))
+    want = {r["k"]: (_levenshtein(r["h"], r["r"]), len(r["r"])) for r in both.collect() if r["r"]}
+    errors = scores.cer(pairs, ["k"])
+    assert {r["k"]: (r["edits"], r["ref_chars"]) for r in errors.collect()} == want
+    assert "levenshtein" not in errors._jdf.queryExecution().executedPlan().toString()
+    flat = codes.metric_text(pa.array([h or "" for h, _ in rows])).to_pylist()
+    assert flat == [r["h"] for r in both.orderBy("k").collect()]

@@ -1,16 +1,19 @@
 """Edit distance over token arrays with the built-in string distance.
 
 Every distinct token of a pair gets its own code point, so one call of the
-JVM ``levenshtein`` compares whole tokens. No shuffle, no Python.
+JVM ``levenshtein`` compares whole tokens. No shuffle, no Python. Characters, many more to a
+text, are compared in Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from utterscale.functions import codes
 from utterscale.functions.arrays import let
 
 
@@ -43,6 +46,11 @@ def token_distance(left: Column, right: Column) -> Column:
         lambda alphabet: F.levenshtein(encode_tokens(p["l"], alphabet), encode_tokens(p["r"], alphabet)))).cast("bigint")
 
 
-def char_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance in characters."""
-    return F.levenshtein(left, right).cast("bigint")
+def metric_char_errors(hyp: Column, ref: Column) -> Column:
+    """Struct of ``edits`` and ``ref_chars`` of two metric texts (see ``codes.metric_text``)."""
+    @F.arrow_udf("struct<edits: bigint, ref_chars: bigint>")
+    def count(h: pa.Array, r: pa.Array) -> pa.Array:
+        hyps, refs = codes.points(codes.metric_text(h)), codes.points(codes.metric_text(r))
+        return pa.StructArray.from_arrays([pa.array(codes.edit_distances(hyps, refs)), pa.array(refs[1])], ["edits", "ref_chars"])
+
+    return count(hyp, ref)
