@@ -79,3 +79,40 @@ def test_character_errors_follow_the_metric_text(spark):
     assert "levenshtein" not in errors._jdf.queryExecution().executedPlan().toString()
     flat = codes.metric_text(pa.array([h or "" for h, _ in rows])).to_pylist()
     assert flat == [r["h"] for r in both.orderBy("k").collect()]
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+ROWS = [("A", 1, "a b a b", "a b a b a"), ("A", 1, "a b", "b a"), ("A", 2, "", "x"), ("A", None, "a a", "a"), ("A", None, "a", "a a"),
+        ("B", 1, "a b", "a b"), ("B", 2, None, "a b c"), ("B", 3, "a b c d e", None), (None, 3, "é 😀 é", "é 😀")]
+
+
+@pytest.mark.parametrize("held, batch", [(10_000, 10_000), (10_000, 2), (1, 1), (2, 3), (1, 10_000)])
+def test_ngrams_of_a_pair_are_counted_together(spark, monkeypatch, held, batch):
+    monkeypatch.setattr(ngrams, "HELD", held)
+    pairs = spark.createDataFrame(ROWS, "system string, utt_id long, hyp string, ref string").select(
+        "system", "utt_id", F.split("hyp", " ").alias("hyp_tokens"), F.split("ref", " ").alias("ref_tokens"))
+    counts: dict = {}
+    for system, utt, *texts in ROWS:
+        for side, text in enumerate(texts):
+            words = [] if text is None else text.split(" ")
+            for n in range(1, 4):
+                for i in range(len(words) - n + 1):
+                    counts.setdefault((system, n), {}).setdefault((utt, *words[i:i + n]), [0, 0])[side] += 1
+    want = {k: (sum(map(min, c.values())), sum(x for x, _ in c.values()), sum(x for _, x in c.values())) for k, c in counts.items()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = ngrams.clip_by_grouping(pairs, ["system", "utt_id"], ["system"], 3)
+        assert {(r["system"], r["n"]): (r["clipped"], r["hyp_ngrams"], r["ref_ngrams"]) for r in found.collect()} == want
+        by_pair = ngrams.clip_by_grouping(pairs, ["system", "utt_id"], ["utt_id"], 3)
+        assert sum(r["clipped"] for r in by_pair.collect()) == sum(c for c, _, _ in want.values())
+        table = ngrams.ngram_table(pairs, ["system", "utt_id"], 3)
+        assert table.agg(F.sum(F.least("hyp_count", "ref_count"))).first()[0] == sum(c for c, _, _ in want.values())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "Generate" not in _plan(found)
+    empty = ngrams.clip_by_grouping(pairs.where("false"), ["system", "utt_id"], ["system"], 3)
+    assert empty.collect() == [] and empty.columns == ["system", "n", "clipped", "hyp_ngrams", "ref_ngrams"]
