@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from utterscale.functions import codes
-from utterscale.operators import ngrams, scores
+from utterscale.operators import ngrams, scores, ter
 
 
 def _text(rng: random.Random, letters: str) -> str:
@@ -85,6 +85,27 @@ def _plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+CHRF = [("a b　c", "abc"), ("aé😀 aé", "aé😀aé\n"), ("", "abc"), (None, ""), ("ab", None), ("xyzxyz", "yzxyzx")]
+
+
+def test_chrf_leaves_white_space_to_the_batch(spark):
+    pairs = spark.createDataFrame(CHRF, "hyp string, ref string").withColumn("k", F.monotonically_increasing_id())
+
+    def score(h, r):
+        h, r, total = "".join((h or "").split()), "".join(r.split()), 0.0
+        for n in range(1, 7):
+            a, b = (Counter(x[i:i + n] for i in range(len(x) - n + 1)) for x in (h, r))
+            m = sum((a & b).values())
+            p, q = (m / sum(a.values()), m / sum(b.values())) if m else (0, 0)
+            total += 10 * p * q / (9 * p + q) if m else 1e-16
+        return total / 6
+
+    found = scores.pair_chrf(pairs)
+    assert [r["chrf"] for r in found.orderBy("k").collect()] == pytest.approx([score(h, r) for h, r in CHRF if r is not None])
+    assert found.columns == [*pairs.columns, "chrf"]
+    assert "regexp_replace" not in _plan(found)
+
+
 ROWS = [("A", 1, "a b a b", "a b a b a"), ("A", 1, "a b", "b a"), ("A", 2, "", "x"), ("A", None, "a a", "a"), ("A", None, "a", "a a"),
         ("B", 1, "a b", "a b"), ("B", 2, None, "a b c"), ("B", 3, "a b c d e", None), (None, 3, "é 😀 é", "é 😀")]
 
@@ -116,3 +137,34 @@ def test_ngrams_of_a_pair_are_counted_together(spark, monkeypatch, held, batch):
     assert "Generate" not in _plan(found)
     empty = ngrams.clip_by_grouping(pairs.where("false"), ["system", "utt_id"], ["system"], 3)
     assert empty.collect() == [] and empty.columns == ["system", "n", "clipped", "hyp_ngrams", "ref_ngrams"]
+
+
+def test_translation_errors_come_from_the_batch(spark):
+    rows = [("B a　c", "a b c"), ("c d a b", "a b\n c d"), ("", "a b"), (None, "a"), ("x", " "), ("x", ""), ("y", None)]
+    pairs = spark.createDataFrame(rows, "hyp string, ref string").withColumn("k", F.monotonically_increasing_id())
+    found = scores.ter(pairs, ["k"])
+    assert [(r["edits"], r["ref_words"]) for r in found.orderBy("k").collect()] == [(1, 3), (1, 4), (2, 2), (1, 1), (1, 0)]
+    assert "lambda" not in _plan(found)
+
+
+def test_shifts_of_many_pairs_end_at_the_candidate_limit(monkeypatch):
+    rng = random.Random(6)
+    hyps, refs = (["".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(60)] for _ in "hr")
+    for limit in (0, 1, 40, 1000):
+        monkeypatch.setattr(ter, "MAX_CANDIDATES", limit)
+        found = ter.shift_counts(hyps, refs)
+        assert found == [ter.shift_counts([h], [r])[0] for h, r in zip(hyps, refs)]
+        if limit < 2:  # no shift is tried
+            assert found == [_levenshtein(h, r) for h, r in zip(hyps, refs)]
+
+
+def test_report_counts_words_in_the_batch(spark):
+    rows = [("A", "a  b c", "a b\t c"), ("A", "ab 3", "ab 3"), ("A", "x", ""), ("B", None, "a\nb b"), ("B", "", "  "), ("B", "y", None)]
+    pairs = spark.createDataFrame(rows, "system string, hyp string, ref string")
+    errors = {r["system"]: (r["edits"], r["ref_words"]) for r in scores.wer(pairs, ["system"]).collect()}
+    bleu = {r["system"]: (r["n_pairs"], round(r["bleu"], 9)) for r in scores.bleu_two_refs(pairs, ["system"]).collect()}
+    report = scores.eval_report(pairs)
+    found = report.collect()
+    assert {r["system"]: (r["edits"], r["ref_words"]) for r in found} == errors
+    assert {r["system"]: (r["n_pairs"], round(r["bleu"], 9)) for r in found} == bleu
+    assert "levenshtein" not in _plan(report)
