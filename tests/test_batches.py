@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from utterscale.functions import codes
 from utterscale.operators import ngrams, scores, ter
+from utterscale.sources import sheets
 
 
 def _text(rng: random.Random, letters: str) -> str:
@@ -168,3 +169,18 @@ def test_report_counts_words_in_the_batch(spark):
     assert {r["system"]: (r["edits"], r["ref_words"]) for r in found} == errors
     assert {r["system"]: (r["n_pairs"], round(r["bleu"], 9)) for r in found} == bleu
     assert "levenshtein" not in _plan(report)
+
+
+def test_sheet_makes_the_keys_of_its_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(40).select(counted("id").alias("utt_id"), F.lit("A").alias("system"), F.lit("x").alias("hyp"), F.lit("y\t").alias("ref"))
+    head = spark.createDataFrame([("A", 0.5, 0.25)], "system string, wer double, bleu double")
+    sheet = sheets.prediction_sheet(rows, head)
+    assert made.value == 40
+    assert [r["line"] for r in sheet.orderBy("idx").collect()] == ["WER: 0.500000\t BLEU:0.250000"] + [f"{i}\tx\ty\\t" for i in range(40)]
