@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from utterscale.llm import (bwt_repeats, chat_format, code_words, line_frequency, line_join, piece_transducer,
-                            posting_lists, queries, set_relations, soft_mixing, warc_chain)
+                            posting_lists, queries, set_relations, set_tiles, soft_mixing, warc_chain)
 from utterscale.llm.components import components
 from utterscale.sources.shared import shared_folder
 
@@ -429,3 +429,14 @@ def test_units_beyond_the_memory_match_the_library(spark, monkeypatch):
         assert len(t.names) <= 40 + 120
     empty = spark.createDataFrame([], "doc_id long, text string, ids string")
     assert piece_transducer.round_trip(empty, queries.MODEL).collect() == []
+
+
+def test_fine_sketches_part_unlike_sets_that_coarse_ones_chain():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 64, 256, dtype=np.uint64)) for _ in range(300)]
+    sets += [np.unique(np.r_[s[:240], rng.integers(0, 1 << 64, 4, dtype=np.uint64)]) for s in sets[:12]]
+    key, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    coarse, fine = (set_tiles.alike(key, size, [set_tiles.sketch(s, room) for s in sets], 8, 10)
+                    for room in (set_tiles.COARSE, set_tiles.FINE))
+    assert len(coarse) > 250  # nearly all are one cluster, whose tokens would go to every tile
+    assert sorted(tuple(sorted(p)) for p in fine) == [(i, 300 + i) for i in range(12)]

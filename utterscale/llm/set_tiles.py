@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 TILE = 1 << 20  # tokens of a block; a tile holds two blocks at most
 SKETCHED = 1 << 22  # the same where sets come as sketches
+COARSE, FINE = 16, 2  # tokens to a range of a sketch, at most
 
 
 def tiles(members: DataFrame, num: int, den: int, limit: int = TILE) -> DataFrame:
@@ -97,17 +98,24 @@ def answers(flat: np.ndarray, offsets: np.ndarray, num: int, den: int):
             yield x, linked(x, overlap + counted(more) - counted(less))
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Token counts in 2^k ranges of the hash, 8 to 16 tokens to a range, cut off at 255.
+def sketch(h: np.ndarray, room: int = COARSE) -> np.ndarray:
+    """Token counts in 2^k ranges of the hash, ``room`` / 2 to ``room`` tokens to a range, cut off at 255.
 
     The summed differences of two sketches are never more than the symmetric difference.
     Neighbouring ranges added give the next coarser sketch.
     """
-    bits = max(4, int(np.ceil(np.log2(max(len(h), 1) / 16))))
+    bits = max(4, int(np.ceil(np.log2(max(len(h), 1) / room))))
     found = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(found, 255).astype(np.uint8)
 
 
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """The coarser sketches of ``width`` ranges."""
+    while rows.shape[1] > width:
+        rows = np.minimum(rows[:, ::2] + rows[:, 1::2], 255)
+    return rows
+
+
 def alike(key: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of keys whose sketches allow a match, enough of them to connect all such pairs."""
     order = np.argsort(size, kind="stable")
@@ -118,6 +126,8 @@ def alike(key: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: in
     place = np.empty(len(key), np.int64)
     for m in at:
         place[at[m]] = np.arange(len(at[m]))
+    # sketches of 16 and of 64 ranges part most pairs of longer ones before these are compared
+    heads = {(m, w): _folded(stacks[m], w) for m in at for w in (16, 64) if m > w}
     label, out = np.arange(len(key)), []
     for i in range(len(key) - 1):
         end = int(np.searchsorted(size, size[i] * den // num, side="right"))
@@ -130,13 +140,14 @@ def alike(key: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], num: in
             pick = np.flatnonzero(label[other] != label[i])
             if not len(pick):
                 continue
-            rows = stacks[m][a:b][pick]
-            while rows.shape[1] > levels[i]:
-                rows = np.minimum(rows[:, ::2] + rows[:, 1::2], 255)
-            other = other[pick]
             both = size[i] + size[other]
             room = both - 2 * -(-num * both // (num + den))
-            near = other[np.abs(rows - mine).sum(1, dtype=np.int64) <= room]
+            for w in (16, 64):
+                if levels[i] > w:
+                    head = heads[levels[i], w][place[i]]
+                    pick = pick[np.abs(heads[m, w][a:b][pick] - head).sum(1, dtype=np.int32) <= room[pick]]
+            rows = _folded(stacks[m][a:b][pick], levels[i])
+            near = other[pick[np.abs(rows - mine).sum(1, dtype=np.int32) <= room[pick]]]
             new, one = np.unique(label[near], return_index=True)
             if len(new):
                 out += [(key[i], key[j]) for j in near[one]]
